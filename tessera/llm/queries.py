@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, media_ts, packing, secrets, sharding
-from tessera.llm.common import prepare
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, media_ts, packing, quality_fm, secrets, sharding, simhash, toxicity
+from tessera.llm.common import crc_part, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +33,20 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def _scored(scores: DataFrame, modulus: int, held: int, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (crc_part(modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_part(3) != 1)
+    return _scored(toxicity.score_documents(docs, model), 3, 1, 0.7)
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 8)
 
@@ -43,7 +59,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_codec, op7_hilbert_shards, op8_transport_streams, op9_secret_scan)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"), crc_part(5) != 0)
+    return _scored(quality_fm.score_documents(docs, model), 5, 0, 0.3)
+
+
+QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_codec, op3_toxicity, op4_simhash_dedup, op7_hilbert_shards, op8_transport_streams, op9_secret_scan, op10_quality)}
 
 
 def _secret_sql() -> str:
