@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media_ts, packing, quality_fm, secrets, sharding, simhash, toxicity
+from tessera.llm import bpe, embed_dedup, html_text, media_ts, packing, quality_fm, secrets, sharding, simhash, toxicity
 from tessera.llm.common import crc_part, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 8)
 
@@ -65,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_fm.score_documents(docs, model), 5, 0, 0.3)
 
 
-QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_codec, op3_toxicity, op4_simhash_dedup, op7_hilbert_shards, op8_transport_streams, op9_secret_scan, op10_quality)}
+QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_codec, op3_toxicity, op4_simhash_dedup, op5_embedding_dedup, op6_html_main_text, op7_hilbert_shards, op8_transport_streams, op9_secret_scan, op10_quality)}
 
 
 def _secret_sql() -> str:
