@@ -57,7 +57,10 @@ class ByteBPE:
         size = max([*vocab.values(), *self.special.values()]) + 1
         chars = byte_characters()
         of_char = {c: b for b, c in enumerate(chars)}
+        # a vocabulary with word ends has a symbol of its own for a word's last byte
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[c] for c in chars], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in chars], np.int64)
         left, right = (np.array([vocab[m[i]] for m in merges], np.int64) for i in (0, 1))
         made = np.array([vocab[m[0] + m[1]] for m in merges], np.int64)
         key = left << 32 | right
@@ -88,7 +91,10 @@ class ByteBPE:
         sizes = np.array([len(w) for w in words], np.int64)
         long = sizes > LONG
         small = [w for w, x in zip(words, long, strict=True) if not x]
-        sym = self.first[np.frombuffer(b"".join(small), np.uint8)]
+        joined = np.frombuffer(b"".join(small), np.uint8)
+        sym = self.first[joined]
+        tail = np.cumsum(sizes[~long])[sizes[~long] > 0] - 1
+        sym[tail] = self.last[joined[tail]]
         word = np.repeat(np.flatnonzero(~long), sizes[~long])
         none = np.iinfo(np.int64).max
         done_word, done_sym = [], []
@@ -134,6 +140,7 @@ class ByteBPE:
     def _one(self, word: bytes) -> np.ndarray:
         """A single long word, by a heap of (rank, place)."""
         sym = self.first[np.frombuffer(word, np.uint8)]
+        sym[-1] = self.last[word[-1]]
         n = len(sym)
         after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
         rank, made = self._ranks(sym[:-1], sym[1:])

@@ -190,3 +190,21 @@ def score_documents(docs: DataFrame, model: Machine) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.char_length("text")
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), n_chars.cast("long").alias("n_chars")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def filter_documents(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    by = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        f = Features()
+        for batch in slices(batches, 1024, 8 << 20):
+            data, to = flat(batch.column(at))
+            to = to.tolist()
+            chars = batch.column(by).to_pylist() if by is not None else [len(t or "") for t in batch.column(at).to_pylist()]
+            scores = [shared.value.score(*f.of(data[s:e], c)) for s, e, c in zip(to, to[1:], chars)]  # noqa: B905
+            yield batch.filter(pa.array(np.array(scores) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

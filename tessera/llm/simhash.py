@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import prepare, slices, written
 from tessera.llm.components import connected_components
@@ -58,6 +59,34 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", F.encode(F.col("text").cast("string"), "UTF-8").alias("raw")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def fingerprinted(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs, all columns, with __fp, the fingerprint as a signed long, and __uid, a number for the row; written, so both stay."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in slices(batches, 1024, 8 << 20):
+            fps = np.array([fingerprint((x or "").encode(), words) for x in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    return written(docs.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()), "fingerprinted")
+
+
+def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of docs, all columns, from each component: that of the smallest id, null ids last, one of repeated rows.
+
+    Winners are joined by row number, a unique key, so large groups of copies don't gather in one task.
+    """
+    rows = fingerprinted(docs, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__uid")).alias("first")
+    classes = rows.groupBy(F.col("__fp").alias("fp")).agg(first)
+    labels = connected_components(near_edges(classes.select("fp"), radius))
+    roots = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    winners = written(roots.select(F.col("first.__uid").alias("__uid")), "winners")
+    return rows.join(winners, "__uid", "left_semi").select(*docs.columns)
+
+
 def covering_masks(bits: list[int], radius: int) -> list[int]:
     """Masks over the given bit numbers; any two values that differ in at most `radius` of them agree under some mask."""
     n = (1 << (radius + 1)) - 1

@@ -157,3 +157,18 @@ def score_documents(docs: DataFrame, model: Linear) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def filter_documents(docs: DataFrame, model: Linear, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        seen = np.zeros(1 << BITS, np.int32)
+        for batch in slices(batches, 1024, 8 << 20):
+            data, to = flat(batch.column(at))
+            scores = [shared.value.score(ngram_ids(data[s:e], seen)) for s, e in zip(to.tolist(), to[1:].tolist())]  # noqa: B905
+            yield batch.filter(pa.array(np.array(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
