@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import flat, labelled_sample, prepare, slices, written
 
-SIZES = (3, 4, 5, 6)
-BITS = 19
+SIZES = (4, 6, 8)
+BITS = 20
 TRAIN_ROWS = 6000
-SURE = 4.0
+SURE = 3.5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,7 +68,7 @@ def log_ratios(hits: np.ndarray, toxic: int, clean: int, smooth: float = 1.0) ->
     return ratio
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, hits: np.ndarray | None = None, rounds: int = 60, penalty: float = 1e-3) -> Linear:
+def fit(features: list[np.ndarray], y: np.ndarray, hits: np.ndarray | None = None, rounds: int = 100, penalty: float = 1e-3) -> Linear:
     """NB-scaled logistic regression by full-batch steps with momentum per coordinate; both classes weigh alike."""
     n = 1 << BITS
     share = (y.sum() + 1) / (len(y) + 2)
