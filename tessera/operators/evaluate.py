@@ -76,3 +76,18 @@ def split(rows: DataFrame, key: str, share: float = 0.1) -> DataFrame:
 def sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows without replacement, the same ones every time."""
     return rows.orderBy(portable_hash(F.col(key)), key).limit(n)
+
+
+def save_matrix(matrix: DataFrame, path: str) -> None:
+    """The cells of a matrix that aren't zero."""
+    matrix.where("n > 0").write.mode("overwrite").parquet(path)
+
+
+def save_epoch(metrics: DataFrame, path: str) -> None:
+    """Add an epoch's numbers to the table from which a run resumes."""
+    metrics.write.mode("append").parquet(path)
+
+
+def next_epoch(metrics: DataFrame) -> int:
+    """The epoch to go on with: 1 where none has been saved."""
+    return (metrics.agg(F.max("epoch")).first()[0] or 0) + 1

@@ -57,3 +57,26 @@ def enough_ink(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
 def yields(samples: DataFrame, target: int) -> DataFrame:
     """(class, font, n, short): how many samples each font gave, and whether that is under the target."""
     return samples.groupBy("class", "font").agg(F.count("*").alias("n")).withColumn("short", F.col("n") < target)
+
+
+def draws(attempts: DataFrame, key: str, split_share: float = 0.1) -> DataFrame:
+    """attempts with scale (0.3 to 1.9), jitter_x and jitter_y (-5 to 5), and split, drawn from a hash of the key."""
+
+    def number(k: int, n: int):
+        return (F.col(key) * (7_919 + 104_729 * k) + 611_953 * k) % 1_000_003 % n
+
+    out = attempts.withColumns({"scale": F.round(0.3 + number(1, 1601) / 1000.0, 3), "jitter_x": (number(2, 11) - 5).cast("int"), "jitter_y": (number(3, 11) - 5).cast("int")})
+    return out.withColumn("split", F.when(number(4, 1000) < int(split_share * 1000), "val").otherwise("train"))
+
+
+def usable_fonts(fonts: DataFrame) -> DataFrame:
+    """Distinct fonts that load; none is an error."""
+    found = fonts.where("loads").select("font").distinct()
+    if found.isEmpty():
+        raise ValueError("no font can be used")
+    return found
+
+
+def fold_groups(samples: DataFrame, characters_of: DataFrame) -> DataFrame:
+    """samples (ch) with every class that the character belongs to."""
+    return samples.join(F.broadcast(characters_of), "ch")

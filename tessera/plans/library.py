@@ -478,6 +478,22 @@ def q_gen_fits(spark, sf):
     return generate.fits_canvas(b.select("region_id", (C("minx") % 30).alias("minx"), (C("miny") % 30).alias("miny"), (C("minx") % 30 + C("maxx") - C("minx")).alias("maxx"), (C("miny") % 30 + C("maxy") - C("miny")).alias("maxy")))
 
 
+def _draw(k: int, n: int) -> str:
+    return f"((p_partkey * {7919 + 104729 * k} + {611953 * k}) % 1000003 % {n})"
+
+
+@query("q_gen_draws", f"SELECT p_partkey, round(0.3 + {_draw(1, 1601)} / 1000.0, 3) AS scale, CAST({_draw(2, 11)} - 5 AS INT) AS jitter_x, CAST({_draw(3, 11)} - 5 AS INT) AS jitter_y, CASE WHEN {_draw(4, 1000)} < 100 THEN 'val' ELSE 'train' END AS split FROM part")
+def q_gen_draws(spark, sf):
+    return generate.draws(read(spark, sf, "part").select("p_partkey"), "p_partkey")
+
+
+@query("q_folded_classes", "WITH d AS (SELECT doc_id, substr(text, 1, 1) AS ch FROM documents WHERE length(text) > 0), c(ch, class) AS (SELECT chr(CAST(i AS INT)), chr(CAST(i AS INT)) FROM (SELECT unnest(range(65, 91)) AS i UNION ALL SELECT unnest(range(97, 123)) UNION ALL SELECT unnest(range(48, 58)))) SELECT class, count(*) AS n FROM d JOIN c USING (ch) GROUP BY ALL")
+def q_folded_classes(spark, sf):
+    firsts = read(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.substring("text", 1, 1).alias("ch"))
+    plain = generate.characters(spark).where(C("class").rlike("^[A-Za-z0-9]$"))
+    return generate.fold_groups(firsts, plain).groupBy("class").agg(F.count("*").alias("n"))
+
+
 @query("q_out_name", r"SELECT page_id, CASE WHEN contains(url, '.') THEN regexp_replace(url, '^(.*)[.]([^.]*)$', '\1_.\2') ELSE url || '_' END AS marked, regexp_replace(url || '.png', '(?s)\.png.*$', '.bmp') AS dumped, regexp_replace(split_part(url, '/', -1), '\.[^.]*$', '') AS base FROM pages")
 def q_out_name(spark, sf):
     u = C("url")
@@ -516,6 +532,11 @@ def q_slot_yield(spark, sf):
     return slots.shed(_ticks(spark, sf), 3, 250, "run").groupBy("run", "slot").agg(F.count("*").alias("ticks"), F.count_if("kept").alias("kept"))
 
 
+@query("q_slot_states", f"WITH RECURSIVE {SHED}, z(step, from_state, to_state) AS (VALUES (0, 'FREE', 'RAW_READY'), (1, 'RAW_READY', 'IN_PROGRESS'), (2, 'IN_PROGRESS', 'QUANT_DONE'), (3, 'QUANT_DONE', 'SERIALIZING'), (4, 'SERIALIZING', 'FREE')) SELECT run, slot, tick, step, from_state, to_state FROM st CROSS JOIN z WHERE kept")
+def q_slot_states(spark, sf):
+    return slots.transitions(slots.shed(_ticks(spark, sf), 3, 250, "run")).select("run", "slot", "tick", "step", "from_state", "to_state")
+
+
 @query("q_latency", "SELECT l_orderkey, l_linenumber, CAST(l_quantity * 1000000 AS BIGINT) AS elapsed_ns FROM lineitem")
 def q_latency(spark, sf):
     f = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit(5).cast("long").alias("start_ns"), (C("l_quantity") * 1000000 + 5).cast("long").alias("end_ns"))

@@ -75,3 +75,19 @@ def run_available(stream: DataFrame, table: str, checkpoint: str) -> None:
 def ticks_until(spark: SparkSession, seconds: int = 10, period_ms: int = 250) -> DataFrame:
     """Ticks of a bounded capture: whole seconds are compared, so the last one still counts."""
     return spark.range(0, seconds * 1000 // period_ms + 1).withColumnRenamed("id", "tick")
+
+
+#: The states that a slot goes through.
+STATES = ("FREE", "RAW_READY", "IN_PROGRESS", "QUANT_DONE", "SERIALIZING")
+
+
+def transitions(kept: DataFrame) -> DataFrame:
+    """(…, step, from_state, to_state) for every kept tick: its slot goes once round the states."""
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(a).alias("from_state"), F.lit(b).alias("to_state")) for i, (a, b) in enumerate(zip(STATES, (*STATES[1:], STATES[0]), strict=True))])
+    return kept.where("kept").withColumn("s", F.explode(steps)).select("*", "s.*").drop("s")
+
+
+def serve_next(ready: DataFrame, state: str, by: list[str] | None = None) -> DataFrame:
+    """The slot that a worker takes next: the lowest one in the wanted state, whatever the order of arrival."""
+    own = ready.where(F.col("state") == state)
+    return own.groupBy(*(by or [])).agg(F.min("slot").alias("slot"))

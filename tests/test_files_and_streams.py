@@ -102,3 +102,32 @@ def test_name_stream(spark, tmp_path):
 
 def test_bounded_ticks(spark):
     assert slots.ticks_until(spark).count() == 41
+
+
+def test_data_source(spark, tmp_path):
+    from tessera.sources import datasource
+
+    datasource.register(spark)
+    px = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    rows = spark.createDataFrame([("a.png", 4, 2, bytearray(px.tobytes())), ("b.bmp", 4, 2, bytearray(px.tobytes()))], "path string, w int, h int, raw binary")
+    out = str(tmp_path / "out")
+    rows.write.format("raster").option("path", out).mode("append").save()
+    got = spark.read.format("raster").option("path", out).load()
+    assert sorted((os.path.basename(r.path), r.w, r.h, bytes(r.raw)) for r in got.collect()) == [("a.png", 4, 2, px.tobytes()), ("b.bmp", 4, 2, px.tobytes())]
+
+
+def test_serve_lowest(spark):
+    ready = spark.createDataFrame([(3, "RAW_READY"), (1, "RAW_READY"), (0, "FREE")], "slot int, state string")
+    assert slots.serve_next(ready, "RAW_READY").first()[0] == 1
+
+
+def test_resume(spark, tmp_path):
+    from tessera.operators import evaluate
+
+    path = str(tmp_path / "epochs")
+    for e in (1, 2):
+        evaluate.save_epoch(spark.createDataFrame([(e, 0.5)], "epoch int, loss double"), path)
+    assert evaluate.next_epoch(spark.read.parquet(path)) == 3
+    assert evaluate.next_epoch(spark.read.parquet(path).limit(0)) == 1
+    evaluate.save_matrix(spark.createDataFrame([(0, 0, 3), (0, 1, 0)], "true_label int, pred_label int, n long"), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 1
