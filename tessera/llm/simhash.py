@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare, slices, written
+from tessera.llm.common import prepare, slices, tidy, written
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -51,9 +51,10 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches):
-        for batch in slices(batches, 1024, 8 << 20):
-            fps = np.array([fingerprint(x or b"", words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        with tidy():
+            for batch in slices(batches, 1024, 8 << 20):
+                fps = np.array([fingerprint(x or b"", words) for x in batch.column(1).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.encode(F.col("text").cast("string"), "UTF-8").alias("raw")).mapInArrow(run, f"doc_id {kind}, fp long")
@@ -65,9 +66,10 @@ def fingerprinted(docs: DataFrame, words: int = 3) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in slices(batches, 1024, 8 << 20):
-            fps = np.array([fingerprint((x or "").encode(), words) for x in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
+        with tidy():
+            for batch in slices(batches, 1024, 8 << 20):
+                fps = np.array([fingerprint((x or "").encode(), words) for x in batch.column(at).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
     return written(docs.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()), "fingerprinted")
@@ -76,7 +78,8 @@ def fingerprinted(docs: DataFrame, words: int = 3) -> DataFrame:
 def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row of docs, all columns, from each component: that of the smallest id, null ids last, one of repeated rows.
 
-    Winners are joined by row number, a unique key, so large groups of copies don't gather in one task.
+    Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
+    as the groups, so they are never broadcast.
     """
     rows = fingerprinted(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__uid")).alias("first")
@@ -84,7 +87,7 @@ def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     labels = connected_components(near_edges(classes.select("fp"), radius))
     roots = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     winners = written(roots.select(F.col("first.__uid").alias("__uid")), "winners")
-    return rows.join(winners, "__uid", "left_semi").select(*docs.columns)
+    return rows.join(winners.hint("shuffle_hash"), "__uid", "left_semi").select(*docs.columns)
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -160,24 +163,25 @@ def near_edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
     keyed = keyed.repartition(F.col("key")).sortWithinPartitions("key")
 
     def run(batches):
-        rest_k, rest_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(k, v):
-            e = run_edges(k, v, radius).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.concatenate([rest_k, batch.column(1).to_numpy()])
-            v = np.concatenate([rest_v, batch.column(0).to_numpy().view(np.uint64)])
-            # the last run may go on in the next batch
-            cut = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
-            if cut:
-                yield out(k[:cut], v[:cut])
-            rest_k, rest_v = k[cut:], v[cut:]
-        if len(rest_k):
-            yield out(rest_k, rest_v)
+        with tidy():
+            rest_k, rest_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+            def out(k, v):
+                e = run_edges(k, v, radius).view(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                k = np.concatenate([rest_k, batch.column(1).to_numpy()])
+                v = np.concatenate([rest_v, batch.column(0).to_numpy().view(np.uint64)])
+                # the last run may go on in the next batch
+                cut = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
+                if cut:
+                    yield out(k[:cut], v[:cut])
+                rest_k, rest_v = k[cut:], v[cut:]
+            if len(rest_k):
+                yield out(rest_k, rest_v)
 
     return keyed.select("fp", "key").mapInArrow(run, "a long, b long")
 
