@@ -11,7 +11,6 @@ library does by default. Repeated rows are encoded alike, and other columns are
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, slices, texts
+from tessera.llm.common import prepare, slices, texts, tidy
 
 #: Fixed value: the word pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -226,22 +225,22 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     prepare(docs.sparkSession)
 
     def run(batches):
-        bpe = vocabulary(path)
-        gc.disable()  # many small objects, none in cycles
-        for batch in slices(batches, 512, 4 << 20):
-            rows = {"doc_id": batch.column(0), "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
-            for raw, decimal in bpe.encode(texts(batch.column(1))):
-                ids = np.frombuffer(raw, "<u4")
-                back = bpe.decode_bytes(ids).decode("utf-8", "replace").encode()
-                rows["n_tokens"].append(len(ids))
-                if with_ids:
-                    rows["ids"].append(ids.astype(np.int32))
-                rows["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-            cols = [rows["doc_id"], pa.array(rows["n_tokens"], pa.int64())]
-            cols += [pa.array(rows["ids"], pa.list_(pa.int32()))] if with_ids else []
-            cols += [pa.array(rows[c], pa.string()) for c in ("ids_sha256", "decoded_sha256")]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+        with tidy(collect=False):
+            bpe = vocabulary(path)
+            for batch in slices(batches, 512, 4 << 20):
+                rows = {"doc_id": batch.column(0), "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
+                for raw, decimal in bpe.encode(texts(batch.column(1))):
+                    ids = np.frombuffer(raw, "<u4")
+                    back = bpe.decode_bytes(ids).decode("utf-8", "replace").encode()
+                    rows["n_tokens"].append(len(ids))
+                    if with_ids:
+                        rows["ids"].append(ids.astype(np.int32))
+                    rows["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
+                    rows["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                cols = [rows["doc_id"], pa.array(rows["n_tokens"], pa.int64())]
+                cols += [pa.array(rows["ids"], pa.list_(pa.int32()))] if with_ids else []
+                cols += [pa.array(rows[c], pa.string()) for c in ("ids_sha256", "decoded_sha256")]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +26,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    # whole texts travel in these batches: fewer rows than Spark's 10,000 keep both sides' memory low
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     return spark
 
 
@@ -31,14 +39,38 @@ def shared_dir(spark: SparkSession) -> str:
         found = getattr(spark, "_tessera_shared", None)
         if not found:
             found = spark._tessera_shared = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, found, True)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again (survives lost executors)."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write df as a table in the shared folder and read it again (survives lost executors).
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def tidy(collect: bool = True):
+    """For a Python worker's task: afterwards it gives freed memory back, as it idles while later stages run.
+
+    Unless `collect`, the cycle collector rests meanwhile: it is dear where many small objects live, none in cycles.
+    """
+    if not collect:
+        gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:

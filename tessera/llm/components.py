@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Raises if `rounds` steps don't converge.
     """
     cur = edges.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    cur = written(cur, "edges")  # finding the edges may be dear; the steps read them more than once
     seen = None
     for _ in range(rounds):
         cur = written(_stars(_stars(cur, True), False), "components")

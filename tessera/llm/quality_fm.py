@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, labelled_sample, prepare, slices
+from tessera.llm.common import flat, labelled_sample, prepare, slices, tidy
 
 BITS, RANK, TRAIN_ROWS = 15, 8, 6000
 _PRIME = np.uint64(0x100000001B3)
@@ -164,11 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_RO
     chosen = labelled_sample(docs, labels, "quality", keep, most).select("doc_id", F.encode("text", "UTF-8").alias("raw"), "n_chars", F.col("__y").alias("y"))
 
     def run(batches):
-        f = Features()
-        for batch in slices(batches):
-            got = [f.of(np.frombuffer(raw, np.uint8), c) for raw, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            cols = [batch.column(0), batch.column(3), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "ids", "x"])
+        with tidy():
+            f = Features()
+            for batch in slices(batches):
+                got = [f.of(np.frombuffer(raw, np.uint8), c) for raw, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                cols = [batch.column(0), batch.column(3), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "ids", "x"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
     rows = sorted(map(tuple, chosen.mapInArrow(run, f"doc_id {kind}, y int, ids binary, x binary").collect()), key=lambda r: r[:2])
@@ -180,12 +181,13 @@ def score_documents(docs: DataFrame, model: Machine) -> DataFrame:
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)  # 2^BITS x (RANK + 1) weights
 
     def run(batches):
-        f = Features()
-        for batch in slices(batches, 1024, 8 << 20):
-            data, at = flat(batch.column(1))
-            at = at.tolist()
-            scores = [shared.value.score(*f.of(data[s:e], c)) for s, e, c in zip(at, at[1:], batch.column(2).to_pylist())]  # noqa: B905
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        with tidy():
+            f = Features()
+            for batch in slices(batches, 1024, 8 << 20):
+                data, at = flat(batch.column(1))
+                at = at.tolist()
+                scores = [shared.value.score(*f.of(data[s:e], c)) for s, e, c in zip(at, at[1:], batch.column(2).to_pylist())]  # noqa: B905
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.char_length("text")
@@ -199,12 +201,13 @@ def filter_documents(docs: DataFrame, model: Machine, threshold: float = 0.3) ->
     by = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
-        f = Features()
-        for batch in slices(batches, 1024, 8 << 20):
-            data, to = flat(batch.column(at))
-            to = to.tolist()
-            chars = batch.column(by).to_pylist() if by is not None else [len(t or "") for t in batch.column(at).to_pylist()]
-            scores = [shared.value.score(*f.of(data[s:e], c)) for s, e, c in zip(to, to[1:], chars)]  # noqa: B905
-            yield batch.filter(pa.array(np.array(scores) >= threshold))
+        with tidy():
+            f = Features()
+            for batch in slices(batches, 1024, 8 << 20):
+                data, to = flat(batch.column(at))
+                to = to.tolist()
+                chars = batch.column(by).to_pylist() if by is not None else [len(t or "") for t in batch.column(at).to_pylist()]
+                scores = [shared.value.score(*f.of(data[s:e], c)) for s, e, c in zip(to, to[1:], chars)]  # noqa: B905
+                yield batch.filter(pa.array(np.array(scores) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
