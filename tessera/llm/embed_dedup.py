@@ -3,7 +3,7 @@
 Each pass orders the distinct vectors lexicographically by 64 concatenated random-hyperplane hashes and compares each
 with at least WINDOW neighbours in that order; pairs verified with the cosine in double precision are united across
 passes. A link joins only vectors of one component, so an exact check then counts every vector's links within its
-component, in blocks of at most BLOCK by BLOCK vectors, without emitting pairs. A pair is missed only if no pass and no
+component, in blocks (of about BLOCK vectors, in components of many blocks up to 32 times that), without emitting pairs. A pair is missed only if no pass and no
 chain of found links brings its ends together; with 16 passes that is under 2 % for a lone pair exactly at 0.9 among
 50,000 vectors and far less for closer ones.
 
@@ -18,15 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import prepare, slices, written
+from tessera.llm.common import prepare, slices, tidy, written
 from tessera.llm.components import connected_components
 
-PASSES, WINDOW, BLOCK = 16, 64, 512
+PASSES, WINDOW, BLOCK, SPREAD = 16, 64, 128, 32
 
 
-def valid_vectors(column: pa.Array) -> list[bytes | None]:
-    """Each vector as its float64 bytes, or null if it can't link."""
+def valid_vectors(column: pa.Array, kind: str) -> list[bytes | None]:
+    """Each vector as the bytes of its floats or doubles, or null if it can't link."""
     out: list[bytes | None] = []
     values = column.values.cast(pa.float64()) if len(column) else None
     offsets = column.offsets.to_numpy() if len(column) else []
@@ -35,15 +36,20 @@ def valid_vectors(column: pa.Array) -> list[bytes | None]:
     for i, null in enumerate(missing):
         x = flat[offsets[i] : offsets[i + 1]]
         ok = not null and len(x) and np.isfinite(x).all() and 0 < float(x @ x) < np.inf
-        out.append(x.tobytes() if ok else None)
+        out.append(x.astype(kind).tobytes() if ok else None)
     return out
 
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def float_kind(vectors: DataFrame) -> str:
+    """How vectors travel: as they came, in four bytes or eight a component; all arithmetic is in double precision."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
 def planes(seed: int, dim: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, 64))
 
@@ -51,12 +57,14 @@ def planes(seed: int, dim: int) -> np.ndarray:
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (vec_id, d1, d2; null digests if the vector can't link), and classes (cid, n, d1, d2, vec)."""
     prepare(vectors.sparkSession)
+    floats = float_kind(vectors)
 
     def run(batches):
-        for batch in slices(batches, 4096):
-            column = batch.column(1)
-            column = pa.concat_arrays([column])  # offsets from zero
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid_vectors(column), pa.binary())], names=["vec_id", "vec"])
+        with tidy():
+            for batch in slices(batches, 4096):
+                column = batch.column(1)
+                column = pa.concat_arrays([column])  # offsets from zero
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid_vectors(column, floats), pa.binary())], names=["vec_id", "vec"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
     made = vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, vec binary")
@@ -85,24 +93,25 @@ def _unite(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def projection_edges(classes: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def projection_edges(classes: DataFrame, floats: str, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """(a, b): verified edges between class ids, found by neighbours in each pass's order."""
 
     def keys(batches):
-        for batch in slices(batches, 2048):
-            raw = batch.column(1).to_pylist()
-            out = np.zeros((len(raw), passes), np.int64)
-            for dim in {len(r) for r in raw}:
-                at = [i for i, r in enumerate(raw) if len(r) == dim]
-                x = unit_rows([raw[i] for i in at])
-                for p in range(passes):
-                    bits = np.packbits(x @ planes(p, dim // 8) > 0, axis=1).view(">u8").astype(np.uint64)[:, 0]
-                    out[at, p] = (bits ^ np.uint64(1 << 63)).view(np.int64)  # in signed order
-            n = len(raw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(passes, dtype=np.int32), n)), pa.array(out.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(n), passes))), batch.column(1).take(pa.array(np.repeat(np.arange(n), passes)))],
-                names=["p", "key", "cid", "vec"],
-            )
+        with tidy():
+            for batch in slices(batches, 2048):
+                raw = batch.column(1).to_pylist()
+                out = np.zeros((len(raw), passes), np.int64)
+                for dim in {len(r) for r in raw}:
+                    at = [i for i, r in enumerate(raw) if len(r) == dim]
+                    x = unit_rows([raw[i] for i in at], floats)
+                    for p in range(passes):
+                        bits = np.packbits(x @ planes(p, x.shape[1]) > 0, axis=1).view(">u8").astype(np.uint64)[:, 0]
+                        out[at, p] = (bits ^ np.uint64(1 << 63)).view(np.int64)  # in signed order
+                n = len(raw)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(passes, dtype=np.int32), n)), pa.array(out.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(n), passes))), batch.column(1).take(pa.array(np.repeat(np.arange(n), passes)))],
+                    names=["p", "key", "cid", "vec"],
+                )
 
     kind = classes.schema["cid"].dataType.simpleString()
     keyed = classes.select("cid", "vec").mapInArrow(keys, f"p int, key long, cid {kind}, vec binary")
@@ -110,36 +119,38 @@ def projection_edges(classes: DataFrame, least: float = 0.9, passes: int = PASSE
     ordered = keyed.repartitionByRange(parts, "p", "key").sortWithinPartitions("p", "key", "cid")
 
     def compare(batches):
-        rest = None
-        for batch in slices(batches, 4096):
-            cols = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), np.array(batch.column(3).to_pylist(), object)]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            p, cid, raw = cols
-            dims = np.array([len(r) for r in raw])
-            found = []
-            for pass_, dim in sorted(set(zip(p.tolist(), dims.tolist()))):  # noqa: B905
-                at = np.flatnonzero((p == pass_) & (dims == dim))
-                x = unit_rows(list(raw[at]))
-                for s in range(0, len(at), 256):
-                    hit = block_links(x[s : s + 256], x[s : s + 256 + window], least)
-                    i, j = np.nonzero(hit)
-                    up = j > i
-                    if up.any():
-                        label = _unite(i[up], j[up], hit.shape[1])
-                        m = np.flatnonzero(label != np.arange(len(label)))
-                        found.append((cid[at[s + m]], cid[at[s + label[m]]]))
-            a, b = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (cid[:0], cid[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            rest = [c[-window:] for c in cols]
+        with tidy():
+            rest = None
+            for batch in slices(batches, 4096):
+                cols = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), np.array(batch.column(3).to_pylist(), object)]
+                if rest is not None:
+                    cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+                p, cid, raw = cols
+                dims = np.array([len(r) for r in raw])
+                found = []
+                for pass_, dim in sorted(set(zip(p.tolist(), dims.tolist()))):  # noqa: B905
+                    at = np.flatnonzero((p == pass_) & (dims == dim))
+                    x = unit_rows(list(raw[at]), floats)
+                    for s in range(0, len(at), 256):
+                        hit = block_links(x[s : s + 256], x[s : s + 256 + window], least)
+                        i, j = np.nonzero(hit)
+                        up = j > i
+                        if up.any():
+                            label = _unite(i[up], j[up], hit.shape[1])
+                            m = np.flatnonzero(label != np.arange(len(label)))
+                            found.append((cid[at[s + m]], cid[at[s + label[m]]]))
+                a, b = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (cid[:0], cid[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                rest = [c[-window:] for c in cols]
 
     return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def component_links(members: DataFrame, least: float = 0.9) -> DataFrame:
+def component_links(members: DataFrame, floats: str, least: float = 0.9) -> DataFrame:
     """(cid, links): for each class of (cid, root, vec, n), how many vectors of other classes of its component it links."""
     sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    # small blocks spread a component over tasks; in a very large one larger blocks keep the copies of its rows few
+    blocks = F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(SPREAD), F.ceil(F.col("m") / (32 * BLOCK)))).cast("int")
     placed = members.join(sizes, "root").withColumn("nb", blocks).withColumn("k", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     # a member meets each block of its component once: as row where its block comes first, as column else
     dealt = placed.select("cid", "root", "vec", "n", "k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
@@ -152,7 +163,7 @@ def component_links(members: DataFrame, least: float = 0.9) -> DataFrame:
         dims = np.array([len(r) for r in raw])
         for dim in set(dims.tolist()):
             at = np.flatnonzero(dims == dim)
-            x = unit_rows([raw[i] for i in at])
+            x = unit_rows([raw[i] for i in at], floats)
             same = k[at].min() == k[at].max() if len(at) else True
             rows, cols = (np.arange(len(at)),) * 2 if same else (np.flatnonzero(k[at] == bi), np.flatnonzero(k[at] != bi))
             if same and len(set(k.tolist())) > 1:
@@ -167,21 +178,22 @@ def component_links(members: DataFrame, least: float = 0.9) -> DataFrame:
         return links
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [np.array(batch.column(c).to_pylist(), object) if c == "vec" else batch.column(c).to_numpy() for c in ("root", "bi", "bj", "cid", "vec", "n", "k")]
+        with tidy():
+            rest = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cols = [np.array(batch.column(c).to_pylist(), object) if c == "vec" else batch.column(c).to_numpy() for c in ("root", "bi", "bj", "cid", "vec", "n", "k")]
+                if rest is not None:
+                    cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+                new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
+                at = np.flatnonzero(new)
+                rest = [c[at[-1] :] for c in cols]
+                done = [(s, e) for s, e in zip(at, at[1:])]  # noqa: B905
+                if done:
+                    yield out(cols, done)
             if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
-            at = np.flatnonzero(new)
-            rest = [c[at[-1] :] for c in cols]
-            done = [(s, e) for s, e in zip(at, at[1:])]  # noqa: B905
-            if done:
-                yield out(cols, done)
-        if rest is not None:
-            yield out(rest, [(0, len(rest[0]))])
+                yield out(rest, [(0, len(rest[0]))])
 
     def out(cols, done):
         ids, links = [], []
@@ -199,10 +211,11 @@ def component_links(members: DataFrame, least: float = 0.9) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
+    floats = float_kind(vectors)
     rows, classes = vector_classes(vectors)
-    labels = written(connected_components(projection_edges(classes, least, passes, window)), "vector-components")
+    labels = written(connected_components(projection_edges(classes, floats, least, passes, window)), "vector-components")
     members = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
-    links = component_links(members, least)
+    links = component_links(members, floats, least)
     known = classes.select("cid", "n", "d1", "d2").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
     known = known.select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
     out = rows.join(written(known, "vector-links"), ["d1", "d2"], "left")
