@@ -115,7 +115,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 40, penalty: float = 1e-4) -> Machine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 90, penalty: float = 1e-4) -> Machine:
     """Full-batch steps with momentum per coordinate; classes weigh alike; the initial factors come from a fixed seed."""
     n = (1 << BITS) + STATISTICS
     share = (y.sum() + 1) / (len(y) + 2)
@@ -126,12 +126,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
     of = np.repeat(np.arange(len(y)), [len(r[0]) for r in rows])
     df = np.bincount(ids, minlength=n)
     use = df[ids] >= 5  # rarer words tell nothing
-    ids, x, of = ids[use], x[use], of[use]
+    ids, x, of = ids[use], x[use], of[use].astype(np.int32)
     own, ids = np.unique(ids, return_inverse=True)
-    by = np.argsort(ids, kind="stable")
+    by = np.argsort(ids, kind="stable").astype(np.int32)
+    ids = ids.astype(np.int32)
     starts = np.searchsorted(ids[by], np.arange(len(own)))
     at = np.searchsorted(of, np.arange(len(y)))  # every row has its statistics
-    of_by, x_by, ids_by = of[by], x[by], ids[by]
+    of_by, x_by = of[by], x[by]
     rng = np.random.default_rng(5)
     p = [np.zeros(len(own), np.float32), rng.normal(0, 0.05, (len(own), RANK)).astype(np.float32), np.zeros(1, np.float32)]
     m, q = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -139,16 +140,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
     x2_by = (x_by * x_by).astype(np.float32)
     for t in range(1, rounds + 1):
         w, v, b = p
-        vx = v[ids] * x[:, None]
-        s = np.add.reduceat(vx, at)
-        z = b[0] + np.add.reduceat(w[ids] * x, at) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), at))
+        # a factor at a time, so that memory stays near that of the features
+        z, s = b[0] + np.add.reduceat(w[ids] * x, at), np.zeros((len(y), RANK), np.float32)
+        for f in range(RANK):
+            vx = v[ids, f] * x
+            s[:, f] = np.add.reduceat(vx, at)
+            z += 0.5 * (s[:, f] * s[:, f] - np.add.reduceat(vx * vx, at))
         g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * each).astype(np.float32)
-        gx = g[of_by] * x_by
-        grad = [
-            np.add.reduceat(gx, starts) + penalty * w,
-            np.add.reduceat(gx[:, None] * s[of_by], starts) - v * np.add.reduceat(g[of_by] * x2_by, starts)[:, None] + penalty * v,
-            np.array([g.sum()], np.float32),
-        ]
+        g_by = g[of_by]
+        gx, gxx = g_by * x_by, np.add.reduceat(g_by * x2_by, starts)
+        gv = np.stack([np.add.reduceat(gx * s[of_by, f], starts) - v[:, f] * gxx for f in range(RANK)], axis=1)
+        grad = [np.add.reduceat(gx, starts) + penalty * w, gv + penalty * v, np.array([g.sum()], np.float32)]
         for a, ga, ma, qa in zip(p, grad, m, q, strict=True):
             ma += 0.1 * (ga - ma)
             qa += 0.01 * (ga * ga - qa)
