@@ -443,7 +443,19 @@ def q_sample_n(spark, sf):
 # --- sample grids and names ----------------------------------------------------------------------------------------
 
 
-@query("q_class_groups")
+def _groups_sql() -> str:
+    def values(pairs):
+        return ", ".join("('" + c.replace("'", "''") + "', '" + k + "')" for c, k in pairs)
+
+    alike = [(c, to) for c, to in zip(*naming.HOMOGLYPHS, strict=True)] + [(to, to) for to in naming.HOMOGLYPHS[1]] + [(c, k) for k, many in generate.ALSO.items() for c in many]
+    fixed = [(c, k) for k, c in generate.MARKS.items()] + [(d, d) for d in "0123456789"]
+    return f"""WITH g(ch, class) AS (VALUES {values(alike)}), f(ch, class) AS (VALUES {values(fixed)}),
+    l AS (SELECT chr(CAST(i AS INT)) AS ch FROM (SELECT unnest(range(65, 91)) AS i UNION ALL SELECT unnest(range(97, 123)) UNION ALL SELECT unnest(range(1040, 1104)))),
+    a AS (SELECT * FROM g UNION ALL SELECT * FROM f UNION ALL SELECT ch, ch FROM l WHERE ch NOT IN (SELECT ch FROM g))
+    SELECT class, count(*) AS n, string_agg(ch, '' ORDER BY ch) AS members FROM a GROUP BY ALL"""
+
+
+@query("q_class_groups", _groups_sql())
 def q_class_groups(spark, sf):
     return generate.characters(spark).groupBy("class").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("ch")), "").alias("members"))
 

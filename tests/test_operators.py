@@ -89,6 +89,42 @@ def test_rectangles(spark):
     assert [(r.x, r.y, r.w, r.h) for r in greedy.collect()] == [(0, 0, 2, 2)]
 
 
+def greedy_model(grid, least_run, least_h):
+    """Each run in raster order, unless taken, grows downwards while a run of its colour covers it; those runs are taken."""
+    lines = []
+    for y, line in enumerate(grid):
+        x = 0
+        while x < len(line):
+            e = x
+            while e + 1 < len(line) and line[e + 1] == line[x]:
+                e += 1
+            if e - x + 1 >= least_run:
+                lines.append((y, x, e, line[x]))
+            x = e + 1
+    taken, out = set(), []
+    for y, x1, x2, c in lines:
+        if (y, x1) in taken:
+            continue
+        h = 1
+        while True:
+            nxt = next((r for r in lines if r[0] == y + h and r[3] == c and r[1] <= x1 and r[2] >= x2 and (r[0], r[1]) not in taken), None)
+            if nxt is None:
+                break
+            taken.add((nxt[0], nxt[1]))
+            h += 1
+        if h >= least_h:
+            out.append((x1, y, x2 - x1 + 1, h, int(c)))
+    return sorted(out)
+
+
+def test_greedy_model(spark):
+    rng = random.Random(9)
+    for k in range(6):
+        grid = ["".join(rng.choice("0001") for _ in range(40)) for _ in range(14)]
+        got = shapes.greedy_rectangles(runs.row_runs(frame(spark, "\n".join(grid)), "q"), 2, 1 + k % 3)
+        assert sorted((r.x, r.y, r.w, r.h, r.value) for r in got.collect()) == greedy_model(grid, 2, 1 + k % 3)
+
+
 def boxes(spark, rows):
     return spark.createDataFrame([(0, i, *b, 1) for i, b in enumerate(rows)], "frame_id long, region_id long, minx int, miny int, maxx int, maxy int, cnt long")
 
