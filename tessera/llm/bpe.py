@@ -22,11 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, slices, texts, tidy
+from tessera.llm.common import long_parts, prepare, slices, texts, tidy
 
 #: Fixed value: the word pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 2048
+LONG_TEXT = 1 << 20
 #: Words that a worker remembers; later ones are encoded for their batch only, so memory is bounded.
 REMEMBERED = 250_000
 
@@ -75,6 +76,7 @@ class ByteBPE:
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.pattern = regex.compile(PATTERN)
+        self.safe = regex.compile(r"(?<=\p{L}) (?=\p{L})")
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[bytes, str, int]] = {}
 
@@ -177,7 +179,21 @@ class ByteBPE:
         return np.array([i], "<u4").tobytes(), str(i), 1
 
     def encode(self, many: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text: its ids as little-endian unsigned 32-bit numbers, and in decimal joined by commas."""
+        """Of each text: its ids as little-endian unsigned 32-bit numbers, and in decimal joined by commas.
+
+        Very long texts are cut between a letter and a blank before a letter, where words end whatever stands around.
+        """
+        out = []
+        for t in many:
+            if len(t) > LONG_TEXT and not any(x in t for x in self.special):
+                parts = [self._encode([x])[0] for x in long_parts(t, self.safe, LONG_TEXT)]
+                out.append((b"".join(p[0] for p in parts), ",".join(p[1] for p in parts)))
+            else:
+                out.append(None)
+        rest = iter(self._encode([t for t, o in zip(many, out, strict=True) if o is None]))
+        return [next(rest) if o is None else o for o in out]
+
+    def _encode(self, many: list[str]) -> list[tuple[bytes, str]]:
         split = []
         for t in many:
             parts = []

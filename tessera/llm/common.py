@@ -88,6 +88,15 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def long_parts(text: str, safe, most: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about `most` characters, cut where the pattern `safe` matches; a text without such a place stays whole."""
+    at = 0
+    while len(text) - at > most and (m := safe.search(text, at + most)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and n + 1 offsets; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

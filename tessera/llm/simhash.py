@@ -24,7 +24,7 @@ from tessera.llm.common import prepare, slices, tidy, written
 from tessera.llm.components import connected_components
 
 SEED = 42
-SMALL, LARGE = 8, 2048
+SMALL, LARGE, SHINGLES = 8, 2048, 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -36,14 +36,16 @@ def fingerprint(raw: bytes, words: int = 3) -> int:
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = [digest(joined, SEED)]
+        begins, ends = [0], [len(joined)]
     else:
         ends = (np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1).tolist()
-        begins = [0, *(e + 1 for e in ends)]
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(begins, ends[words - 1 :])]  # noqa: B905
-    h = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(h[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        begins, ends = [0, *(e + 1 for e in ends[:-words])], ends[words - 1 :]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(begins), SHINGLES):
+        hashes = [digest(joined[s:e], SEED) for s, e in zip(begins[at : at + SHINGLES], ends[at : at + SHINGLES], strict=True)]
+        h = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+        ones += np.concatenate([np.bincount(h[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(begins), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -24,6 +24,7 @@ SIZES = (4, 6, 8)
 BITS = 20
 TRAIN_ROWS = 6000
 SURE = 3.5
+SEGMENT = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -35,17 +36,22 @@ def ngram_ids(raw: np.ndarray, seen: np.ndarray) -> np.ndarray:
     b = _LOWER[raw]
     if len(b) > 1:
         b = b[~((b == 32) & np.concatenate([[False], b[:-1] == 32]))]
-    b = np.concatenate([[32], b, [32]]).astype(np.uint64)
-    ids, code = [], b
-    for n in range(2, max(SIZES) + 1):
-        if len(b) < n:
-            break
-        code = code[: len(b) - n + 1] << np.uint64(8) | b[n - 1 :]
-        if n in SIZES:
-            ids.append(((code + np.uint64(n)) * _MULTIPLIER >> np.uint64(64 - BITS)).astype(np.int32))
-    if not ids:
-        return np.zeros(0, np.int32)
-    ids = np.concatenate(ids)
+    b = np.concatenate([[32], b, [32]]).astype(np.uint8)
+    most, found = max(SIZES), []
+    for at in range(0, len(b), SEGMENT):  # so that a very long text takes little memory
+        part = b[at : at + SEGMENT + most - 1].astype(np.uint64)
+        ids, code = [np.zeros(0, np.int32)], part
+        for n in range(2, most + 1):
+            if len(part) < n:
+                break
+            code = code[: len(part) - n + 1] << np.uint64(8) | part[n - 1 :]
+            if n in SIZES:
+                ids.append(((code + np.uint64(n)) * _MULTIPLIER >> np.uint64(64 - BITS)).astype(np.int32))
+        found.append(_distinct(np.concatenate(ids), seen))
+    return found[0] if len(found) == 1 else _distinct(np.concatenate(found), seen)
+
+
+def _distinct(ids: np.ndarray, seen: np.ndarray) -> np.ndarray:
     order = np.arange(len(ids), dtype=np.int32)
     seen[ids] = order
     return ids[seen[ids] == order]

@@ -63,3 +63,12 @@ def test_ngrams_are_distinct():
     seen = np.zeros(1 << toxicity.BITS, np.int32)
     ids = toxicity.ngram_ids(np.frombuffer(b"abab  abab", np.uint8), seen)
     assert len(ids) == len(set(ids.tolist())) and len(toxicity.ngram_ids(np.zeros(0, np.uint8), seen)) == 0
+
+
+def test_ngrams_of_long_texts(monkeypatch):
+    raw = np.random.default_rng(3).integers(97, 101, 500).astype(np.uint8)
+    seen = np.zeros(1 << toxicity.BITS, np.int32)
+    whole = set(toxicity.ngram_ids(raw, seen).tolist())
+    monkeypatch.setattr(toxicity, "SEGMENT", 37)
+    cut = toxicity.ngram_ids(raw, seen).tolist()
+    assert set(cut) == whole and len(cut) == len(whole)

@@ -51,6 +51,12 @@ def test_covering_masks_lose_no_pair():
             assert any(not d & m for m in masks)
 
 
+def test_fingerprint_in_parts(monkeypatch):
+    monkeypatch.setattr(simhash, "SHINGLES", 5)
+    for t in ("", "a", "a b", "a b c", "A b c d", "x y " * 40, "é É ß word " * 9):
+        assert simhash.fingerprint(t.encode()) == brute_print(t)
+
+
 def test_buckets_split_exactly(monkeypatch):
     rng = random.Random(3)
     pool = [rng.getrandbits(64)]
