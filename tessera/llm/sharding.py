@@ -73,28 +73,40 @@ def hilbert_cells(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     return df.withColumn("__code", code.cast("int")).join(F.broadcast(table), "__code").drop("__code")
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and place of every document."""
-    dims = [d for d in dims if d in docs.columns]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cells = hilbert_cells(docs, dims, bits) if dims else docs.withColumn("__cell", F.lit(0))
-    rows = cells.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        "__cell",
-        F.pmod(F.xxhash64("doc_id"), F.lit(SUBBUCKETS)).cast("int").alias("__sub"),
-    )
-    # narrow rows; at most 4096 x SUBBUCKETS counts
-    counts = cells.select("__cell", F.pmod(F.xxhash64("doc_id"), F.lit(SUBBUCKETS)).cast("int").alias("__sub")).groupBy("__cell", "__sub").agg(F.count("*").alias("__n"))
+def _placed(cells: DataFrame, columns: list, shards: int) -> DataFrame:
+    """The columns of rows with __cell, and their place, shard and slot. Ties are ordered by id and text."""
+    sub = F.pmod(F.xxhash64("doc_id"), F.lit(SUBBUCKETS)).cast("int").alias("__sub")
+    # at most 4096 x SUBBUCKETS counts, of narrow rows
+    counts = cells.select("__cell", sub).groupBy("__cell", "__sub").agg(F.count("*").alias("__n"))
     per_cell = counts.groupBy("__cell").agg(F.sum("__n").alias("__m"))
     before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows at most
-    whole = Window.partitionBy()
-    per_cell = per_cell.select("__cell", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__first"), F.sum("__m").over(whole).alias("__all"))
-    sub = Window.partitionBy("__cell").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("__into", F.coalesce(F.sum("__n").over(sub), F.lit(0))).join(F.broadcast(per_cell), "__cell").select("__cell", "__sub", (F.col("__first") + F.col("__into")).alias("__base"), "__all")
-    rank = Window.partitionBy("__cell", "__sub").orderBy("doc_id", "text_crc32")
-    placed = rows.join(base, ["__cell", "__sub"]).withColumn("place", F.col("__base") + F.row_number().over(rank) - 1)
-    shard = F.expr(f"place * {shards} div __all")
+    per_cell = per_cell.select("__cell", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__first"), F.sum("__m").over(Window.partitionBy()).alias("__all"))
+    within = Window.partitionBy("__cell").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("__into", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(per_cell), "__cell").select("__cell", "__sub", (F.col("__first") + F.col("__into")).alias("__base"), "__all")
+    rank = Window.partitionBy("__cell", "__sub").orderBy("doc_id", "__crc")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = cells.select(*columns, F.crc32(F.encode(text, "UTF-8")).alias("__crc"), "__cell", sub)
+    placed = rows.join(base, ["__cell", "__sub"]).withColumn("place", (F.col("__base") + F.row_number().over(rank) - 1).cast("long"))
+    placed = placed.withColumn("shard", F.expr(f"place * {shards} div __all").cast("int"))
     first = F.expr(f"(shard * __all + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("place").cast("long"))
+    return placed.withColumn("slot", (F.col("place") - first).cast("long")).drop("__base", "__all", "__cell", "__sub")
+
+
+def _cells(docs: DataFrame, dims: tuple[str, ...], bits: int) -> DataFrame:
+    dims = [d for d in dims if d in docs.columns]
+    return hilbert_cells(docs, dims, bits) if dims else docs.withColumn("__cell", F.lit(0))
+
+
+def shard_rows(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and place of every document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    columns = [F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size")]
+    placed = _placed(_cells(docs, dims, bits), columns, shards)
+    return placed.select("doc_id", "size", F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, files: int = 1, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4) -> None:
+    """Write whole documents as Parquet, a folder for each shard, about `files` files in each, in curve order."""
+    placed = _placed(_cells(docs, dims, bits), [F.col(f"`{c}`") for c in docs.columns], shards).drop("__crc", "slot")
+    spread = placed.repartitionByRange(shards * files, "shard", "place").sortWithinPartitions("shard", "place")
+    spread.drop("place").write.partitionBy("shard").parquet(path)

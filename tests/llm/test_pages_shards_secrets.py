@@ -95,6 +95,16 @@ def test_shards(spark, sf, odd_docs, no_docs):
     assert sharding.shard_rows(no_docs).count() == 0
 
 
+def test_shard_files(spark, odd_docs, tmp_path):
+    path = str(tmp_path / "shards")
+    sharding.write_shards(odd_docs, path, shards=4)
+    got = spark.read.parquet(path)
+    assert set(got.columns) == {*odd_docs.columns, "shard"}
+    assert Counter(map(str, got.select(odd_docs.columns).collect())) == Counter(map(str, odd_docs.collect()))
+    counts = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+
+
 def test_shards_prune(spark):
     """Rows that are alike in a dimension lie in few shards."""
     docs = spark.range(4000).selectExpr("id as doc_id", "'x' as text", "concat('l', id % 4) as lang", "concat('s', id % 16) as source", "id % 1000 as n_chars")
