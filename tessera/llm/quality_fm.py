@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import flat, labelled_sample, prepare, slices, tidy
 
-BITS, RANK, TRAIN_ROWS = 15, 8, 6000
+BITS, RANK, TRAIN_ROWS, SEGMENT = 15, 8, 6000, 1 << 16
 _PRIME = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_KIND = np.zeros(256, np.int64)  # 0 letter or part of one, 1 blank, 2 line end, 3 capital, 4 digit, 5 sentence mark, 6 other mark
+_KIND = np.zeros(256, np.uint8)  # 0 letter or part of one, 1 blank, 2 line end, 3 capital, 4 digit, 5 sentence mark, 6 other mark
 _KIND[[32, 9, 11, 12, 13]] = 1
 _KIND[10] = 2
 _KIND[65:91] = 3
@@ -44,32 +44,37 @@ def _spans(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Features:
-    """Feature ids and values of texts; powers of the hash's prime are kept between calls."""
+    """Feature ids and values of texts. Texts are gone through SEGMENT bytes at a time, so very long ones take little memory."""
 
     def __init__(self):
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) <= n:
-            n = max(2 * n, 1 << 16)
-            for name, base in (("powers", _PRIME), ("inverses", _INVERSE)):
-                setattr(self, name, np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))]))
-
-    def _hashes(self, prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return (prefix[e] - prefix[s]) * self.inverses[s] * _MIX
+        self.powers, self.inverses = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(SEGMENT, base, np.uint64))]) for base in (_PRIME, _INVERSE))
+
+    def _hashes(self, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """A hash of each run low[s:e]: a polynomial in its bytes, by prefix sums, brought to the power of its first byte."""
+        first, last, shift = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
+        carry, power, inverse = np.uint64(0), np.uint64(1), np.uint64(1)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(low), SEGMENT):
+                part = low[at : at + SEGMENT]
+                n = len(part)
+                prefix = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.powers[:n])]) * power + carry
+                for places, out in ((s, first), (e, last)):
+                    k = slice(np.searchsorted(places, at), np.searchsorted(places, at + n, side="right"))
+                    out[k] = prefix[places[k] - at]
+                k = slice(np.searchsorted(s, at), np.searchsorted(s, at + n))
+                shift[k] = self.inverses[s[k] - at] * inverse
+                carry, power, inverse = prefix[-1], power * self.powers[n], inverse * self.inverses[n]
+            return (last - first) * shift * _MIX
 
     def of(self, raw: np.ndarray, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         """raw: a text's bytes."""
         n = len(raw)
-        self._grow(n)
-        low = _LOWER[raw]
-        prefix = np.concatenate([[np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.powers[:n])])
-        kinds = _KIND[raw]
-        counts = np.bincount(kinds, minlength=7)
+        low, kinds = _LOWER[raw], _KIND[raw]
+        counts = sum((np.bincount(kinds[at : at + SEGMENT], minlength=7) for at in range(0, n, SEGMENT)), np.zeros(7, np.int64))
         s, e = _spans((kinds == 1) | (kinds == 2))
-        words = self._hashes(prefix, s, e)
+        words = self._hashes(low, s, e)
         ls, le = _spans(kinds == 2)
-        lines = self._hashes(prefix, ls, le)
+        lines = self._hashes(low, ls, le)
         _, often = np.unique(lines, return_counts=True)
         ids, tf = np.unique(words >> np.uint64(64 - BITS), return_counts=True)
         nw, solid = max(1, len(words)), max(1, n - counts[1] - counts[2])

@@ -72,3 +72,11 @@ def test_ngrams_of_long_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "SEGMENT", 37)
     cut = toxicity.ngram_ids(raw, seen).tolist()
     assert set(cut) == whole and len(cut) == len(whole)
+
+
+def test_features_of_long_texts(monkeypatch):
+    raw = np.frombuffer(("Some words, repeated\nlines and wörds. " * 60 + "x" * 300).encode(), np.uint8)
+    ids, x = quality_fm.Features().of(raw, 9)
+    monkeypatch.setattr(quality_fm, "SEGMENT", 41)
+    again, y = quality_fm.Features().of(raw, 9)
+    assert ids.tolist() == again.tolist() and x.tolist() == y.tolist()
