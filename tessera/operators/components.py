@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 SPAN = 64
 
 
@@ -70,6 +72,8 @@ def frame_pairs(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, value: np.ndarray
 def components(runs: DataFrame, eight: bool = False) -> DataFrame:
     """runs with component, the smallest run_id of each component; a frame is worked on in one task, after one shuffle."""
 
+    ship(runs.sparkSession)
+
     def label(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("run_id")
         i, j = frame_pairs(*(frame[c].to_numpy().astype(np.int64) for c in ("y", "x1", "x2", "value")), eight)

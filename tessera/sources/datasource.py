@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from tessera.session import ship
 from tessera.sources.images import DECODERS, BadImage, encode_bmp, encode_png
 
 
@@ -81,4 +82,4 @@ class Raster(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Raster)
+    ship(spark).dataSource.register(Raster)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.topology import nodes
+from tessera.session import ship
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 TREE_MAGIC, MIXED = 0x51494D47, 0xFFFF
@@ -175,7 +176,7 @@ def read_images(spark: SparkSession, path: str, strict: bool = False) -> DataFra
                     out.append((name, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "w", "h", "raw", "error"]).astype({"w": "Int32", "h": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, w int, h int, raw binary, error string")
+    return ship(spark).read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, w int, h int, raw binary, error string")
 
 
 def image_pixels(images: DataFrame) -> DataFrame:
