@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SUBBUCKETS = 64
+SUBBUCKETS = 1024
 
 
 def hilbert_index(point: list[int], bits: int) -> int:
