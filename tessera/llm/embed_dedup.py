@@ -1,11 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass orders the distinct vectors lexicographically by 64 concatenated random-hyperplane hashes and compares each
-with at least WINDOW neighbours in that order; pairs verified with the cosine in double precision are united across
-passes. A link joins only vectors of one component, so an exact check then counts every vector's links within its
-component, in blocks (of about BLOCK vectors, in components of many blocks up to 32 times that), without emitting pairs. A pair is missed only if no pass and no
-chain of found links brings its ends together; with 16 passes that is under 2 % for a lone pair exactly at 0.9 among
-50,000 vectors and far less for closer ones.
+"""Embedding near-duplicates by tables of random-hyperplane buckets, as many as one bound on misses asks for.
+
+In each table a vector's bucket is the signs of its products with `bits` random hyperplanes, and all vectors of a bucket
+are compared, in blocks that meet in separate tasks, however many a dense place puts there; pairs verified with the cosine
+in double precision are united across tables. `bits` follows the count of distinct vectors, so that a bucket of spread
+vectors holds about BUCKET, and the number of tables follows `bits`: a pair exactly at the threshold agrees in a sign with
+probability 1 - angle / pi, whatever lies around it, so that no table brings it together with probability MISS at most, at
+every size and density. Closer pairs are missed far less, and a chain of found links also brings ends together. Up to
+BUCKET vectors there is one bucket and nothing is missed. A link joins only vectors of one component, so an exact check
+then counts every vector's links within its component, in blocks (of about BLOCK vectors, in components of many blocks up
+to 32 times that), without emitting pairs.
 
 Vectors that are null, zero, or have null or non-finite components link with nothing, nor do vectors of different
 lengths, nor rows with a null id. Equal vectors are one class with a count, so copies don't multiply. A repeated id counts
@@ -14,6 +17,9 @@ as another vector. An empty table gives an empty one; columns beside vec_id and
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +29,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import prepare, slices, tidy, written
 from tessera.llm.components import connected_components
 
-PASSES, WINDOW, BLOCK, SPREAD = 16, 64, 128, 32
+MISS, BUCKET, BLOCK, SPREAD = 0.001, 512, 128, 32
+#: Rows of a large bucket's blocks: many small ones up to SPREAD blocks, then larger ones, so that copies of rows stay few.
+HALL, HALLS = 1024, 8192
 
 
 def valid_vectors(column: pa.Array, kind: str) -> list[bytes | None]:
@@ -93,57 +101,98 @@ def _unite(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def projection_edges(classes: DataFrame, floats: str, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(a, b): verified edges between class ids, found by neighbours in each pass's order."""
+def tables_for(n: int, least: float = 0.9, miss: float = MISS) -> tuple[int, int]:
+    """(bits, tables): a pair at the cosine `least` among n vectors meets in no table with probability `miss` at most."""
+    bits = min(64, max(0, math.ceil(math.log2(max(n, 1) / BUCKET))))
+    meets = (1 - math.acos(least) / math.pi) ** bits
+    return bits, 1 if meets == 1 else math.ceil(math.log(miss) / math.log1p(-meets))
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], list[tuple[int, int]]]]:
+    """Columns of sorted rows, and where whole groups of equal first `keys` columns start and end in them."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)])
+        at = np.flatnonzero(new)
+        rest = [c[at[-1] :] for c in cols]
+        if len(at) > 1:
+            yield cols, list(zip(at, at[1:]))  # noqa: B905
+    if rest is not None:
+        yield rest, [(0, len(rest[0]))]
+
+
+def projection_edges(classes: DataFrame, floats: str, least: float = 0.9, miss: float = MISS) -> DataFrame:
+    """(a, b): verified edges between class ids, found in the buckets of each table."""
+    bits, tables = tables_for(classes.count(), least, miss)
 
     def keys(batches):
         with tidy():
             for batch in slices(batches, 2048):
                 raw = batch.column(1).to_pylist()
-                out = np.zeros((len(raw), passes), np.int64)
-                for dim in {len(r) for r in raw}:
-                    at = [i for i, r in enumerate(raw) if len(r) == dim]
-                    x = unit_rows([raw[i] for i in at], floats)
-                    for p in range(passes):
-                        bits = np.packbits(x @ planes(p, x.shape[1]) > 0, axis=1).view(">u8").astype(np.uint64)[:, 0]
-                        out[at, p] = (bits ^ np.uint64(1 << 63)).view(np.int64)  # in signed order
                 n = len(raw)
+                out = np.zeros((n, tables), np.int64)
+                size = np.array([len(r) for r in raw], np.int32)
+                for dim in set(size.tolist()) if bits else ():
+                    at = np.flatnonzero(size == dim)
+                    x = unit_rows([raw[i] for i in at], floats)
+                    for t in range(tables):
+                        signs = np.packbits(x @ planes(t, x.shape[1]) > 0, axis=1).view(">u8").astype(np.uint64)[:, 0]
+                        out[at, t] = (signs >> np.uint64(64 - bits)).view(np.int64)
+                each = pa.array(np.repeat(np.arange(n), tables))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(passes, dtype=np.int32), n)), pa.array(out.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(n), passes))), batch.column(1).take(pa.array(np.repeat(np.arange(n), passes)))],
-                    names=["p", "key", "cid", "vec"],
+                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(np.repeat(size, tables)), pa.array(out.reshape(-1)), batch.column(0).take(each), batch.column(1).take(each)],
+                    names=["p", "dim", "key", "cid", "vec"],
                 )
 
     kind = classes.schema["cid"].dataType.simpleString()
-    keyed = classes.select("cid", "vec").mapInArrow(keys, f"p int, key long, cid {kind}, vec binary")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "p", "key").sortWithinPartitions("p", "key", "cid")
+    place = ["p", "dim", "key"]
+    keyed = classes.select("cid", "vec").mapInArrow(keys, f"p int, dim int, key long, cid {kind}, vec binary")
+    # only buckets of more than one block are looked up again: few, and none where vectors are spread
+    large = written(keyed.groupBy(*place).agg(F.count("*").alias("m")).where(F.col("m") > HALL), "large-buckets")
+    blocks = F.least(F.ceil(F.col("m") / HALL), F.greatest(F.lit(SPREAD), F.ceil(F.col("m") / HALLS))).cast("int")
+    placed = keyed.join(large, place, "left").withColumn("nb", F.when(F.col("m").isNull(), 1).otherwise(blocks))
+    dealt = meetings(placed, [*place, "cid", "vec"])
+    ordered = dealt.repartition(*place, "bi", "bj").sortWithinPartitions(*place, "bi", "bj", "cid")
 
     def compare(batches):
         with tidy():
-            rest = None
-            for batch in slices(batches, 4096):
-                cols = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), np.array(batch.column(3).to_pylist(), object)]
-                if rest is not None:
-                    cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-                p, cid, raw = cols
-                dims = np.array([len(r) for r in raw])
-                found = []
-                for pass_, dim in sorted(set(zip(p.tolist(), dims.tolist()))):  # noqa: B905
-                    at = np.flatnonzero((p == pass_) & (dims == dim))
-                    x = unit_rows(list(raw[at]), floats)
-                    for s in range(0, len(at), 256):
-                        hit = block_links(x[s : s + 256], x[s : s + 256 + window], least)
-                        i, j = np.nonzero(hit)
-                        up = j > i
-                        if up.any():
-                            label = _unite(i[up], j[up], hit.shape[1])
-                            m = np.flatnonzero(label != np.arange(len(label)))
-                            found.append((cid[at[s + m]], cid[at[s + label[m]]]))
+            for cols, groups in in_groups(batches, 5):
+                cid, found = cols[6], []
+                for s, e in groups:
+                    bi, bj, k = cols[3][s], cols[4][s], cols[5][s:e]
+                    x = unit_rows(list(cols[7][s:e]), floats)
+                    first, second = np.flatnonzero(k == bi), np.flatnonzero(k == bj)
+                    i, j = [], []
+                    for at in range(0, len(first) if len(second) else 0, 512):
+                        some = first[at : at + 512]
+                        u, v = np.nonzero(block_links(x[some], x[second], least))
+                        i.append(some[u])
+                        j.append(second[v])
+                    if not i:
+                        continue
+                    i, j = np.concatenate(i), np.concatenate(j)
+                    label = _unite(i, j, e - s)
+                    m = np.flatnonzero(label != np.arange(len(label)))
+                    found.append((cid[s + m], cid[s + label[m]]))
                 a, b = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (cid[:0], cid[:0])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                rest = [c[-window:] for c in cols]
 
-    return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
+    return ordered.select(*place, "bi", "bj", "k", "cid", "vec").mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def meetings(placed: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of groups of nb blocks, with their block k and each meeting (bi, bj) of two blocks of the group, or of one with itself.
+
+    A member meets each block of its group once: as row where its block comes first, as column else.
+    """
+    at = placed.withColumn("k", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    dealt = at.select(*names, "k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    return dealt.select(*names, "k", F.least("k", "o").alias("bi"), F.greatest("k", "o").alias("bj"))
 
 
 def component_links(members: DataFrame, floats: str, least: float = 0.9) -> DataFrame:
@@ -151,10 +200,7 @@ def component_links(members: DataFrame, floats: str, least: float = 0.9) -> Data
     sizes = members.groupBy("root").agg(F.count("*").alias("m"))
     # small blocks spread a component over tasks; in a very large one larger blocks keep the copies of its rows few
     blocks = F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(SPREAD), F.ceil(F.col("m") / (32 * BLOCK)))).cast("int")
-    placed = members.join(sizes, "root").withColumn("nb", blocks).withColumn("k", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    # a member meets each block of its component once: as row where its block comes first, as column else
-    dealt = placed.select("cid", "root", "vec", "n", "k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    dealt = dealt.select("cid", "root", "vec", "n", "k", F.least("k", "o").alias("bi"), F.greatest("k", "o").alias("bj"))
+    dealt = meetings(members.join(sizes, "root").withColumn("nb", blocks), ["cid", "root", "vec", "n"])
     dealt = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "cid")
     kind = members.schema["cid"].dataType.simpleString()
 
@@ -179,21 +225,8 @@ def component_links(members: DataFrame, floats: str, least: float = 0.9) -> Data
 
     def run(batches):
         with tidy():
-            rest = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cols = [np.array(batch.column(c).to_pylist(), object) if c == "vec" else batch.column(c).to_numpy() for c in ("root", "bi", "bj", "cid", "vec", "n", "k")]
-                if rest is not None:
-                    cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-                new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
-                at = np.flatnonzero(new)
-                rest = [c[at[-1] :] for c in cols]
-                done = [(s, e) for s, e in zip(at, at[1:])]  # noqa: B905
-                if done:
-                    yield out(cols, done)
-            if rest is not None:
-                yield out(rest, [(0, len(rest[0]))])
+            for cols, done in in_groups(batches, 3):
+                yield out(cols, done)
 
     def out(cols, done):
         ids, links = [], []
@@ -205,15 +238,15 @@ def component_links(members: DataFrame, floats: str, least: float = 0.9) -> Data
         ids = np.concatenate(ids) if ids else cols[3][:0]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(links) if links else np.zeros(0, np.int64))], names=["cid", "links"])
 
-    counted = dealt.mapInArrow(run, f"cid {kind}, links long")
+    counted = dealt.select("root", "bi", "bj", "cid", "vec", "n", "k").mapInArrow(run, f"cid {kind}, links long")
     return counted.groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     floats = float_kind(vectors)
     rows, classes = vector_classes(vectors)
-    labels = written(connected_components(projection_edges(classes, floats, least, passes, window)), "vector-components")
+    labels = written(connected_components(projection_edges(classes, floats, least, miss)), "vector-components")
     members = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
     links = component_links(members, floats, least)
     known = classes.select("cid", "n", "d1", "d2").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")

@@ -146,3 +146,32 @@ def test_embedding_odd_rows(spark):
     df = spark.createDataFrame([(*v, "a", 1) for v in vectors], "vec_id long, embedding array<double>, `key` string, n int")
     assert own_links(embed_dedup.near_duplicates(df)) == brute_links(vectors)
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_tables_follow_the_size():
+    agree = 1 - np.arccos(0.9) / np.pi
+    for n in (1, 512, 513, 50_000, 500_000, 5_000_000, 50_000_000, 10**9):
+        bits, tables = embed_dedup.tables_for(n)
+        assert n / 2**bits <= embed_dedup.BUCKET and (1 - agree**bits) ** tables <= embed_dedup.MISS
+
+
+def test_embedding_dense_below_threshold(spark):
+    """Pairs at 0.9 in a crowd whose members are at 0.8 to each other, which nothing links."""
+    rng = np.random.default_rng(5)
+    n, pairs, dim = 8000, 400, 64
+    centre = np.eye(dim)[0]
+
+    def off(x, cosine):
+        y = rng.standard_normal(x.shape)
+        y[:, 0] = 0
+        y -= (y * x).sum(1)[:, None] * x / (x * x).sum(1)[:, None]
+        return cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1)[:, None]
+
+    x = off(np.tile(centre, (n, 1)), 0.8**0.5)
+    x = np.concatenate([x, off(x[:pairs], 0.905)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in embed_dedup.near_duplicates(df).orderBy("vec_id").collect()])
+    print(want.sum(), got.sum())
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 0
