@@ -530,8 +530,8 @@ st(run, slot, k, tick, ms, kept, busy) AS (SELECT run, slot, k, tick, ms, true,
 
 
 def _ticks(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return read(spark, sf, "events").select(C("user_id").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("tick"), (F.abs("value") * 40).cast("double").alias("service_ms"))
+    events = slots.numbered(read(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], "tick")
+    return events.select(C("user_id").alias("run"), C("tick").cast("long"), (F.abs("value") * 40).cast("double").alias("service_ms"))
 
 
 @query("q_load_shed", f"WITH RECURSIVE {SHED} SELECT run, slot, tick, kept FROM st")

@@ -1,11 +1,11 @@
-"""Frame slots: load shedding by a ring of slots, as a batch fold and as a keyed stream; file name streams."""
+"""Frame slots: load shedding by a ring of slots, as a batch by pointer doubling and as a keyed stream; file name streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TICKS = "tick long, service_ms double"
@@ -16,23 +16,55 @@ def with_slot(ticks: DataFrame, slots: int) -> DataFrame:
     return ticks.withColumn("slot", (F.col("tick") % slots).cast("int"))
 
 
-def shed(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | None = None) -> DataFrame:
+def spread(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows in the order of keys and `order`, in ranges that may cut a key: with __key, __p (the range) and __id (ascending)."""
+    at = rows.withColumn("__key", F.struct(*keys))
+    at = at.repartitionByRange("__key", *order).sortWithinPartitions("__key", *order)
+    return at.withColumns({"__p": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}).checkpoint()
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number within a key, from 0: counted by range, so that no task needs a key whole."""
+    at = spread(rows, keys, order)
+    heads = at.groupBy("__key", "__p").agg(F.min("__id").alias("lo"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__key").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.select("__key", "__p", (F.coalesce(before, F.lit(0)) - F.col("lo")).alias("shift"))
+    return at.join(heads, ["__key", "__p"]).withColumn(name, F.col("__id") + F.col("shift")).select(*rows.columns, name)
+
+
+def successors(rows: DataFrame) -> DataFrame:
+    """(id, next): the first later row of each row's key that is at `busy` or after; null if none. rows: __key, id, at, busy."""
+    # a row that takes no time is followed by the next one, also one of the same tick; else busy comes before all rows of its time
+    asks = rows.where("busy IS NOT NULL").select("__key", F.greatest("busy", "at").alias("pos"), F.when(F.col("busy") <= F.col("at"), F.col("id")).otherwise(-1).alias("tie"), F.lit(1).alias("ask"), F.col("id").alias("asker"), F.lit(None).cast("long").alias("row"))
+    both = asks.unionByName(rows.select("__key", F.col("at").alias("pos"), F.col("id").alias("tie"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("asker"), F.col("id").alias("row")))
+    at = spread(both.withColumnRenamed("__key", "key"), ["key"], ["pos", "tie", "ask"])
+    later = Window.partitionBy("__key", "__p").orderBy(F.desc("__id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = Window.partitionBy("__key").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = at.groupBy("__key", "__p").agg(F.min("row").alias("head"))
+    heads = heads.select("__key", "__p", F.last("head", True).over(beyond).alias("beyond"))
+    found = at.withColumn("near", F.last("row", True).over(later)).where("ask = 1")
+    return found.join(heads, ["__key", "__p"]).select(F.col("asker").alias("id"), F.coalesce("near", "beyond").alias("next"))
+
+
+def shed(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | None = None, hops: int = 50) -> DataFrame:
     """ticks (tick, service_ms, and a run's key) with kept: a tick is dropped while its slot works on an earlier one.
 
-    Each slot of a run is folded in tick order; give long feeds a run key, so that no slot's history is unbounded.
+    The tick that a slot takes after a kept one is fixed by that one alone, so kept ticks are those that pointer doubling
+    reaches from each slot's first: 2^hops are followed. Ranges of ticks may cut a slot, and no task needs a slot whole.
     """
     keys = ([run] if run else []) + ["slot"]
-    rows = F.array_sort(F.collect_list(F.struct("tick", "service_ms")))
-    start = F.struct(F.lit(-1.0).alias("busy"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(a, x):
-        at = (x["tick"] * period_ms).cast("double")
-        free = at >= a["busy"]
-        return F.struct(F.when(free, at + x["service_ms"]).otherwise(a["busy"]).alias("busy"), F.when(free, F.concat(a["kept"], F.array(x["tick"]))).otherwise(a["kept"]).alias("kept"))
-
-    folded = with_slot(ticks, slots).groupBy(*keys).agg(rows.alias("rows")).withColumn("kept_ticks", F.aggregate("rows", start, step, lambda a: a["kept"]))
-    each = folded.select(*keys, "kept_ticks", F.explode("rows").alias("r"))
-    return each.select(*keys, "r.tick", "r.service_ms", F.array_contains("kept_ticks", F.col("r.tick")).alias("kept"))
+    at = spread(with_slot(ticks, slots).select(*keys, "tick", "service_ms"), keys, ["tick", "service_ms"])
+    at = at.withColumn("at", (F.col("tick") * period_ms).cast("double")).withColumnRenamed("__id", "id")
+    links = successors(at.select("__key", "id", "at", (F.col("at") + F.col("service_ms")).alias("busy"))).where("next IS NOT NULL").checkpoint()
+    reached = at.where("at >= -1").groupBy("__key").agg(F.min("id").alias("id")).select("id").checkpoint()
+    for _ in range(hops):
+        if links.isEmpty():
+            break
+        reached = reached.unionByName(reached.join(links, "id").select(F.col("next").alias("id"))).distinct().checkpoint()
+        links = links.join(links.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")).checkpoint()
+    else:
+        raise RuntimeError("a slot keeps more than 2^hops ticks")
+    return at.join(reached.withColumn("kept", F.lit(True)), "id", "left").select(*keys, "tick", "service_ms", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def shed_stream(ticks: DataFrame, slots: int, period_ms: int = 250) -> DataFrame:

@@ -85,6 +85,33 @@ def test_shed(spark):
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True}
 
 
+def test_shed_needs_no_whole_slot(spark):
+    """A hot run, ranges that cut its slots, nulls, ties and services of no time against a fold; no group is collected."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 7 == 0 else "hot", int(t), float(s)) for k, (t, s) in enumerate(zip(np.sort(rng.integers(0, 2500, 3000)), rng.choice([0.0, 250.0, 600.5, 1500.0], 3000), strict=True))]
+    df = spark.createDataFrame(rows, "run string, tick long, service_ms double").repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        out = slots.shed(df, 3, 250, "run")
+        got = sorted(str((r.run, r.slot, r.tick, r.service_ms, r.kept)) for r in out.collect())
+        ranges = slots.spread(df, ["run"], ["tick"]).where("run = 'hot'").select("__p").distinct().count()
+        places = sorted((r.run or "", r.tick, r.n) for r in slots.numbered(df.select("run", "tick").distinct(), ["run"], ["tick"], "n").collect())
+    finally:
+        spark.conf.unset(coalesce)
+    assert ranges > 1
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want, busy = [], {}
+    for run, tick, ms in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        kept = tick * 250.0 >= busy.get((run, tick % 3), -1.0)
+        if kept:
+            busy[run, tick % 3] = tick * 250.0 + ms
+        want.append((run, tick % 3, tick, ms, kept))
+    assert got == sorted(map(str, want))
+    for run in ("", "hot"):
+        assert [n for r, _, n in places if r == run] == list(range(sum(r == run for r, _, _ in places)))
+
+
 def test_shed_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame(TICKS, slots.TICKS).coalesce(1).write.parquet(src)
