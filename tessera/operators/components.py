@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import ship
@@ -99,8 +99,8 @@ def relational_components(runs: DataFrame, eight: bool = False, rounds: int = 50
     raise RuntimeError("components did not settle")
 
 
-def boxes(labelled: DataFrame) -> DataFrame:
-    """Bounding box and area of each component."""
+def boxes(labelled: DataFrame, *more: Column) -> DataFrame:
+    """Bounding box and area of each component, and more aggregates of its runs."""
     return labelled.groupBy("frame_id", "component", "value").agg(
-        F.min("x1").alias("minx"), F.min("y").alias("miny"), F.max("x2").alias("maxx"), F.max("y").alias("maxy"), F.sum(F.col("x2") - F.col("x1") + 1).cast("long").alias("cnt"), F.count("*").alias("runs")
+        F.min("x1").alias("minx"), F.min("y").alias("miny"), F.max("x2").alias("maxx"), F.max("y").alias("maxy"), F.sum(F.col("x2") - F.col("x1") + 1).cast("long").alias("cnt"), F.count("*").alias("runs"), *more
     )

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import boxes
 from tessera.params import DEFAULT, Params
 
+#: More block columns than any frame has.
+WIDEST = 1 << 20
 
-def number_regions(boxed: DataFrame) -> DataFrame:
-    """region_id: the rank of a component's first run within its frame."""
-    return boxed.withColumn("region_id", F.dense_rank().over(Window.partitionBy("frame_id").orderBy("component")).cast("long"))
+
+def block_order(y: Column, x: Column, size: int = 32) -> Column:
+    """A pixel's place in the order of block row, block column, row in the block, column in the block."""
+    by, bx, dy, dx = F.floor(y / size), F.floor(x / size), y % size, x % size
+    return (by * WIDEST + bx) * size * size + dy * size + dx
+
+
+def number_regions(labelled: DataFrame, size: int = 32) -> DataFrame:
+    """Boxes of labelled runs with region_id: the rank, within the frame, of a component's first pixel in block order.
+
+    A run's first pixel in that order is its left end, as a run lies in one row.
+    """
+    first = F.min(block_order(F.col("y").cast("long"), F.col("x1"), size)).alias("first")
+    order = Window.partitionBy("frame_id").orderBy("first")
+    return boxes(labelled, first).withColumn("region_id", F.row_number().over(order).cast("long")).drop("first")
 
 
 def small_regions(regions: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -235,12 +235,14 @@ def q_rect_drawn(spark, sf):
 
 
 MASKED = f"{PX}, {BL}, {HI}, {BC}, fg AS (SELECT bl.frame_id, y, x, 1 AS ink FROM bl JOIN bc USING (frame_id, brow, bcol) WHERE NOT uniform AND q <> bg)"
-REG4 = f"WITH RECURSIVE {MASKED}, {ROWS.format(run_sql('fg', 'ink', 'x'))}, {component_sql('ro', False)}, rs AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY component) AS region_id FROM bxs)"
+# the first pixel of a region in the order of blocks, of which a frame has two columns
+FIRST_PIXEL = "fp AS (SELECT fg.frame_id, component, min(((y // 32 * 2 + x // 32) * 32 + y % 32) * 32 + x % 32) AS local FROM (SELECT DISTINCT frame_id, y, x FROM fg) fg JOIN (SELECT frame_id, y AS ry, x1, x2, component FROM rn JOIN cc USING (frame_id, run_id)) r ON r.frame_id = fg.frame_id AND r.ry = fg.y AND fg.x BETWEEN r.x1 AND r.x2 GROUP BY ALL)"
+REG4 = f"WITH RECURSIVE {MASKED}, {ROWS.format(run_sql('fg', 'ink', 'x'))}, {component_sql('ro', False)}, {FIRST_PIXEL}, rs AS (SELECT bxs.*, row_number() OVER (PARTITION BY frame_id ORDER BY local) AS region_id FROM bxs JOIN fp USING (frame_id, component))"
 
 
 def _regions(spark, sf):
     ink = blocks.foreground(_q(spark, sf), "q").withColumn("ink", F.lit(1))
-    return regions.number_regions(components.boxes(components.components(components.numbered(runs.row_runs(ink, "ink")))))
+    return regions.number_regions(components.components(components.numbered(runs.row_runs(ink, "ink"))))
 
 
 @query("q_regions4", f"{REG4} SELECT frame_id, region_id, minx, miny, maxx, maxy, cnt, runs FROM rs")

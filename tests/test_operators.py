@@ -73,6 +73,16 @@ def test_components(spark, eight):
         assert got == flood(grid, eight)
 
 
+def test_regions_are_numbered_by_block(spark):
+    """Blocks of 2: raster order meets the right block's first row before the left block's second; block order doesn't."""
+    r = components.numbered(runs.row_runs(frame(spark, "0010\n1000\n0000\n0101").where("q = 1"), "q"))
+    got = {(i.minx, i.miny): i.region_id for i in regions.number_regions(components.components(r), 2).collect()}
+    assert got == {(0, 1): 1, (2, 0): 2, (1, 3): 3, (3, 3): 4}
+    whole = components.numbered(runs.row_runs(frame(spark, "0011\n1110\n0000\n0100").where("q = 1"), "q"))
+    got = {i.cnt: i.region_id for i in regions.number_regions(components.components(whole), 2).collect()}
+    assert got == {5: 1, 1: 2}
+
+
 def test_diagonal(spark):
     r = components.numbered(runs.row_runs(frame(spark, "10\n01").where("q = 1"), "q"))
     assert components.components(r).select("component").distinct().count() == 2
