@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import boxes
 from tessera.params import DEFAULT, Params
+from tessera.session import written
 
 #: More block columns than any frame has.
 WIDEST = 1 << 20
@@ -81,12 +82,13 @@ def chains(regions: DataFrame, links: DataFrame, hops: int = 10) -> DataFrame:
     Chains have no cycle, as each link goes strictly to the right, and are no longer than a frame has regions.
     """
     box = ["minx", "miny", "maxx", "maxy"]
-    cur = regions.select("frame_id", "region_id", *box).join(links.select("frame_id", "region_id", F.col("neighbor_id").alias("next")), ["frame_id", "region_id"]).withColumn("n", F.lit(1).cast("long")).checkpoint()
+    links = written(links, "links")
+    cur = regions.select("frame_id", "region_id", *box).join(links.select("frame_id", "region_id", F.col("neighbor_id").alias("next")), ["frame_id", "region_id"]).withColumn("n", F.lit(1).cast("long"))
     for _ in range(hops):
         far = cur.select("frame_id", F.col("region_id").alias("next"), *[F.col(c).alias(f"f_{c}") for c in box], F.col("next").alias("f_next"), F.col("n").alias("f_n"))
-        cur = cur.join(far, ["frame_id", "next"], "left").select(
+        cur = written(cur.join(far, ["frame_id", "next"], "left").select(
             "frame_id", "region_id", F.least("minx", "f_minx").alias("minx"), F.least("miny", "f_miny").alias("miny"), F.greatest("maxx", "f_maxx").alias("maxx"), F.greatest("maxy", "f_maxy").alias("maxy"), F.col("f_next").alias("next"), (F.col("n") + F.coalesce("f_n", F.lit(0))).alias("n")
-        ).checkpoint()
+        ), "chains")
         if cur.where("next is not null").isEmpty():
             break
     else:

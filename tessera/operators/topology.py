@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 
 def nodes(w: int, h: int, leaf: int = 16) -> list[tuple]:
     """(idx, x0, y0, x1, y1, left, right) of every node; both children are numbered before either is split."""
@@ -27,9 +32,17 @@ def nodes(w: int, h: int, leaf: int = 16) -> list[tuple]:
     return [(i, *r, *kids.get(i, (None, None))) for i, r in enumerate(rects)]
 
 
-def topology(spark: SparkSession, sizes: list[tuple[int, int]], leaf: int = 16) -> DataFrame:
-    rows = [(w, h, *n) for w, h in sizes for n in nodes(w, h, leaf)]
-    return spark.createDataFrame(rows, "w int, h int, idx int, x0 int, y0 int, x1 int, y1 int, left int, right int")
+def topology(sizes: DataFrame, leaf: int = 16) -> DataFrame:
+    """The nodes of every size (w, h), each tree in the task that has its size."""
+    names = ["w", "h", "idx", "x0", "y0", "x1", "y1", "left", "right"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for w, h in zip(f["w"], f["h"], strict=True):
+                yield pd.DataFrame([(w, h, *n) for n in nodes(w, h, leaf)], columns=names).astype({"left": "Int32", "right": "Int32"})
+
+    ship(sizes.sparkSession)
+    return sizes.select("w", "h").mapInPandas(run, ", ".join(f"{n} int" for n in names))
 
 
 def payload_offsets(leaves: DataFrame) -> DataFrame:

@@ -103,8 +103,7 @@ def q_expand(spark, sf):
 
 @query("q_invert", f"WITH {PX} SELECT frame_id, CAST(sum(255 - r) AS BIGINT) AS r, CAST(sum(255 - g) AS BIGINT) AS g, CAST(sum(255 - b) AS BIGINT) AS b, CAST(sum((r << 16) | (g << 8) | b) AS BIGINT) AS packed FROM px GROUP BY ALL")
 def q_invert(spark, sf):
-    turned = render.inverted(_px(spark, sf)).groupBy("frame_id").agg(*[F.sum(c).alias(c) for c in "rgb"])
-    return turned.join(_px(spark, sf).groupBy("frame_id").agg(F.sum(colour.pack(*_rgb())).alias("packed")), "frame_id")
+    return _px(spark, sf).groupBy("frame_id").agg(*[F.sum(colour.invert(C(c))).alias(c) for c in "rgb"], F.sum(colour.pack(*_rgb())).alias("packed"))
 
 
 @query("q_scalar_bits", "SELECT p_partkey, CAST(ceil((p_size) / 32.0) AS INT) AS blocks, (p_size + 127) & ~127 AS aligned, CAST(bit_count(~xor(p_size, 21) & 255) AS INT) AS equal_bits, least(greatest(p_size - 3, 1), 32) AS workers, CASE WHEN p_size > 25 THEN 255 ELSE 0 END AS binary, round((p_size / 255.0 - 0.5) / 0.5, 9) AS normal FROM part")
@@ -312,19 +311,10 @@ def q_chain_heads(spark, sf):
 
 @query("q_chains", f"WITH RECURSIVE {BOX}, {NB}, {HEADS}, ch(frame_id, region_id, cur) AS (SELECT frame_id, region_id, region_id FROM hd UNION ALL SELECT ch.frame_id, ch.region_id, nb.neighbor_id FROM ch JOIN nb ON nb.frame_id = ch.frame_id AND nb.region_id = ch.cur WHERE nb.neighbor_id IS NOT NULL) SELECT ch.frame_id, ch.region_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM ch JOIN rg ON rg.frame_id = ch.frame_id AND rg.region_id = ch.cur GROUP BY ALL")
 def q_chains(spark, sf):
-    _checkpoints(spark)
     boxes = event_boxes(spark, sf)
     return regions.chains(boxes, regions.right_neighbours(boxes))
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """The session's checkpoint folder; one of our own only where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-
-
 # --- glyphs --------------------------------------------------------------------------------------------------------
 
 INK = f"{SIGN4}, gp AS (SELECT rn.frame_id, cc.component AS region_id, unnest(range(x1, x2 + 1)) AS x, y FROM rn JOIN cc USING (frame_id, run_id) WHERE value = 1), gb AS (SELECT gp.frame_id, gp.region_id, gp.x, gp.y, minx, miny, maxx, maxy FROM gp JOIN bxs ON bxs.frame_id = gp.frame_id AND bxs.component = gp.region_id)"
@@ -562,8 +552,8 @@ TREE = "WITH RECURSIVE sz AS (SELECT DISTINCT p_size * 4 + 40 AS w, p_size * 2 +
 
 @query("q_bsp_leaves", f"{TREE} SELECT w, h, x0, y0, x1, y1 FROM t WHERE x1 - x0 <= 16 AND y1 - y0 <= 16")
 def q_bsp_leaves(spark, sf):
-    sizes = sorted((r[0] * 4 + 40, r[0] * 2 + 20) for r in read(spark, sf, "part").select("p_size").distinct().collect())  # fifty sizes
-    return topology.topology(spark, sizes).where("left is null").select("w", "h", "x0", "y0", "x1", "y1")
+    sizes = read(spark, sf, "part").select((C("p_size") * 4 + 40).alias("w"), (C("p_size") * 2 + 20).alias("h")).distinct()
+    return topology.topology(sizes).where("left is null").select("w", "h", "x0", "y0", "x1", "y1")
 
 
 @query("q_leaf_offsets", "SELECT p_brand AS image, p_partkey AS idx, p_size % 2 = 0 AS mixed, p_size AS pixels, CAST(coalesce(sum(CASE WHEN p_size % 2 = 0 THEN p_size * 2 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM part")

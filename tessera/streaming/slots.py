@@ -1,13 +1,16 @@
-"""Frame slots: load shedding by a ring of slots, as a batch by pointer doubling and as a keyed stream; file name streams."""
+"""Frame slots: load shedding by a ring of slots, as a batch over ranges of ticks and as a keyed stream; file name streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship, written
+
 TICKS = "tick long, service_ms double"
 
 
@@ -20,7 +23,7 @@ def spread(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows in the order of keys and `order`, in ranges that may cut a key: with __key, __p (the range) and __id (ascending)."""
     at = rows.withColumn("__key", F.struct(*keys))
     at = at.repartitionByRange("__key", *order).sortWithinPartitions("__key", *order)
-    return at.withColumns({"__p": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}).checkpoint()
+    return written(at.withColumns({"__p": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}), "ranges")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -33,10 +36,13 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> D
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """(id, next): the first later row of each row's key that is at `busy` or after; null if none. rows: __key, id, at, busy."""
+    """(id, next): for rows with `ask`, the first later one of those without that is at `busy` or after; null if none.
+
+    rows: __key, id, at, busy, ask.
+    """
     # a row that takes no time is followed by the next one, also one of the same tick; else busy comes before all rows of its time
-    asks = rows.where("busy IS NOT NULL").select("__key", F.greatest("busy", "at").alias("pos"), F.when(F.col("busy") <= F.col("at"), F.col("id")).otherwise(-1).alias("tie"), F.lit(1).alias("ask"), F.col("id").alias("asker"), F.lit(None).cast("long").alias("row"))
-    both = asks.unionByName(rows.select("__key", F.col("at").alias("pos"), F.col("id").alias("tie"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("asker"), F.col("id").alias("row")))
+    asks = rows.where("ask AND busy IS NOT NULL").select("__key", F.greatest("busy", "at").alias("pos"), F.when(F.col("busy") <= F.col("at"), F.col("id")).otherwise(-1).alias("tie"), F.lit(1).alias("ask"), F.col("id").alias("asker"), F.lit(None).cast("long").alias("row"))
+    both = asks.unionByName(rows.where("NOT ask").select("__key", F.col("at").alias("pos"), F.col("id").alias("tie"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("asker"), F.col("id").alias("row")))
     at = spread(both.withColumnRenamed("__key", "key"), ["key"], ["pos", "tie", "ask"])
     later = Window.partitionBy("__key", "__p").orderBy(F.desc("__id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     beyond = Window.partitionBy("__key").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
@@ -46,29 +52,88 @@ def successors(rows: DataFrame) -> DataFrame:
     return found.join(heads, ["__key", "__p"]).select(F.col("asker").alias("id"), F.coalesce("near", "beyond").alias("next"))
 
 
+def taken_after(f: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each slot's ticks in a range, sorted: where they start, and of each the next that the slot takes after it, or their number."""
+    slot, at, busy = f["slot_id"].to_numpy(), f["at"].fillna(-np.inf).to_numpy(), f["busy"].fillna(np.inf).to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
+    for s, e in zip(edges, edges[1:]):  # noqa: B905
+        yield int(s), np.maximum(np.searchsorted(at[s:e], busy[s:e]), np.arange(e - s) + 1)
+
+
 def shed(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | None = None, hops: int = 50) -> DataFrame:
     """ticks (tick, service_ms, and a run's key) with kept: a tick is dropped while its slot works on an earlier one.
 
-    The tick that a slot takes after a kept one is fixed by that one alone, so kept ticks are those that pointer doubling
-    reaches from each slot's first: 2^hops are followed. Ranges of ticks may cut a slot, and no task needs a slot whole.
+    The tick that a slot takes after a kept one is fixed by that one alone. A range of ticks is gone through in its task
+    from the tick at which the slot enters it. Where ranges cut a slot, these entries are found first: every tick of such
+    a slot leads to a last kept one in its range, of which few differ, and pointer doubling goes from range to range over
+    these (2^hops ranges at most). No task needs a slot whole.
     """
     keys = ([run] if run else []) + ["slot"]
     at = spread(with_slot(ticks, slots).select(*keys, "tick", "service_ms"), keys, ["tick", "service_ms"])
-    at = at.withColumn("at", (F.col("tick") * period_ms).cast("double")).withColumnRenamed("__id", "id")
-    links = successors(at.select("__key", "id", "at", (F.col("at") + F.col("service_ms")).alias("busy"))).where("next IS NOT NULL").checkpoint()
-    reached = at.where("at >= -1").groupBy("__key").agg(F.min("id").alias("id")).select("id").checkpoint()
+    at = at.withColumn("at", (F.col("tick") * period_ms).cast("double")).withColumn("busy", F.col("at") + F.col("service_ms")).withColumnRenamed("__id", "id")
+    heads = written(at.where("at >= -1").groupBy("__key", "__p").agg(F.min("id").alias("id")), "heads")
+    cut = written(heads.groupBy("__key").agg(F.count("*").alias("n"), F.min("__p").alias("__p")).where("n > 1"), "cut")
+    entries = heads.join(cut.select("__key"), "__key", "left_anti").unionByName(heads.join(cut.select("__key", "__p"), ["__key", "__p"], "left_semi"))
+    if not cut.isEmpty():
+        entries = entries.unionByName(_entries(at, heads, cut, hops)).groupBy("__key", "__p").agg(F.min("id").alias("id"))
+    placed = _with_slot_id(at.join(entries.withColumnRenamed("id", "entry"), ["__key", "__p"], "left"))
+    schema = placed.select(*keys, "tick", "service_ms").schema.add("kept", "boolean")
+
+    def mark(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        ids, entry = f["id"].to_numpy(), f["entry"].fillna(-1).to_numpy().astype(np.int64)
+        kept = np.zeros(len(f), bool)
+        for s, after in taken_after(f):
+            i = int(np.searchsorted(ids[s : s + len(after)], entry[s])) if entry[s] >= 0 else len(after)
+            while i < len(after):
+                kept[s + i] = True
+                i = after[i]
+        return f.assign(kept=kept)[schema.names]
+
+    return placed.groupBy("__p").applyInPandas(mark, schema)
+
+
+def _with_slot_id(at: DataFrame) -> DataFrame:
+    """at with slot_id, equal for neighbours of one key: its first id in the range."""
+    ship(at.sparkSession)
+    return at.withColumn("slot_id", F.min("id").over(Window.partitionBy("__key", "__p")))
+
+
+def _entries(at: DataFrame, heads: DataFrame, cut: DataFrame, hops: int) -> DataFrame:
+    """(__key, __p, id): the tick at which a slot enters each of its ranges that it works in, for slots cut by ranges."""
+    own = at.join(cut.select("__key"), "__key", "left_semi")
+
+    def ends(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        last = np.arange(len(f))
+        for s, after in taken_after(f):
+            for i in range(len(after) - 1, -1, -1):
+                if after[i] < len(after):
+                    last[s + i] = last[s + after[i]]
+        return f[["id"]].assign(last=f["id"].to_numpy()[last])
+
+    found = _with_slot_id(own).groupBy("__p").applyInPandas(ends, "id long, last long")
+    ended = written(own.select("__key", "__p", "id").join(found, "id"), "ends")
+    lasts = own.join(ended.select(F.col("last").alias("id")).distinct(), "id", "left_semi").select("__key", "id", "at", "busy")
+    # from a last tick to the last one of the range in which the slot goes on
+    goes = successors(lasts.withColumn("ask", F.lit(True)).unionByName(own.select("__key", "id", "at", "busy").withColumn("ask", F.lit(False)))).where("next IS NOT NULL")
+    step = written(goes.join(ended.select(F.col("id").alias("next"), "last"), "next").select("id", F.col("last").alias("to"), "next"), "steps")
+    starts = heads.join(cut.select("__key", "__p"), ["__key", "__p"], "left_semi").join(ended.select("id", "last"), "id")
+    reached, links = written(starts.select(F.col("last").alias("id")), "reached"), step.select("id", "to")
     for _ in range(hops):
         if links.isEmpty():
             break
-        reached = reached.unionByName(reached.join(links, "id").select(F.col("next").alias("id"))).distinct().checkpoint()
-        links = links.join(links.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")).checkpoint()
+        reached = written(reached.unionByName(reached.join(links, "id").select(F.col("to").alias("id"))).distinct(), "reached")
+        links = written(links.join(links.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "jumps")
     else:
-        raise RuntimeError("a slot keeps more than 2^hops ticks")
-    return at.join(reached.withColumn("kept", F.lit(True)), "id", "left").select(*keys, "tick", "service_ms", F.coalesce("kept", F.lit(False)).alias("kept"))
+        raise RuntimeError("a slot is cut by more than 2^hops ranges")
+    return step.join(reached, "id", "left_semi").select(F.col("next").alias("id")).join(ended.select("__key", "__p", "id"), "id").select("__key", "__p", "id")
 
 
-def shed_stream(ticks: DataFrame, slots: int, period_ms: int = 250) -> DataFrame:
-    """The same on a stream: the state of a slot is when it is free again."""
+def shed_stream(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | None = None) -> DataFrame:
+    """The same on a stream: the state of a slot, of each run where runs have a key, is when it is free again."""
+    keys = ([run] if run else []) + ["slot"]
+    schema = with_slot(ticks, slots).select(*keys, "tick", "service_ms").schema.add("kept", "boolean")
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         busy = state.get[0] if state.exists else -1.0
@@ -80,9 +145,10 @@ def shed_stream(ticks: DataFrame, slots: int, period_ms: int = 250) -> DataFrame
             if kept[-1]:
                 busy = at + ms
         state.update((busy,))
-        yield rows.assign(kept=kept)[["slot", "tick", "service_ms", "kept"]]
+        yield rows.assign(kept=kept)[schema.names]
 
-    return with_slot(ticks, slots).groupBy("slot").applyInPandasWithState(update, "slot int, tick long, service_ms double, kept boolean", "busy double", "append", "NoTimeout")
+    ship(ticks.sparkSession)
+    return with_slot(ticks, slots).select(*keys, "tick", "service_ms").groupBy(*keys).applyInPandasWithState(update, schema, "busy double", "append", "NoTimeout")
 
 
 def latency(frames: DataFrame) -> DataFrame:
