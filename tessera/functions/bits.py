@@ -37,5 +37,5 @@ def worker_count(cores: Column) -> Column:
 
 
 def slot_count(free_mib: Column, slot_mib: Column) -> Column:
-    """Slots that a third of the free memory, less 100 MiB, holds."""
-    return clamp(F.floor((free_mib - 100) / 3 / slot_mib).cast("int"), 1, 8)
+    """Slots that a third of the free memory, less 100 MiB, holds; 1 to 8."""
+    return clamp(F.floor(F.greatest(free_mib - 100, F.lit(0)) / 3 / slot_mib).cast("int"), 1, 8)

@@ -35,6 +35,13 @@ def sample_name(code: Column, font_no: Column, font: Column, n: Column) -> Colum
     return F.format_string("%d_%03d_%s_%04d.bmp", code, font_no, font, n)
 
 
+def stamped_name(kind: str, slot: Column, sec: Column, nsec: Column | None = None) -> Column:
+    """A picture's name by slot and wall clock: seconds, and nanoseconds where given; the same time overwrites."""
+    if nsec is None:
+        return F.format_string(f"{kind}_%d_%d.png", slot, sec)
+    return F.format_string(f"{kind}_%d_%d_%09d.png", slot, sec, nsec)
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 

@@ -20,7 +20,7 @@ def histogram(pixels: DataFrame, colour: str, size: int = 32) -> DataFrame:
 def block_colours(hist: DataFrame) -> DataFrame:
     """bg is the commonest colour, fg the second (bg where there is none); ties go to the lowest. pixels is the block's area.
 
-    The ranking is an aggregate, not a window: the two best of each block are merged map-side.
+    A block's colours, 256 at most, meet in one row.
     """
     key = F.struct((-F.col("n")).alias("m"), F.col("colour").alias("c"))
     best = hist.groupBy(*KEYS).agg(F.array_sort(F.collect_list(key)).alias("top"), F.sum("n").alias("pixels"))

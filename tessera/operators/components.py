@@ -1,8 +1,8 @@
 """Connected components of runs.
 
-Vertices are runs, edges overlaps of runs in adjacent rows, so there are far fewer of both than pixels. Components of
-one frame are found in one task where frames are of ordinary size; relational_components does it by joins, for graphs
-that no task should hold.
+Vertices are runs, edges overlaps of runs in adjacent rows, so there are far fewer of both than pixels. Frames of any
+height are cut into strips of rows; a strip is labelled in one task, and labels of strips that touch are united by joins
+over the runs of the border rows alone. relational_components does all of it by joins.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import ship, written
 
-SPAN = 64
+SPAN, STRIP = 64, 4096
 
 
 def numbered(runs: DataFrame) -> DataFrame:
@@ -69,33 +69,55 @@ def frame_pairs(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, value: np.ndarray
     return np.repeat(np.arange(len(y)), n), order[np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def components(runs: DataFrame, eight: bool = False) -> DataFrame:
-    """runs with component, the smallest run_id of each component; a frame is worked on in one task, after one shuffle."""
+def components(runs: DataFrame, eight: bool = False, strip: int | None = None) -> DataFrame:
+    """runs with component, the smallest run_id of each component.
+
+    A frame is labelled in one task, as pictures are of bounded height; where frames aren't, `strip` rows of one are.
+    """
 
     ship(runs.sparkSession)
 
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("run_id")
-        i, j = frame_pairs(*(frame[c].to_numpy().astype(np.int64) for c in ("y", "x1", "x2", "value")), eight)
-        return frame.assign(component=frame["run_id"].to_numpy()[least_reachable(i, j, len(frame))])
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("run_id")
+        i, j = frame_pairs(*(part[c].to_numpy().astype(np.int64) for c in ("y", "x1", "x2", "value")), eight)
+        return part.assign(component=part["run_id"].to_numpy()[least_reachable(i, j, len(part))])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema) + ", component long"
-    return runs.groupBy("frame_id").applyInPandas(label, schema)
+    if strip is None:
+        return runs.groupBy("frame_id").applyInPandas(label, schema)
+    labelled = written(runs.groupBy("frame_id", F.expr(f"y div {strip}")).applyInPandas(label, schema), "strips")
+    edge = labelled.where(f"y % {strip} = 0 or y % {strip} = {strip - 1}")
+    names = edge.select("frame_id", "run_id", "component")
+    met = overlaps(edge.where(f"y % {strip} = {strip - 1}").unionByName(edge.where(f"y % {strip} = 0")), eight)
+    pairs = met.join(names.withColumnsRenamed({"run_id": "a", "component": "ca"}), ["frame_id", "a"]).join(names.withColumnsRenamed({"run_id": "b", "component": "cb"}), ["frame_id", "b"])
+    pairs = pairs.where("ca <> cb").select("frame_id", F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    nodes = pairs.select("frame_id", F.col("a").alias("run_id")).unionByName(pairs.select("frame_id", F.col("b").alias("run_id"))).distinct()
+    roots = united(nodes, pairs).select("frame_id", F.col("run_id").alias("component"), F.col("component").alias("root"))
+    out = labelled.join(roots, ["frame_id", "component"], "left")
+    return out.withColumn("component", F.coalesce("root", "component")).select(*runs.columns, "component")
 
 
 def relational_components(runs: DataFrame, eight: bool = False, rounds: int = 50) -> DataFrame:
-    """The same by joins: labels fall to the least neighbour's, then jump to their label's label, until none changes."""
-    both = overlaps(runs, eight)
-    both = both.unionByName(both.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = runs.select("frame_id", "run_id", F.col("run_id").alias("component"))
+    """The same by joins alone."""
+    return runs.join(united(runs.select("frame_id", "run_id"), overlaps(runs, eight), rounds), ["frame_id", "run_id"])
+
+
+def united(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """nodes (frame_id, run_id) with the least run_id that pairs (a, b) lead to, as component.
+
+    Labels fall to the least neighbour's, then jump to their label's label, until none changes.
+    """
+    both = written(pairs.unionByName(pairs.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
+    labels = nodes.withColumn("component", F.col("run_id"))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("run_id", "b"), ["frame_id", "b"]).groupBy("frame_id", "a").agg(F.min("component").alias("low"))
         low = labels.join(near.withColumnRenamed("a", "run_id"), ["frame_id", "run_id"], "left").select("frame_id", "run_id", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         jump = low.select("frame_id", F.col("run_id").alias("component"), F.col("component").alias("further"))
-        new = low.join(jump, ["frame_id", "component"], "left").select("frame_id", "run_id", "old", F.least("component", "further").alias("component")).checkpoint()
+        new = low.join(jump, ["frame_id", "component"], "left").select("frame_id", "run_id", "old", F.least("component", "further").alias("component"))
+        new = written(new, "labels")
         labels = new.drop("old")
         if new.where("old <> component").isEmpty():
-            return runs.join(labels, ["frame_id", "run_id"])
+            return labels
     raise RuntimeError("components did not settle")
 
 

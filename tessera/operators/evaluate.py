@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A table of classes beyond this isn't one of labels; the bound makes broadcasting it safe.
+MOST_CLASSES = 10_000
+
 
 def class_balance(counts: DataFrame) -> DataFrame:
     """counts (class, n) with the percentage by which n deviates from the mean; classes with no rows count."""
@@ -12,12 +17,21 @@ def class_balance(counts: DataFrame) -> DataFrame:
     return counts.select("class", F.col("n").cast("long").alias("n"), F.round((F.col("n") - mean) / mean * 100, 6).alias("deviation"))
 
 
+def balance_report(*splits: DataFrame) -> DataFrame:
+    """(class, n, deviation) over the rows (class) of all splits together, in the order of classes; no rows give none."""
+    counts = reduce(DataFrame.unionByName, [s.select("class") for s in splits]).groupBy("class").agg(F.count("*").alias("n"))
+    return class_balance(counts).orderBy("class")
+
+
 def with_all_classes(counts: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(counts, "class", "left").select("class", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def confusion(predictions: DataFrame, classes: DataFrame) -> DataFrame:
     """(true_label, pred_label, n) with zero cells, for a small table of classes (label)."""
+    few = classes.limit(MOST_CLASSES + 1).count()
+    if few > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     cells = classes.select(F.col("label").alias("true_label")).join(F.broadcast(classes.select(F.col("label").alias("pred_label"))))
     counted = predictions.groupBy("true_label", "pred_label").agg(F.count("*").alias("n"))
     return cells.join(counted, ["true_label", "pred_label"], "left").select("true_label", "pred_label", F.coalesce("n", F.lit(0)).alias("n"))
@@ -47,7 +61,7 @@ def worst_submatrix(matrix: DataFrame, k: int = 20) -> DataFrame:
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:
-    """Rows, accuracy in per cent, and the mean loss weighted by rows."""
+    """Rows, and accuracy in per cent."""
     hit = (F.col("true_label") == F.col("pred_label")).cast("double")
     return predictions.agg(F.count("*").alias("n"), F.round(F.avg(hit) * 100, 6).alias("accuracy"))
 

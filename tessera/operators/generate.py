@@ -11,7 +11,8 @@ from tessera.functions.naming import HOMOGLYPHS
 
 #: The canvas and its middle.
 CANVAS, CROP = 48, 32
-
+#: The bound that makes broadcasting the fonts safe.
+MOST_FONTS = 100_000
 
 #: Classes of marks and arrows; the character that belongs to a class beside its own; least black pixels.
 MARKS = {
@@ -38,8 +39,11 @@ def characters(spark: SparkSession) -> DataFrame:
 
 
 def grid(classes: DataFrame, fonts: DataFrame, per_class: int, least: int = 30) -> DataFrame:
-    """(class, font, attempt): attempts shared among the fonts, `least` at least; fonts are a small table."""
-    n = max(least, math.ceil(per_class / max(1, fonts.count())))
+    """(class, font, attempt): attempts shared among the fonts, `least` at least; fonts are a table of MOST_FONTS rows at most."""
+    count = fonts.count()
+    if count > MOST_FONTS:
+        raise ValueError(f"more than {MOST_FONTS} fonts")
+    n = max(least, math.ceil(per_class / max(1, count)))
     return classes.join(F.broadcast(fonts)).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
@@ -49,6 +53,11 @@ def fits_canvas(boxes: DataFrame) -> DataFrame:
     return boxes.where(f"minx >= {low} and miny >= {low} and maxx < {high} and maxy < {high}")
 
 
+def ink_counts(pixels: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by…, black): how many pixels of each sample are black, that is 0."""
+    return pixels.groupBy(*by).agg(F.count_if(F.col(value) == 0).alias("black"))
+
+
 def enough_ink(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Samples (ch, black) with at least their character's count of black pixels, 1 where none is given."""
     return samples.join(F.broadcast(thresholds), "ch", "left").where(F.col("black") >= F.coalesce("least", F.lit(1))).drop("least")

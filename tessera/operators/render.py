@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,30 +11,68 @@ from tessera.functions.colour import expand_rgb332, invert
 from tessera.operators.blocks import KEYS, with_blocks
 
 
-def border(boxes: DataFrame, w: Column, h: Column, inset: int = 0) -> DataFrame:
-    """(frame_id, x, y): border pixels of boxes grown outwards by -inset, clipped to the picture."""
+def border(boxes: DataFrame, w: Column, h: Column, inset: int = 0, once: bool = True) -> DataFrame:
+    """(frame_id, x, y): border pixels of boxes grown outwards by -inset, clipped to the picture; `once`: each pixel once."""
     grown = boxes.select("frame_id", (F.col("minx") + inset).alias("a"), (F.col("miny") + inset).alias("b"), (F.col("maxx") - inset).alias("c"), (F.col("maxy") - inset).alias("d")).where("a <= c and b <= d")
     top = grown.select("frame_id", "b", "d", F.explode(F.sequence("a", "c")).alias("x")).select("frame_id", "x", F.explode(F.array("b", "d")).alias("y"))
     side = grown.select("frame_id", "a", "c", F.explode(F.sequence("b", "d")).alias("y")).select("frame_id", F.explode(F.array("a", "c")).alias("x"), "y")
-    return top.unionByName(side).where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < w) & (F.col("y") < h)).distinct()
+    drawn = top.unionByName(side).where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < w) & (F.col("y") < h))
+    return drawn.distinct() if once else drawn
+
+
+def _layers(*layers: DataFrame) -> DataFrame:
+    """Pixels with the number of the last layer that has them: one shuffle, combined map-side."""
+    numbered = [x.select("frame_id", "x", "y", F.lit(i).alias("layer")) for i, x in enumerate(layers)]
+    return reduce(DataFrame.unionByName, numbered).groupBy("frame_id", "x", "y").agg(F.max("layer").alias("layer"))
 
 
 def double_border(boxes: DataFrame, w: Column, h: Column) -> DataFrame:
     """Red border pixels and, one further out, yellow ones; the inner frame is drawn last."""
-    inner = border(boxes, w, h).withColumn("layer", F.lit(1))
-    outer = border(boxes, w, h, -1).withColumn("layer", F.lit(0))
-    top = inner.unionByName(outer).groupBy("frame_id", "x", "y").agg(F.max("layer").alias("layer"))
+    top = _layers(border(boxes, w, h, -1, False), border(boxes, w, h, 0, False))
     return top.select("frame_id", "x", "y", F.lit(255).alias("r"), F.when(F.col("layer") == 0, 255).otherwise(0).alias("g"), F.lit(0).alias("b"))
 
 
-def inverted_under(pixels: DataFrame, rects: DataFrame, band: int = 64) -> DataFrame:
-    """pixels with the channels of those inverted that any rectangle (x, y, w, h) covers, once however many do."""
+def region_picture(ink: DataFrame, regions: DataFrame, w: Column, h: Column) -> DataFrame:
+    """(frame_id, x, y, region_id): pixels that aren't white; ink is black (no region), a later region's box over earlier ones.
+
+    ink: (frame_id, x, y). A box's colour is its region's own, so the region stands for it.
+    """
+    boxes = [side.select("frame_id", "x", "y", "region_id") for side in _sides(regions)]
+    drawn = reduce(DataFrame.unionByName, boxes).unionByName(ink.select("frame_id", "x", "y", F.lit(None).cast("long").alias("region_id")))
+    inside = drawn.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < w) & (F.col("y") < h))
+    return inside.groupBy("frame_id", "x", "y").agg(F.max("region_id").alias("region_id"))
+
+
+def _sides(boxes: DataFrame) -> list[DataFrame]:
+    across = boxes.withColumn("x", F.explode(F.sequence("minx", "maxx"))).withColumn("y", F.explode(F.array("miny", "maxy")))
+    down = boxes.withColumn("y", F.explode(F.sequence("miny", "maxy"))).withColumn("x", F.explode(F.array("minx", "maxx")))
+    return [across, down]
+
+
+def chain_picture(regions: DataFrame, chains: DataFrame, w: Column, h: Column, most: int = 32) -> DataFrame:
+    """(frame_id, x, y, r, g, b): black boxes of regions under `most` on both sides, and over them red ones of chains."""
+    small = regions.where((F.col("maxx") - F.col("minx") + 1 < most) & (F.col("maxy") - F.col("miny") + 1 < most))
+    top = _layers(border(small, w, h, 0, False), border(chains, w, h, 0, False))
+    return top.select("frame_id", "x", "y", F.when(F.col("layer") == 1, 255).otherwise(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+
+
+def lines_as_boxes(lines: DataFrame, least: int) -> DataFrame:
+    """Lines (x, y, len, horizontal) of at least `least` pixels as rectangles (x, y, w, h) of one pixel's width."""
+    flat = F.col("horizontal") == 1
+    return lines.where(F.col("len") >= least).select("frame_id", "x", "y", F.when(flat, F.col("len")).otherwise(1).alias("w"), F.when(flat, 1).otherwise(F.col("len")).alias("h"))
+
+
+def inverted_under(pixels: DataFrame, rects: DataFrame, band: int = 64, keep_hit: bool = False) -> DataFrame:
+    """pixels with the channels of those inverted that any rectangle (x, y, w, h) covers, once however many do.
+
+    keep_hit: also the column hit, true for these and null for others.
+    """
     spans = rects.select("frame_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w") - 1).alias("x1"), (F.col("y") + F.col("h") - 1).alias("y1"))
     spans = spans.withColumn("band", F.explode(F.sequence(F.expr(f"y0 div {band}"), F.expr(f"y1 div {band}"))))
     keyed = pixels.withColumn("band", F.expr(f"y div {band}"))
     hit = keyed.join(spans, ["frame_id", "band"]).where("x between x0 and x1 and y between y0 and y1").select("frame_id", "x", "y").distinct().withColumn("hit", F.lit(True))
     joined = pixels.join(hit, ["frame_id", "x", "y"], "left")
-    return joined.select("frame_id", "x", "y", *[F.when(F.col("hit"), invert(F.col(c))).otherwise(F.col(c)).alias(c) for c in "rgb"])
+    return joined.select("frame_id", "x", "y", *[F.when(F.col("hit"), invert(F.col(c))).otherwise(F.col(c)).alias(c) for c in "rgb"], *["hit"] * keep_hit)
 
 
 def inverted(pixels: DataFrame) -> DataFrame:

@@ -222,7 +222,14 @@ def q_rect_takewhile(spark, sf):
     return shapes.take_while(q_rect_solid(spark, sf), 3, 1)
 
 
-@query("q_rect_greedy")
+# rows from the top: each run goes on with the earliest base that it contains, or is a base; a run of no frame keeps rows going
+GREEDY = f"""WITH RECURSIVE {PX}, {SIGN}, {ROWS.format(run_sql('sg', 'sign', 'x', 2))}, gr AS MATERIALIZED (SELECT frame_id, y, x1, x2, value FROM ro UNION ALL SELECT -1, CAST(range AS INT), 0, 0, -1 FROM range(0, 100)),
+gb(y, frame_id, x1, x2, value, top, bx1, bx2) AS (SELECT y, frame_id, x1, x2, value, y, x1, x2 FROM gr WHERE y = 0
+  UNION ALL SELECT y, frame_id, x1, x2, value, b.t, b.p, b.q FROM (SELECT r.y, r.frame_id, r.x1, r.x2, r.value, min(CASE WHEN g.top IS NULL THEN {{'t': r.y, 'p': r.x1, 'q': r.x2}} ELSE {{'t': g.top, 'p': g.bx1, 'q': g.bx2}} END) AS b
+    FROM gr r JOIN (SELECT max(y) + 1 AS k FROM gb) z ON r.y = z.k LEFT JOIN gb g ON g.frame_id = r.frame_id AND g.value = r.value AND r.x1 <= g.bx1 AND r.x2 >= g.bx2 GROUP BY ALL))"""
+
+
+@query("q_rect_greedy", f"{GREEDY} SELECT frame_id, bx1 AS x, top AS y, bx2 - bx1 + 1 AS w, count(*) AS h, value FROM gb WHERE frame_id >= 0 GROUP BY frame_id, value, top, bx1, bx2 HAVING count(*) >= 2")
 def q_rect_greedy(spark, sf):
     return shapes.greedy_rectangles(_level_runs(spark, sf, "sign").drop("run_id"), 2, 2)
 
@@ -261,7 +268,7 @@ def q_word_runs(spark, sf):
 
 @query("q_text_blocks", f"WITH RECURSIVE {DOC_RUNS}, {component_sql('dr', False)} SELECT frame_id, count(*) AS blocks, max(cnt) AS largest, max(runs) AS most_runs FROM bxs GROUP BY ALL")
 def q_text_blocks(spark, sf):
-    found = components.boxes(components.components(components.numbered(document_runs(spark, sf))))
+    found = components.boxes(components.components(components.numbered(document_runs(spark, sf)), strip=components.STRIP))
     return found.groupBy("frame_id").agg(F.count("*").alias("blocks"), F.max("cnt").alias("largest"), F.max("runs").alias("most_runs"))
 
 
@@ -286,6 +293,20 @@ def q_top15_ccl(spark, sf):
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
+@query("q_region_picture", f"{REG4}, bx AS (SELECT frame_id, unnest(range(minx, maxx + 1)) AS x, miny AS y, region_id FROM rs UNION ALL SELECT frame_id, unnest(range(minx, maxx + 1)), maxy, region_id FROM rs UNION ALL SELECT frame_id, minx, unnest(range(miny, maxy + 1)), region_id FROM rs UNION ALL SELECT frame_id, maxx, unnest(range(miny, maxy + 1)), region_id FROM rs), al AS (SELECT frame_id, x, y, max(region_id) AS region_id FROM (SELECT * FROM bx UNION ALL SELECT frame_id, x, y, NULL FROM fg) GROUP BY ALL) SELECT frame_id, region_id, count(*) AS n, CAST(sum(x * 100 + y) AS BIGINT) AS places FROM al GROUP BY ALL")
+def q_region_picture(spark, sf):
+    ink = blocks.foreground(_q(spark, sf), "q").withColumn("ink", F.lit(1))
+    drawn = render.region_picture(ink, _regions(spark, sf), F.lit(64), F.lit(100))
+    return drawn.groupBy("frame_id", "region_id").agg(F.count("*").alias("n"), F.sum(C("x") * 100 + C("y")).cast("long").alias("places"))
+
+
+@query("q_drawn_lines", f"WITH {PX}, {MONO}, co AS (SELECT DISTINCT px.frame_id, px.x, px.y FROM px JOIN ml ON px.frame_id = ml.frame_id AND ml.len >= 5 AND CASE WHEN horizontal = 1 THEN px.y = ml.y AND px.x BETWEEN ml.x AND ml.x + len - 1 ELSE px.x = ml.x AND px.y BETWEEN ml.y AND ml.y + len - 1 END) SELECT px.frame_id, count(co.x) AS drawn, CAST(sum(CASE WHEN co.x IS NULL THEN px.r ELSE 255 - px.r END) AS BIGINT) AS r FROM px LEFT JOIN co USING (frame_id, x, y) GROUP BY ALL")
+def q_drawn_lines(spark, sf):
+    px, lines = _px(spark, sf), render.lines_as_boxes(runs.mono_lines(_px(spark, sf), "level", 3), 5)
+    drawn = render.inverted_under(px, lines, keep_hit=True)
+    return drawn.groupBy("frame_id").agg(F.count("hit").alias("drawn"), F.sum("r").alias("r"))
+
+
 @query("q_neighbors", f"WITH {BOX}, {NB} SELECT * FROM nb")
 def q_neighbors(spark, sf):
     return regions.right_neighbours(event_boxes(spark, sf))
@@ -309,12 +330,36 @@ def q_chain_heads(spark, sf):
     return regions.chain_heads(regions.right_neighbours(event_boxes(spark, sf)))
 
 
-@query("q_chains", f"WITH RECURSIVE {BOX}, {NB}, {HEADS}, ch(frame_id, region_id, cur) AS (SELECT frame_id, region_id, region_id FROM hd UNION ALL SELECT ch.frame_id, ch.region_id, nb.neighbor_id FROM ch JOIN nb ON nb.frame_id = ch.frame_id AND nb.region_id = ch.cur WHERE nb.neighbor_id IS NOT NULL) SELECT ch.frame_id, ch.region_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM ch JOIN rg ON rg.frame_id = ch.frame_id AND rg.region_id = ch.cur GROUP BY ALL")
+CHAIN = "ch(frame_id, region_id, cur) AS (SELECT frame_id, region_id, region_id FROM hd UNION ALL SELECT ch.frame_id, ch.region_id, nb.neighbor_id FROM ch JOIN nb ON nb.frame_id = ch.frame_id AND nb.region_id = ch.cur WHERE nb.neighbor_id IS NOT NULL)"
+
+
+@query("q_chains", f"WITH RECURSIVE {BOX}, {NB}, {HEADS}, {CHAIN} SELECT ch.frame_id, ch.region_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM ch JOIN rg ON rg.frame_id = ch.frame_id AND rg.region_id = ch.cur GROUP BY ALL")
 def q_chains(spark, sf):
     boxes = event_boxes(spark, sf)
     return regions.chains(boxes, regions.right_neighbours(boxes))
 
 
+def _frame_sql(boxes: str, layer: int) -> str:
+    parts = [f"SELECT frame_id, unnest(range(minx, maxx + 1)) AS x, {y} AS y, {layer} AS layer FROM {boxes}" for y in ("miny", "maxy")]
+    parts += [f"SELECT frame_id, {x} AS x, unnest(range(miny, maxy + 1)) AS y, {layer} AS layer FROM {boxes}" for x in ("minx", "maxx")]
+    return " UNION ALL ".join(parts)
+
+
+LINED = "lb AS (SELECT frame_id, line_no, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM l2 GROUP BY ALL)"
+
+
+@query("q_line_borders", f"WITH {BOX}, {LN}, {LINED}, e AS ({_frame_sql('lb', 0)}) SELECT frame_id, count(DISTINCT x * 1000 + y) AS pixels FROM e WHERE x < 400 AND y < 300 GROUP BY ALL")
+def q_line_borders(spark, sf):
+    lines = regions.line_boxes(regions.text_lines(event_boxes(spark, sf)))
+    return render.border(lines, F.lit(400), F.lit(300)).groupBy("frame_id").agg(F.count("*").alias("pixels"))
+
+
+@query("q_chain_borders", f"WITH RECURSIVE {BOX}, {NB}, {HEADS}, {CHAIN}, cb AS (SELECT ch.frame_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM ch JOIN rg ON rg.frame_id = ch.frame_id AND rg.region_id = ch.cur GROUP BY ch.frame_id, ch.region_id), e AS ({_frame_sql('sm', 0)} UNION ALL {_frame_sql('cb', 1)}), t AS (SELECT frame_id, x, y, max(layer) AS layer FROM e WHERE x < 400 AND y < 300 GROUP BY ALL) SELECT frame_id, count(*) AS pixels, count(*) FILTER (layer = 1) AS red FROM t GROUP BY ALL")
+def q_chain_borders(spark, sf):
+    drawn = render.chain_picture(event_boxes(spark, sf), q_chains(spark, sf), F.lit(400), F.lit(300))
+    return drawn.groupBy("frame_id").agg(F.count("*").alias("pixels"), F.count_if(C("r") == 255).alias("red"))
+
+
 # --- glyphs --------------------------------------------------------------------------------------------------------
 
 INK = f"{SIGN4}, gp AS (SELECT rn.frame_id, cc.component AS region_id, unnest(range(x1, x2 + 1)) AS x, y FROM rn JOIN cc USING (frame_id, run_id) WHERE value = 1), gb AS (SELECT gp.frame_id, gp.region_id, gp.x, gp.y, minx, miny, maxx, maxy FROM gp JOIN bxs ON bxs.frame_id = gp.frame_id AND bxs.component = gp.region_id)"
@@ -342,6 +387,16 @@ BITMAP = "bm AS (SELECT frame_id, region_id, maxx - minx + 1 AS w, maxy - miny +
 NAMED = f"nd AS (SELECT w, h, bits, count(*) AS seen, array_to_string(list_transform(range(0, least(250, CAST(ceil(length(bits) / 6.0) AS BIGINT))), lambda i: substr('{naming.ALPHABET}', CAST(list_sum(list_transform(range(0, 6), lambda k: CASE WHEN substr(rpad(bits, 1500, '0'), i * 6 + k + 1, 1) = '1' THEN 1 << CAST(5 - k AS INT) ELSE 0 END)) AS BIGINT) + 1, 1)), '') AS name FROM bt GROUP BY w, h, bits)"
 
 
+# three templates of 16 rows: the fourth row and below set, odd columns set, nothing set; the first of equal scores wins
+TEMPLATES = "tp(k, ch) AS (VALUES (0, 'H'), (1, 'V'), (2, 'O')), tr AS (SELECT k, ch, CAST(range AS INT) AS row, CASE k WHEN 0 THEN CASE WHEN range >= 3 THEN 65535 ELSE 0 END WHEN 1 THEN 43690 ELSE 0 END AS want FROM tp CROSS JOIN range(0, 16))"
+
+
+@query("q_recognize_best", f"{INK}, {SAMPLE}, {TEMPLATES}, ms AS (SELECT r.frame_id, r.region_id, k, ch, 256 - CAST(sum(bit_count(xor(want, coalesce(bits, 0)))) AS BIGINT) AS score FROM (SELECT DISTINCT frame_id, region_id FROM sa) r CROSS JOIN tr LEFT JOIN sa ON sa.frame_id = r.frame_id AND sa.region_id = r.region_id AND sa.row = tr.row GROUP BY ALL), bs AS (SELECT *, row_number() OVER (PARTITION BY frame_id, region_id ORDER BY score DESC, k) AS rn FROM ms) SELECT frame_id, region_id, CASE WHEN score >= 128 THEN ch ELSE '?' END AS ch, score FROM bs WHERE rn = 1")
+def q_recognize_best(spark, sf):
+    rows = [(0, "H", [65535 if r >= 3 else 0 for r in range(16)]), (1, "V", [43690] * 16), (2, "O", [0] * 16)]
+    return glyphs.recognise(glyphs.samples(_ink(spark, sf)), spark.createDataFrame(rows, "template_no int, ch string, bits array<int>"), 0.5)
+
+
 @query("q_glyph_dedupe", f"{INK}, {BITMAP}, {NAMED} SELECT w, h, name, seen FROM nd")
 def q_glyph_dedupe(spark, sf):
     return glyphs.glyph_store(glyphs.glyph_bits(_ink(spark, sf)))
@@ -361,6 +416,12 @@ def q_class_balance(spark, sf):
     return evaluate.class_balance(read(spark, sf, "documents").groupBy(C("source").alias("class")).agg(F.count("*").alias("n")))
 
 
+@query("q_split_balance", "WITH c AS (SELECT lang AS class, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL) SELECT class, n, round((n - avg(n) OVER ()) / avg(n) OVER () * 100, 6) AS deviation FROM c ORDER BY class")
+def q_split_balance(spark, sf):
+    rows = evaluate.split(read(spark, sf, "documents").where("lang is not null").select(C("lang").alias("class"), "doc_id"), "doc_id")
+    return evaluate.balance_report(rows.where("split = 'train'"), rows.where("split = 'val'"))
+
+
 @query("q_class_balance_zero", "WITH k AS (SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS class FROM orders UNION SELECT 'none/none'), c AS (SELECT o_orderpriority || '/' || o_orderstatus AS class, count(*) AS n FROM orders WHERE o_totalprice > 50000 GROUP BY ALL), f AS (SELECT k.class, coalesce(c.n, 0) AS n FROM k LEFT JOIN c USING (class)) SELECT class, n, round((n - avg(n) OVER ()) / avg(n) OVER () * 100, 6) AS deviation FROM f")
 def q_class_balance_zero(spark, sf):
     orders = read(spark, sf, "orders").withColumn("class", F.concat_ws("/", "o_orderpriority", "o_orderstatus"))
@@ -476,6 +537,14 @@ def q_gen_yield(spark, sf):
     return generate.yields(generate.enough_ink(made, least), 35)
 
 
+@query("q_ink_yield", f"WITH {PX}, bk AS (SELECT frame_id, y // 20 AS row, x // 8 AS col, count(*) FILTER (level = 0) AS black, substr('A0.,:', CAST((y // 20 + x // 8) % 5 + 1 AS BIGINT), 1) AS ch FROM px GROUP BY ALL) SELECT frame_id, ch, count(*) AS n, CAST(sum(black) AS BIGINT) AS black FROM bk WHERE black >= {LEAST} GROUP BY ALL")
+def q_ink_yield(spark, sf):
+    places = _px(spark, sf).withColumns({"row": F.expr("y div 20"), "col": F.expr("x div 8")})
+    made = generate.ink_counts(places, ["frame_id", "row", "col"], "level").withColumn("ch", F.substring(F.lit("A0.,:"), (C("row") + C("col")).cast("int") % 5 + 1, F.lit(1)))
+    least = spark.createDataFrame(list(generate.LEAST_BLACK.items()), "ch string, least int")
+    return generate.enough_ink(made, least).groupBy("frame_id", "ch").agg(F.count("*").alias("n"), F.sum("black").alias("black"))
+
+
 @query("q_gen_fits", f"WITH {BOX} SELECT region_id, minx % 30 AS minx, miny % 30 AS miny, minx % 30 + maxx - minx AS maxx, miny % 30 + maxy - miny AS maxy FROM rg WHERE minx % 30 >= 8 AND miny % 30 >= 8 AND minx % 30 + maxx - minx < 40 AND miny % 30 + maxy - miny < 40")
 def q_gen_fits(spark, sf):
     b = event_boxes(spark, sf)

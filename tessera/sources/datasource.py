@@ -1,4 +1,8 @@
-"""Images as a Spark data source: format("raster") reads and writes PNG, BMP and packed trees under a shared folder."""
+"""Images as a Spark data source: format("raster") reads and writes PNG, BMP and packed trees under a mounted shared folder.
+
+Files that aren't images are skipped, as a folder's other files are. images.read_images reads any store that Spark can,
+and keeps a row with the error for such files.
+"""
 
 from __future__ import annotations
 

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.topology import nodes
-from tessera.session import ship
+from tessera.session import ship, written
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 TREE_MAGIC, MIXED = 0x51494D47, 0xFFFF
@@ -179,14 +180,33 @@ def read_images(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     return ship(spark).read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, w int, h int, raw binary, error string")
 
 
-def image_pixels(images: DataFrame) -> DataFrame:
-    """(path, y, x, r, g, b): bytes to rows by built-in functions."""
-    p = images.where("raw is not null").select("path", "w", "raw", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("i"))
+def image_pixels(images: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """(path, y, x, r, g, b): a picture's bytes become Arrow columns, about `rows` pixels at a time, so no pixel carries the picture."""
 
-    def byte(k: int):
-        return F.conv(F.hex(F.expr(f"substring(raw, i * 3 + {k + 1}, 1)")), 16, 10).cast("int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, w, h, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                px = np.frombuffer(raw, np.uint8).reshape(h, w, 3)
+                step = max(1, rows // max(1, w))
+                for y in range(0, h, step):
+                    part = px[y : y + step].reshape(-1, 3).astype(np.int32)
+                    at = np.arange(len(part), dtype=np.int32)
+                    name = pa.array([path], pa.string()).take(pa.array(np.zeros(len(part), np.int64)))
+                    yield pa.RecordBatch.from_arrays([name, pa.array(y + at // w), pa.array(at % w), *(pa.array(part[:, k].copy()) for k in range(3))], names=["path", "y", "x", "r", "g", "b"])
 
-    return p.select("path", F.expr("i div w").alias("y"), (F.col("i") % F.col("w")).alias("x"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
+    found = images.where("raw is not null and w > 0 and h > 0").select("path", "w", "h", "raw")
+    ship(images.sparkSession)
+    return found.mapInArrow(run, "path string, y int, x int, r int, g int, b int")
+
+
+def invert_png(data: bytes) -> bytes:
+    """The PNG with inverted colours in the form it came in: 8-bit RGB stays RGB, RGBA stays RGBA with its alpha as it was.
+
+    Other forms are an error.
+    """
+    px = decode_png(data, strict=True).copy()
+    px[:, :, :3] = 255 - px[:, :, :3]
+    return encode_png(px if data[25] == 6 else px[:, :, :3])
 
 
 def class_files(spark: SparkSession, root: str, suffix: str = ".bmp") -> DataFrame:
@@ -211,7 +231,7 @@ def store_glyphs(found: DataFrame, path: str) -> int:
         new = found.dropDuplicates(["w", "h", "name"]).join(known, ["w", "h", "name"], "left_anti")
     except AnalysisException:
         new = found.dropDuplicates(["w", "h", "name"])
-    new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
+    new = written(new, "glyphs")
     n = new.count()
     new.write.partitionBy("w", "h").mode("append").parquet(path)
     return n

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tessera.session import ship, written
 
@@ -156,9 +158,15 @@ def latency(frames: DataFrame) -> DataFrame:
     return frames.withColumn("elapsed_ns", F.col("end_ns") - F.col("start_ns"))
 
 
-def name_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """File names that producers announce: a line each, trimmed, blank ones left out."""
-    return spark.readStream.text(folder).select(F.trim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("name")).where("length(name) > 0")
+def name_stream(spark: SparkSession, folder: str, since: datetime | None = None) -> DataFrame:
+    """File names that producers announce: a line each, trimmed, blank ones left out.
+
+    A subscriber who joins at `since` misses what was announced before.
+    """
+    lines = spark.readStream.text(folder)
+    if since is not None:
+        lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return lines.select(F.trim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("name")).where("length(name) > 0")
 
 
 def announce(names: DataFrame, folder: str) -> None:
@@ -170,6 +178,41 @@ def run_available(stream: DataFrame, table: str, checkpoint: str) -> None:
     stream.writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def tick_stream(spark: SparkSession, start: datetime, period_ms: int = 250) -> DataFrame:
+    """Ticks (tick, at) of a fixed cadence from `start` on: after a stall the missed ones come late, and none is left out.
+
+    The rate source only wakes the query up; what a batch holds follows from the clock.
+    """
+    woken = spark.readStream.format("rate").option("rowsPerSecond", 1000 // period_ms or 1).load()
+    first = F.lit(start)
+    return woken.where(F.col("timestamp") >= first).select(F.col("value").alias("tick"), (first + F.make_interval(secs=F.col("value") * period_ms / 1000)).alias("at"))
+
+
+def run_cadence(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, period_ms: int = 250) -> StreamingQuery:
+    """Start a query that hands a batch to `write` every period."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{period_ms} milliseconds").start()
+
+
+class Progress(StreamingQueryListener):
+    """A sink of metrics: (query, batch, rows, rows a second) of each batch, handed to `report`."""
+
+    def __init__(self, report: Callable[[str, int, int, float], None] = print):
+        self.report = report
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.report(p.name or str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 def ticks_until(spark: SparkSession, seconds: int = 10, period_ms: int = 250) -> DataFrame:
     """Ticks of a bounded capture: whole seconds are compared, so the last one still counts."""
     return spark.range(0, seconds * 1000 // period_ms + 1).withColumnRenamed("id", "tick")

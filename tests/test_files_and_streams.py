@@ -62,6 +62,35 @@ def test_read_images(spark, tmp_path):
     assert sorted(map(tuple, got.where("path like '%a.png'").select("y", "x", "r").collect())) == [(y, x, int(px[y, x, 0])) for y in range(2) for x in range(4)]
 
 
+def test_inverted_png():
+    px = np.random.default_rng(4).integers(0, 256, (3, 5, 4), dtype=np.uint8)
+    for own, kind in ((px, 6), (px[:, :, :3], 2)):
+        data = images.invert_png(images.encode_png(own))
+        back = images.decode_png(data, strict=True)
+        assert data[25] == kind and (back[:, :, :3] == 255 - px[:, :, :3]).all() and (kind == 2 or (back[:, :, 3] == px[:, :, 3]).all())
+    with pytest.raises(images.BadImage):
+        images.invert_png(b"nothing")
+
+
+def test_write_samples(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "a", 1), ("val", "a", 2), ("train", "b", 3)], "split string, class string, n int")
+    images.write_samples(rows, str(tmp_path / "s"))
+    assert sorted(os.listdir(tmp_path / "s" / "split=train")) == ["class=a", "class=b"]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).select("split", "class", "n").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_report_of_class_files(spark, tmp_path):
+    from tessera.operators import evaluate
+
+    for name in ("train/a/1.bmp", "train/b/1.bmp", "val/a/1.bmp", "val/a/2.bmp"):
+        f = tmp_path / name
+        os.makedirs(f.parent, exist_ok=True)
+        f.write_bytes(b"x")
+    files = images.class_files(spark, str(tmp_path))
+    report = evaluate.balance_report(files.where("split = 'train'"), files.where("split = 'val'"))
+    assert [(r["class"], r.n, r.deviation) for r in report.collect()] == [("a", 3, 50.0), ("b", 1, -50.0)]
+
+
 def test_class_files(spark, tmp_path):
     for split, name in (("train", "a/1.bmp"), ("train", "a/2.BMP"), ("val", "b/1.bmp"), ("val", "b/x.txt")):
         f = tmp_path / split / name
@@ -127,6 +156,39 @@ def test_name_stream(spark, tmp_path):
     assert sorted(r.name for r in spark.table("names_out").collect()) == ["a.png", "b.png"]
 
 
+def test_late_subscriber(spark, tmp_path):
+    import datetime
+    import time
+
+    folder = str(tmp_path / "names")
+    slots.announce(spark.createDataFrame([("early.png",)], "name string"), folder)
+    time.sleep(1.5)
+    since = datetime.datetime.now(datetime.timezone.utc)
+    time.sleep(0.2)
+    slots.announce(spark.createDataFrame([("late.png",)], "name string"), folder)
+    slots.run_available(slots.name_stream(spark, folder, since), "late_out", str(tmp_path / "ck"))
+    assert [r.name for r in spark.table("late_out").collect()] == ["late.png"]
+
+
+def test_cadence(spark, tmp_path):
+    import datetime
+    import time
+
+    seen, said = [], []
+    start = datetime.datetime.now(datetime.timezone.utc)
+    listener = slots.Progress(lambda *a: said.append(a))
+    spark.streams.addListener(listener)
+    query = slots.run_cadence(slots.tick_stream(spark, start), lambda df, _: seen.extend(r.tick for r in df.collect()), str(tmp_path / "ck"))
+    try:
+        end = time.time() + 60
+        while len(seen) < 12 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+        spark.streams.removeListener(listener)
+    assert len(seen) >= 12 and sorted(seen) == list(range(min(seen), min(seen) + len(seen))) and said
+
+
 def test_bounded_ticks(spark):
     assert slots.ticks_until(spark).count() == 41
 

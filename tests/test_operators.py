@@ -83,6 +83,16 @@ def test_regions_are_numbered_by_block(spark):
     assert got == {5: 1, 1: 2}
 
 
+@pytest.mark.parametrize("eight", [False, True])
+def test_components_of_strips(spark, eight):
+    rng = random.Random(8)
+    grid = ["".join(rng.choice("001") for _ in range(40)) for _ in range(23)]
+    numbered = components.numbered(runs.row_runs(frame(spark, "\n".join(grid)), "q"))
+    whole = sorted(map(tuple, components.components(numbered, eight).select("run_id", "component").collect()))
+    for strip in (1, 4, 23):
+        assert sorted(map(tuple, components.components(numbered, eight, strip).select("run_id", "component").collect())) == whole
+
+
 def test_diagonal(spark):
     r = components.numbered(runs.row_runs(frame(spark, "10\n01").where("q = 1"), "q"))
     assert components.components(r).select("component").distinct().count() == 2
@@ -204,6 +214,51 @@ def test_topology(spark):
     assert (by[1], by[2], by[3], by[4], by[9]) == ((0, 0, 20, 20), (20, 0, 40, 20), (0, 0, 10, 20), (10, 0, 20, 20), (20, 0, 30, 20))
 
 
+def test_chain_picture(spark):
+    small = boxes(spark, [(0, 0, 2, 2), (0, 0, 40, 2)])
+    chain = small.where("region_id = 0").select("frame_id", F.lit(1).alias("minx"), F.lit(0).alias("miny"), F.lit(9).alias("maxx"), F.lit(1).alias("maxy"))
+    got = {(r.x, r.y): r.r for r in render.chain_picture(small, chain, F.lit(9), F.lit(9)).collect()}
+    assert got[0, 0] == 0 and got[1, 0] == 255 and (9, 0) not in got and got[0, 2] == 0 and (1, 1) in got and len(got) == 18 + 3
+
+
+def test_region_picture(spark):
+    b = boxes(spark, [(0, 0, 2, 2), (2, 2, 3, 3)])
+    ink = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 9, 9)], "frame_id long, x int, y int")
+    got = {(r.x, r.y): r.region_id for r in render.region_picture(ink, b, F.lit(4), F.lit(4)).collect()}
+    assert got[1, 1] is None and got[2, 2] == 1 and got[0, 0] == 0 and (9, 9) not in got
+
+
+def test_grey_slots_and_names(spark):
+    from tessera.functions import bits
+
+    got = one(spark, a=colour.luma(F.lit(255), F.lit(128), F.lit(0)), b=bits.slot_count(F.lit(50), F.lit(10)), c=bits.slot_count(F.lit(400), F.lit(20)), d=bits.slot_count(F.lit(99_999), F.lit(1)), e=naming.stamped_name("regions", F.lit(3), F.lit(17)), f=naming.stamped_name("dbg_quant", F.lit(3), F.lit(17), F.lit(5)))
+    assert tuple(got) == (151, 1, 5, 8, "regions_3_17.png", "dbg_quant_3_17_000000005.png")
+
+
+def test_arguments():
+    from tessera.params import Params, arguments
+
+    assert arguments(["--slots=3"]) == (3, None) and arguments(["--workers=32", "--slots=8"]) == (8, 32) and arguments([]) == (None, None)
+    for bad in (["--slots=9"], ["--workers=0"], ["--workers=x"], ["--other"], ["stray"]):
+        with pytest.raises(SystemExit):
+            arguments(bad)
+    with pytest.raises(ValueError):
+        Params(slots=0)
+
+
+def test_fonts(spark):
+    fonts = spark.createDataFrame([("a", True), ("a", True), ("b", False), ("c", True)], "font string, loads boolean")
+    assert sorted(r.font for r in generate.usable_fonts(fonts).collect()) == ["a", "c"]
+    with pytest.raises(ValueError):
+        generate.usable_fonts(fonts.where("not loads"))
+
+
+def test_balance_of_splits(spark):
+    one_, two = (spark.createDataFrame([(c,) for c in s], "class string") for s in ("aab", "cab"))
+    assert [(r["class"], r.n, r.deviation) for r in evaluate.balance_report(one_, two).collect()] == [("a", 3, 50.0), ("b", 2, 0.0), ("c", 1, -50.0)]
+    assert evaluate.balance_report(one_.limit(0), two.limit(0)).count() == 0
+
+
 def test_characters(spark):
     c = generate.characters(spark)
     assert c.select("class").distinct().count() == 127
