@@ -28,38 +28,99 @@ def test_markup():
     <div class="cookie notice">Cookies</div><main><h1>A &amp; B</h1><p>One <b>two</b><br>three<p>Four&nbsp;five &lt;x&gt;<script>var x="</p>";</script>
     <ul><li>i<li>j</ul><aside>Side</aside><form>Form</form><!-- c --><table><tr><td>c1<td>c2</table></main><div id="comments"><p>Reader</p></div><footer>F</foot"""
     blocks, main = html_text.page_blocks(page)
-    assert main and [t for t, m in blocks if m] == ["A & B", "One two three", "Four five <x>", "i", "j", "c1", "c2"]
-    assert not any("Reader" in t or "Cookies" in t or "Top" in t for t, _ in blocks)
+    assert main and [t for t, m, _ in blocks if m] == ["A & B", "One two three", "Four five <x>", "i", "j", "c1", "c2"]
+    assert not any("Reader" in t or "Cookies" in t or "Top" in t for t, _, out in blocks if not out)
     inner = '<div class="layout sidebar"><article><p>x</p></article><p>y</p></div>'
-    assert [t for t, m in html_text.page_blocks(inner)[0] if m] == ["x"]
+    assert [t for t, m, _ in html_text.page_blocks(inner)[0] if m] == ["x"]
     assert html_text.page_blocks("")[0] == [] and html_text.page_blocks("plain < text & more")[0][0][0].startswith("plain")
 
 
-def brute_repeated(codes, page, run, pages):
-    out = np.zeros(len(codes), bool)
-    grams = {}
-    for i in range(len(codes) - run + 1):
-        if page[i] == page[i + run - 1]:
-            grams.setdefault(tuple(codes[i : i + run]), []).append(i)
-    for places in grams.values():
-        if len({page[i] for i in places}) >= pages:
-            for i in places:
-                out[i : i + run] = True
-    return out
-
-
-def test_repeated_tokens():
-    rng = np.random.default_rng(2)
-    for _ in range(30):
-        codes, page = rng.integers(0, 3, 200), np.sort(rng.integers(0, 6, 200))
-        assert (html_text.repeated_tokens(codes, page, 5, 3) == brute_repeated(codes, page, 5, 3)).all()
-    assert not html_text.repeated_tokens(np.zeros(2, int), np.zeros(2, int)).any()
-
-
-def test_boilerplate_without_markup():
-    shared = " ".join(f"menu{i}" for i in range(20))
-    pages = [f"<div>{shared}</div><div>own text of page {k} {'w' * k}</div>" for k in range(5)]
-    assert [t for t, _, _ in html_text.main_texts(pages)] == [f"own text of page {k} {'w' * k}".strip() for k in range(5)]
+def brute_pages(pages):
+    """(page_id, text, removed_blocks) with plain lists and sets: heads as tuples of words, counted for each host."""
+    seen, parsed = {}, []
+    for i, url, page in pages:
+        blocks, has_main = html_text.page_blocks(page)
+        words = [b[0].split(" ") for b in blocks if not b[1]]
+        stream = [w for b in words for w in (None, *b)] + [None]
+        heads = [(tuple(stream[k : k + html_text.RUN]), k, k + html_text.RUN) for k in range(len(stream) - html_text.RUN + 1)] if words else []
+        starts, at = [], 1
+        for b in words:
+            starts.append(at)
+            at += len(b) + 1
+        host = re.sub("^[a-z]+://([^/?#:]+).*$", r"\1", url)
+        for h, _, _ in heads:
+            seen.setdefault((host, h), set()).add(tuple(b[0] for b in blocks))
+        parsed.append((i, host, blocks, has_main, words, heads, starts))
+    out = []
+    for i, host, blocks, has_main, words, heads, starts in parsed:
+        inside = set()
+        for h, s, e in heads:
+            if len(seen[host, h]) >= html_text.PAGES:
+                inside |= set(range(s, e))
+        parts = [sum(p in inside for p in range(s, s + len(w))) for s, w in zip(starts, words, strict=True)]
+        copy = not has_main and sum(parts) >= html_text.COVERED * sum(map(len, words))
+        gone = [not copy and p >= html_text.COVERED * len(w) for p, w in zip(parts, words, strict=True)]
+        keep, k = [], 0
+        for text, main, outside in blocks:
+            if not main:
+                k += 1
+            if main or not (gone[k - 1] or has_main or outside):
+                keep.append(text)
+        out.append((i, "\n\n".join(keep), sum(gone)))
+    return sorted(out)
+
+
+def stripped(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "url", "regexp_replace(html, '</?(article|main)>', '') html")
+
+
+def without_lists(monkeypatch):
+    """The guard out of the way: no tag and no class name excludes a block."""
+    monkeypatch.setattr(html_text, "OUTSIDE", set())
+    monkeypatch.setattr(html_text, "NAMES", re.compile("(?!)"))
+
+
+def test_pages_by_brute_force(spark, sf):
+    for pages in (spark.read.parquet(f"{sf}/pages.parquet"), stripped(spark, "/root/testdata/sf0.01")):
+        got = html_text.extract_pages(pages).collect()
+        assert sorted((r.page_id, r.text, r.removed_blocks) for r in got) == brute_pages([(r.page_id, r.url, r.html) for r in pages.collect()])
+    # on the larger table, whose articles are without their tag here, hosts have pages enough for repeats
+    assert sum(r.removed_blocks for r in got) >= 20
+
+
+def test_pages_do_not_depend_on_partitions(spark):
+    pages, seen = stripped(spark, "/root/testdata/sf0.01").repartition(5), set()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.add(str(sorted(map(tuple, html_text.extract_pages(pages).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(seen) == 1
+
+
+def extracted(spark, pages, host="http://h/"):
+    df = spark.createDataFrame([(k, f"{host}{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r for r in html_text.extract_pages(df).collect()}
+
+
+def test_boilerplate_without_markup(spark):
+    shared, menu = " ".join(f"menu{i}" for i in range(20)), "".join(f"<div>m{i}</div>" for i in range(6))
+    pages = [f"<div>{shared}</div>{menu}<div>four words of it</div><div>own text of page {k} {'w' * k} " + " ".join(f"w{k}x{j}" for j in range(60)) + "</div>" for k in range(5)]
+    got = extracted(spark, pages)
+    assert all(r.text.startswith(f"own text of page {k}") and "\n" not in r.text and r.removed_blocks == 8 for k, r in got.items())
+    # the same on two pages is no boilerplate, nor is it on three copies of one page or on three hosts
+    assert all("menu3" in r.text for r in extracted(spark, pages[:2]).values())
+    copies = extracted(spark, [pages[0]] * 3 + [pages[1]])
+    assert all("menu3" in r.text and r.removed_blocks == 0 for r in copies.values())
+    assert all("menu3" in r.text for k in range(3) for r in extracted(spark, [pages[k]], f"http://h{k}/").values())
+
+
+def test_copies_are_no_boilerplate(spark):
+    body = "".join(f"<p>{' '.join(f'w{i}x{j}' for j in range(30))}</p>" for i in range(8))
+    got = extracted(spark, [f"{body}<p>page {k}</p>" for k in range(4)])
+    assert all(r.removed_blocks == 0 and r.text.startswith("w0x0") for r in got.values())
 
 
 def test_odd_pages(spark):
