@@ -1,15 +1,10 @@
-"""Helpers that the corpus operators share: shared folders, Arrow text access, worker paths."""
+"""Helpers that the corpus operators share: Arrow text access, samples of labelled rows, names."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,43 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tessera.session import ship, written
+
+__all__ = ["crc_part", "flat", "labelled_sample", "long_parts", "prepare", "shared_name", "slices", "texts", "tidy", "written"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-    # whole texts travel in these batches: fewer rows than Spark's 10,000 keep both sides' memory low
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_tessera_shared", None)
-        if not found:
-            found = spark._tessera_shared = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, found, True)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again (survives lost executors).
-
-    The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    """Send the package to the workers. Spark bounds its Arrow batches by bytes, and `slices` cuts them further."""
+    return ship(spark)
+
+
+def shared_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 @contextlib.contextmanager

@@ -1,11 +1,11 @@
 """Best-fit packing of token sequences by bin completion.
 
 Only a histogram of piece lengths (at most `capacity` rows, whatever the corpus) comes to the driver. There bin
-completion works on lengths with multiplicities: around the largest remaining length it enumerates undominated fillings,
-keeps the one of least waste and applies it as often as its lengths allow. Best-fit decreasing gives the incumbent; what
-is left at the end, where waste arises, is searched by branch and bound with a waste bound. The plan (patterns with
-counts, bounded by the number of lengths) is then mapped back to the pieces by their rank within a length, by joins over
-narrow rows; texts and ids never move.
+completion by branch and bound works on lengths with multiplicities: around the longest length left it enumerates
+undominated fillings, least waste first, and prunes by waste and by the bins that the rest needs. Best-fit decreasing, also
+over multiplicities, is the first incumbent, so a plan is never worse. The search is the same for every size: it ends at
+the lower bound or after NODES steps. The plan (patterns with counts, bounded by the number of lengths) is then mapped
+back to the pieces by their rank within a length, by joins over narrow rows; texts and ids never move.
 
 Null and empty texts are one piece, of the end token alone. Repeated rows are packed each on its own; null document ids
 are kept. Other columns of the input are ignored.
@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,8 @@ MARKS = np.frombuffer(b".,;:!?", np.uint8)
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 SUBRANKS = 1024
-#: How many pieces of one length a filling takes at most in a step of the plan, while there are many lengths.
-COPIES, MANY = 8, 500
+#: Steps of the search for a plan, of branches and of fillings looked at.
+NODES = 40_000
 
 
 class Tokens:
@@ -172,7 +175,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins needed at least: the better of the total's bound and, for each cut, that of the items too large to share (L2)."""
+    """Bins needed at least: the best of the total's bound, for each cut that of the items too large to share (L2), and
+    those of rounded weights (dual feasible functions u^(k) of Fekete and Schepers)."""
     total = sum(x * n for x, n in counts.items())
     best = -(-total // capacity)
     lengths = sorted(counts)
@@ -182,173 +186,213 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         big, mid, low = size > capacity - k, (size <= capacity - k) & (2 * size > capacity), (2 * size <= capacity) & (size >= k)
         n, free = int(num[mid].sum()), int((num[mid] * (capacity - size[mid])).sum())
         best = max(best, int(num[big].sum()) + n + max(0, -(-(int((num[low] * size[low]).sum()) - free) // capacity)))
+    for k in range(1, 21):
+        parts, over = np.divmod((k + 1) * size, capacity)
+        weight = np.where(over == 0, k * size, parts * capacity)
+        best = max(best, -(-int((num * weight).sum()) // (k * capacity)))
     return best
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Best-fit decreasing over single items; a bin's lengths descend."""
-    room: dict[int, list[list[int]]] = {}
-    bins = []
-    free = np.zeros(capacity + 1, np.int64)
-    for x in sorted(counts, reverse=True):
-        for _ in range(counts[x]):
-            at = np.flatnonzero(free[x:])
-            if len(at):
-                r = x + int(at[0])
-                b = room[r].pop()
-                free[r] -= 1
-            else:
-                r, b = capacity, []
-                bins.append(b)
-            b.append(x)
-            room.setdefault(r - x, []).append(b)
-            free[r - x] += 1
-    return [tuple(b) for b in bins]
-
-
-def fillings(counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room`, least waste first: no left-out item fits beside, none that is larger fits instead of one."""
-    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
-    if not lengths:
-        return [()]
-    out, steps = [], 0
-
-    def dominated(have: tuple[int, ...], waste: int) -> bool:
-        used = Counter(have)
-        spare = [x for x in lengths if counts[x] > used[x]]
-        return any(x <= waste for x in spare) or any(y < x <= y + waste for y in used for x in spare)
-
-    def go(i: int, left: int, have: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 50 * most or len(out) >= most and out[-1][0] == 0:
-            return
-        if i == len(lengths) or left < lengths[-1]:
-            if not dominated(have, left):
-                out.append((left, have))
-            return
-        x = lengths[i]
-        for n in range(min(counts[x], left // x), -1, -1):
-            go(i + 1, left - n * x, have + (x,) * n)
+Plan = list[tuple[tuple[int, ...], int]]
 
-    if len(lengths) <= 200:
-        go(0, room, ())
-    out.sort(key=lambda o: (o[0], tuple(-x for x in o[1])))
-    return [o[1] for o in out[:most]] or [greedy_filling(counts, room)]
 
+def best_fit(counts: dict[int, int], capacity: int) -> Plan:
+    """Best-fit decreasing over lengths with multiplicities: (lengths of a bin, falling, how many such bins).
 
-def greedy_filling(counts: dict[int, int], room: int) -> tuple[int, ...]:
-    have: list[int] = []
-    for x in sorted((x for x, n in counts.items() if n), reverse=True):
-        n = min(counts[x], room // x)
-        have += [x] * n
-        room -= n * x
-    return tuple(have)
+    An item goes where it leaves least room, so equal items fill a bin as far as they fit before they turn to the next:
+    whole groups of equal bins are filled at a time, and each length splits one group at most.
+    """
+    rooms: list[int] = []
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
 
+    def put(room: int, have: tuple[int, ...], n: int) -> None:
+        if room not in groups:
+            insort(rooms, room)
+            groups[room] = []
+        groups[room].append((have, n))
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[tuple[int, ...]]:
-    """Bin completion branch and bound for a small instance; best-fit decreasing is the first incumbent."""
-    import sys
+    for x in sorted((x for x, n in counts.items() if n), reverse=True):
+        left, made, at = counts[x], [], bisect_left(rooms, x)
+        while left and at < len(rooms):
+            room = rooms[at]
+            each = room // x
+            while left and groups[room]:
+                have, n = groups[room].pop()
+                full = min(n, left // each)
+                if full:
+                    made.append((room - each * x, have + (x,) * each, full))
+                    left -= full * each
+                if full < n and left:  # fewer than a bin takes are left
+                    made.append((room - left * x, have + (x,) * left, 1))
+                    left, full = 0, full + 1
+                if full < n:
+                    groups[room].append((have, n - full))
+            if groups[room]:
+                at += 1
+            else:
+                del groups[room], rooms[at]
+        each = capacity // x
+        if left >= each:
+            made.append((capacity - each * x, (x,) * each, left // each))
+        if left % each:
+            made.append((capacity - left % each * x, (x,) * (left % each), 1))
+        for m in made:
+            put(*m)
+    return [g for room in rooms for g in groups[room]]
 
-    counts = {x: n for x, n in counts.items() if n > 0}
-    best = best_fit(counts, capacity)
-    bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
-    if len(best) <= bound:
-        return best
-    left = nodes
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-
-    def go(have: dict[int, int], done: list[tuple[int, ...]], waste: int) -> None:
-        nonlocal best, left
-        left -= 1
-        if left < 0 or len(best) <= bound:
-            return
-        if not have:
-            if len(done) < len(best):
-                best = list(done)
-            return
-        if len(done) - (-sum(x * n for x, n in have.items()) // capacity) >= len(best):
-            return
-        x = max(have)
-        rest = dict(have)
-        _take(rest, x, 1)
-        for filling in fillings(rest, capacity - x, 12):
-            lost = waste + capacity - x - sum(filling)
-            # so much waste that at best as many bins as the incumbent's result
-            if lost > (len(best) - 1) * capacity - total:
-                continue
-            after = dict(rest)
-            for y in filling:
-                _take(after, y, 1)
-            go(after, [*done, (x, *filling)], lost)
-
-    go(counts, [], 0)
-    return best
 
+class Budget:
+    """Steps that a search may still take."""
 
-def _take(counts: dict[int, int], x: int, n: int) -> None:
-    counts[x] -= n
-    if not counts[x]:
-        del counts[x]
+    def __init__(self, steps: int):
+        self.left = steps
 
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
 
-def _close(lengths: list[int], num: np.ndarray, room: int) -> tuple[int, ...]:
-    """The filling of least waste, by subset sums over the available lengths, larger ones first (few of them are dominated).
 
-    Sums within reach are the bits of a number; the search ends as soon as the room itself is one.
+def _steps(num: np.ndarray, room: int, exact: bool) -> tuple[list[tuple[int, int, int]], int]:
+    """Subset sums of the available lengths, larger first, as the bits of a number: (length, copies, sums before), and the sums.
+
+    Copies are taken in powers of two, so none is left out. exact: end as soon as the room itself is a sum.
     """
     reach, full, steps = 1, (1 << (room + 1)) - 1, []
-    most = COPIES if len(lengths) > MANY else room
-    for x in lengths:
-        if x > room:
-            continue
-        for _ in range(min(int(num[x]), room // x, most)):
-            steps.append((x, reach))
-            reach |= reach << x & full
-        if reach >> room & 1:
+    for x in np.flatnonzero(num[: room + 1])[::-1].tolist():
+        copies, k = min(int(num[x]), room // x), 1
+        while copies:
+            k = min(k, copies)
+            steps.append((x, k, reach))
+            reach |= reach << k * x & full
+            copies -= k
+            k *= 2
+        if exact and reach >> room & 1:
             break
-    left, have = reach.bit_length() - 1, []
-    for x, before in reversed(steps):
-        if not before >> left & 1:
-            left -= x
-            have.append(x)
-    return tuple(sorted(have, reverse=True))
+    return steps, reach
 
 
-def plan_bins(counts: dict[int, int], capacity: int = 4096, nodes: int = 2_000, tail: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a bin, how many such bins), for all pieces. Lengths must be within 1 and capacity."""
+def _subsets(steps: list[tuple[int, int, int]], total: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """The ways to make a sum that is among the steps', larger lengths first as far as they can be left out late."""
+    todo = [(len(steps), total, ())]
+    while todo and budget.spend():
+        i, left, have = todo.pop()
+        if not left:
+            yield tuple(sorted(have, reverse=True))
+            continue
+        # down to the step without which the sum can't be made; where it can, both ways are open
+        while i and left:
+            x, k, before = steps[i - 1]
+            i -= 1
+            if k * x <= left and before >> (left - k * x) & 1:
+                if not before >> left & 1:
+                    have, left = have + (x,) * k, left - k * x
+                    continue
+                todo.append((i, left - k * x, have + (x,) * k))
+        if not left:
+            yield tuple(sorted(have, reverse=True))
+
+
+def _dominated(num: np.ndarray, filling: tuple[int, ...], waste: int) -> bool:
+    """Whether a left-out item fits beside the filling, or a longer one instead of one of its items."""
+    used = Counter(filling)
+    spare = [x for x in np.flatnonzero(num[: waste + max(used, default=0) + 1]).tolist() if num[x] > used[x]]
+    return any(x <= waste for x in spare) or any(y < x <= y + waste for y in used for x in spare)
+
+
+def fillings(num: np.ndarray, room: int, budget: Budget, waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` from the counts `num`, of at most `waste`, least waste first; first of all those without waste
+    from the longest lengths that allow one."""
+    seen = set()
+    for exact in (True, False):
+        steps, reach = _steps(num, room, exact)
+        for lost in range(0, min(waste, room) + 1 if not exact else 1):
+            if reach >> (room - lost) & 1:
+                for f in _subsets(steps, room - lost, budget):
+                    if f not in seen:
+                        seen.add(f)
+                        if not _dominated(num, f, lost):
+                            yield f
+
+
+def complete(counts: dict[int, int], capacity: int, best: Plan, nodes: int = NODES) -> Plan:
+    """Bin completion by branch and bound over lengths with multiplicities; `best` is the incumbent.
+
+    Around the longest length left, every undominated filling is tried, least waste first, as often as its lengths allow,
+    then half as often, down to once. A branch ends where its waste is more than a better plan can have, or where the rest
+    needs too many bins. The search ends at the lower bound or after `nodes` steps, of branches and of fillings looked at.
+    """
+    bound, total, fewest = lower_bound(counts, capacity), sum(x * n for x, n in counts.items()), sum(n for _, n in best)
     num = np.zeros(capacity + 1, np.int64)
     for x, n in counts.items():
         num[x] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-    left = int(num.sum())
-    while left > tail:
-        lengths = np.flatnonzero(num)[::-1].tolist()
-        x = lengths[0]
+    budget, rest, lost, bins = Budget(nodes), total, 0, 0
+    top = capacity
+    done: Plan = []
+    #: for each bin kind of the branch: the choices tried before it, the longest length then
+    path: list[tuple[int, int]] = []
+
+    def choices(x: int) -> Iterator[tuple[tuple[int, ...], int]]:
         num[x] -= 1
-        need = Counter((x, *_close(lengths, num, capacity - x)))
+        spare = (fewest - 1) * capacity - total - lost
+        for f in fillings(num, capacity - x, budget, spare):
+            num[x] += 1
+            need = Counter((x, *f))
+            times = min(int(num[y]) // n for y, n in need.items())
+            while times:
+                yield (x, *f), times
+                times //= 2
+            num[x] -= 1
         num[x] += 1
-        times = min(int(num[y]) // n for y, n in need.items())
-        for y, n in need.items():
-            num[y] -= n * times
-        left -= times * need.total()
-        out.append((tuple(sorted(need.elements(), reverse=True)), times))
-    rest = {int(x): int(num[x]) for x in np.flatnonzero(num)}
-    if rest:
-        out += [(tuple(sorted(b, reverse=True)), n) for b, n in Counter(complete(rest, capacity, nodes)).items()]
-    mine = sum(n for _, n in out)
-    if mine > lower_bound(counts, capacity) and sum(counts.values()) <= 200_000:
-        other = best_fit(counts, capacity)
-        if len(other) < mine:
-            out = list(Counter(tuple(b) for b in other).items())
-    return out
+
+    def take(have: tuple[int, ...], times: int) -> None:
+        nonlocal rest, lost, bins
+        for y in have:
+            num[y] -= times
+        rest -= times * sum(have)
+        lost += times * (capacity - sum(have))
+        bins += times
+
+    skip = 0
+    while fewest > bound and budget.spend():
+        if not rest:
+            if bins < fewest:
+                best, fewest = list(done), bins
+            found = None
+        elif bins - (-rest // capacity) >= fewest or lost > (fewest - 1) * capacity - total:
+            found = None
+        else:
+            while not num[top]:
+                top -= 1
+            here = choices(top)
+            found = next(islice(here, skip, None), None)
+            here.close()
+        if found is None:
+            if not path:
+                break
+            skip, top = path.pop()
+            have, times = done.pop()
+            take(have, -times)
+            skip += 1
+        else:
+            path.append((skip, top))
+            done.append(found)
+            take(*found)
+            skip = 0
+    return best
+
+
+def plan_bins(counts: dict[int, int], capacity: int = 4096, nodes: int = NODES) -> Plan:
+    """(lengths of a bin, how many such bins), for all pieces. Lengths must be within 1 and capacity."""
+    counts = {x: n for x, n in counts.items() if n > 0}
+    return complete(counts, capacity, best_fit(counts, capacity), nodes)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """The pieces (doc_id, piece, length, ...) with sequence_id and offset. An empty table gives an empty one."""
     prepare(pieces.sparkSession)
-    sub = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SUBRANKS)).cast("int")
-    keyed = pieces.withColumn("__sub", sub)
+    # rows of one id, or copies of a row, differ in their place
+    sub = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(SUBRANKS)).cast("int")
+    keyed = written(pieces.withColumn("__sub", sub), "pieces")
     counted = written(keyed.groupBy("length", "__sub").agg(F.count("*").alias("__n")), "lengths")  # at most capacity x SUBRANKS rows
     counts = {int(r[0]): int(r[1]) for r in counted.groupBy("length").agg(F.sum("__n")).collect()}
     bins = plan_bins(counts, capacity)
@@ -387,7 +431,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
-    return pack(written(token_pieces(docs, path, capacity), "pieces"), capacity)
+    return pack(token_pieces(docs, path, capacity), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -83,6 +83,42 @@ def test_bins_meet_bound():
     assert sum(n for _, n in bins) == packing.lower_bound(counts, 4096)
 
 
+def single_best_fit(counts, capacity):
+    """Best-fit decreasing, an item at a time."""
+    free = []
+    for x in sorted(Counter(counts).elements(), reverse=True):
+        fit = [r for r in free if r >= x]
+        free.append(min(fit) - x if fit else capacity - x)
+        if fit:
+            free.remove(min(fit))
+    return len(free)
+
+
+def test_best_fit_by_multiplicities():
+    rng = random.Random(3)
+    for k in range(40):
+        counts = {rng.randint(1, 60): rng.randint(1, 9) for _ in range(rng.randint(1, 12))}
+        bins = packing.best_fit(counts, 60)
+        assert sum((Counter({x: c * n for x, c in Counter(b).items()}) for b, n in bins), Counter()) == Counter(counts)
+        assert sum(n for _, n in bins) == single_best_fit(counts, 60) and all(sum(b) <= 60 for b, _ in bins)
+    assert packing.best_fit({}, 60) == [] and packing.plan_bins({}) == []
+
+
+@pytest.mark.parametrize("low, high", [(1030, 2040), (1000, 1400), (1, 4096)])
+def test_plans_are_never_worse_than_best_fit(low, high):
+    counts = Counter(random.Random(low).choices(range(low, high + 1), k=260_000))
+    bins = packing.plan_bins(dict(counts), nodes=2_000)
+    assert sum((Counter({x: c * n for x, c in Counter(b).items()}) for b, n in bins), Counter()) == counts
+    assert packing.lower_bound(counts, 4096) <= sum(n for _, n in bins) <= sum(n for _, n in packing.best_fit(counts, 4096))
+
+
+def test_lower_bound_is_one():
+    rng = random.Random(6)
+    for _ in range(40):
+        items = sorted((rng.randint(2, 19) for _ in range(8)), reverse=True)
+        assert packing.lower_bound(dict(Counter(items)), 20) <= optimum(items, 20)
+
+
 def check_packing(rows, docs, capacity):
     lib = Tokenizer.from_file(word_path())
     want = Counter()
