@@ -1,18 +1,22 @@
-"""Embedding near-duplicates by tables of random-hyperplane buckets, as many as one bound on misses asks for.
-
-In each table a vector's bucket is the signs of its products with `bits` random hyperplanes, and all vectors of a bucket
-are compared, in blocks that meet in separate tasks, however many a dense place puts there; pairs verified with the cosine
-in double precision are united across tables. `bits` follows the count of distinct vectors, so that a bucket of spread
-vectors holds about BUCKET, and the number of tables follows `bits`: a pair exactly at the threshold agrees in a sign with
-probability 1 - angle / pi, whatever lies around it, so that no table brings it together with probability MISS at most, at
-every size and density. Closer pairs are missed far less, and a chain of found links also brings ends together. Up to
-BUCKET vectors there is one bucket and nothing is missed. A link joins only vectors of one component, so an exact check
-then counts every vector's links within its component, in blocks (of about BLOCK vectors, in components of many blocks up
-to 32 times that), without emitting pairs.
+"""Embedding near-duplicates by sorted projection passes, as many as one bound on misses asks for.
+
+A pass has random hyperplanes of its own; a vector's hashes are the signs of its products with them, and vectors are in
+the lexicographic order of these signs, concatenated. A vector's window in this order is the run of neighbours that share
+its first `bits` signs, so windows never end at a partition's border. `bits` follows the count of distinct vectors, which
+bounds the window: a run of spread vectors holds about BUCKET. A longer run, at a dense place, isn't cut off but compared
+in blocks that meet in separate tasks. Pairs verified with the cosine in double precision are united across passes.
+
+The number of passes follows `bits`: a pair exactly at the threshold agrees in a sign with probability 1 - angle / pi,
+whatever lies around it, so that no pass brings it together with probability MISS at most, at every size and density.
+Closer pairs are missed far less, and a chain of found links also brings ends together. Up to BUCKET vectors there is one
+run and nothing is missed. A link joins only vectors of one component, so an exact check then counts every vector's links
+within its component without emitting pairs, in blocks: of about BLOCK vectors up to SPREAD blocks, then of ever more, up
+to BLOCK_BYTES, so that rows of a component of b bytes are copied b / BLOCK_BYTES times at most.
 
 Vectors that are null, zero, or have null or non-finite components link with nothing, nor do vectors of different
 lengths, nor rows with a null id. Equal vectors are one class with a count, so copies don't multiply. A repeated id counts
-as another vector. An empty table gives an empty one; columns beside vec_id and embedding are ignored.
+as another vector, whether its vectors are equal or not. An empty table gives an empty one; columns beside vec_id and
+embedding are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from tessera.llm.common import prepare, slices, tidy, written
 from tessera.llm.components import connected_components
 
 MISS, BUCKET, BLOCK, SPREAD = 0.001, 512, 128, 32
-#: Rows of a large bucket's blocks: many small ones up to SPREAD blocks, then larger ones, so that copies of rows stay few.
+#: Rows of a long run's blocks: many small ones up to SPREAD blocks, then larger ones, so that copies of rows stay few.
 HALL, HALLS = 1024, 8192
+#: Bytes of a component's largest blocks, in double precision.
+BLOCK_BYTES = 32 << 20
 
 
 def valid_vectors(column: pa.Array, kind: str) -> list[bytes | None]:
@@ -63,7 +69,10 @@ def planes(seed: int, dim: int) -> np.ndarray:
 
 
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (vec_id, d1, d2; null digests if the vector can't link), and classes (cid, n, d1, d2, vec)."""
+    """Rows (vec_id, d1, d2; null digests if the vector can't link), and classes (cid, least, n, d1, d2, vec).
+
+    A class is told by its digests and has a number of its own, as one id may stand for two vectors; least is its smallest id.
+    """
     prepare(vectors.sparkSession)
     floats = float_kind(vectors)
 
@@ -79,8 +88,8 @@ def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = F.col("vec").isNotNull() & F.col("vec_id").isNotNull()
     made = made.select("vec_id", F.when(usable, F.col("vec")).alias("vec")).select("vec_id", "vec", F.when(usable, F.xxhash64("vec")).alias("d1"), F.when(usable, F.crc32("vec")).alias("d2"))
     rows = written(made, "vectors")
-    classes = rows.where("vec IS NOT NULL").groupBy("d1", "d2").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    return rows.select("vec_id", "d1", "d2"), written(classes, "vector-classes")
+    classes = rows.where("vec IS NOT NULL").groupBy("d1", "d2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    return rows.select("vec_id", "d1", "d2"), written(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
 
 
 def block_links(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -102,7 +111,7 @@ def _unite(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def tables_for(n: int, least: float = 0.9, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables): a pair at the cosine `least` among n vectors meets in no table with probability `miss` at most."""
+    """(bits, passes): a pair at the cosine `least` among n vectors meets in no pass with probability `miss` at most."""
     bits = min(64, max(0, math.ceil(math.log2(max(n, 1) / BUCKET))))
     meets = (1 - math.acos(least) / math.pi) ** bits
     return bits, 1 if meets == 1 else math.ceil(math.log(miss) / math.log1p(-meets))
@@ -127,7 +136,7 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[li
 
 
 def projection_edges(classes: DataFrame, floats: str, least: float = 0.9, miss: float = MISS) -> DataFrame:
-    """(a, b): verified edges between class ids, found in the buckets of each table."""
+    """(a, b): verified edges between class numbers, found in the windows of each pass."""
     bits, tables = tables_for(classes.count(), least, miss)
 
     def keys(batches):
@@ -149,11 +158,10 @@ def projection_edges(classes: DataFrame, floats: str, least: float = 0.9, miss:
                     names=["p", "dim", "key", "cid", "vec"],
                 )
 
-    kind = classes.schema["cid"].dataType.simpleString()
     place = ["p", "dim", "key"]
-    keyed = classes.select("cid", "vec").mapInArrow(keys, f"p int, dim int, key long, cid {kind}, vec binary")
-    # only buckets of more than one block are looked up again: few, and none where vectors are spread
-    large = written(keyed.groupBy(*place).agg(F.count("*").alias("m")).where(F.col("m") > HALL), "large-buckets")
+    keyed = classes.select("cid", "vec").mapInArrow(keys, "p int, dim int, key long, cid long, vec binary")
+    # only runs of more than one block are looked up again: few, and none where vectors are spread
+    large = written(keyed.groupBy(*place).agg(F.count("*").alias("m")).where(F.col("m") > HALL), "long-runs")
     blocks = F.least(F.ceil(F.col("m") / HALL), F.greatest(F.lit(SPREAD), F.ceil(F.col("m") / HALLS))).cast("int")
     placed = keyed.join(large, place, "left").withColumn("nb", F.when(F.col("m").isNull(), 1).otherwise(blocks))
     dealt = meetings(placed, [*place, "cid", "vec"])
@@ -182,7 +190,7 @@ def projection_edges(classes: DataFrame, floats: str, least: float = 0.9, miss:
                 a, b = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (cid[:0], cid[:0])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return ordered.select(*place, "bi", "bj", "k", "cid", "vec").mapInArrow(compare, f"a {kind}, b {kind}")
+    return ordered.select(*place, "bi", "bj", "k", "cid", "vec").mapInArrow(compare, "a long, b long")
 
 
 def meetings(placed: DataFrame, names: list[str]) -> DataFrame:
@@ -197,12 +205,12 @@ def meetings(placed: DataFrame, names: list[str]) -> DataFrame:
 
 def component_links(members: DataFrame, floats: str, least: float = 0.9) -> DataFrame:
     """(cid, links): for each class of (cid, root, vec, n), how many vectors of other classes of its component it links."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
+    width = 8 // np.dtype(floats).itemsize
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.octet_length("vec").cast("long") * width).alias("bytes"))
     # small blocks spread a component over tasks; in a very large one larger blocks keep the copies of its rows few
-    blocks = F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(SPREAD), F.ceil(F.col("m") / (32 * BLOCK)))).cast("int")
+    blocks = F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(SPREAD), F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int")
     dealt = meetings(members.join(sizes, "root").withColumn("nb", blocks), ["cid", "root", "vec", "n"])
     dealt = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "cid")
-    kind = members.schema["cid"].dataType.simpleString()
 
     def count(cid, raw, n, k, bi):
         links = np.zeros(len(cid), np.int64)
@@ -214,13 +222,15 @@ def component_links(members: DataFrame, floats: str, least: float = 0.9) -> Data
             rows, cols = (np.arange(len(at)),) * 2 if same else (np.flatnonzero(k[at] == bi), np.flatnonzero(k[at] != bi))
             if same and len(set(k.tolist())) > 1:
                 continue  # all of one block, in a meeting of two: counted where the block meets itself
-            hit = block_links(x[rows], x[cols], least)
-            if same:
-                np.fill_diagonal(hit, False)
-                links[at] += hit @ n[at]
-            else:
-                links[at[rows]] += hit @ n[at[cols]]
-                links[at[cols]] += hit.T @ n[at[rows]]
+            for s in range(0, len(rows), 512):  # a few rows at a time, so that the table of hits stays small
+                some = rows[s : s + 512]
+                hit = block_links(x[some], x[cols], least)
+                if same:
+                    hit[np.arange(len(some)), some] = False
+                    links[at[some]] += hit @ n[at]
+                else:
+                    links[at[some]] += hit @ n[at[cols]]
+                    links[at[cols]] += hit.T @ n[at[some]]
         return links
 
     def run(batches):
@@ -238,7 +248,7 @@ def component_links(members: DataFrame, floats: str, least: float = 0.9) -> Data
         ids = np.concatenate(ids) if ids else cols[3][:0]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(links) if links else np.zeros(0, np.int64))], names=["cid", "links"])
 
-    counted = dealt.select("root", "bi", "bj", "cid", "vec", "n", "k").mapInArrow(run, f"cid {kind}, links long")
+    counted = dealt.select("root", "bi", "bj", "cid", "vec", "n", "k").mapInArrow(run, "cid long, links long")
     return counted.groupBy("cid").agg(F.sum("links").alias("links"))
 
 
@@ -249,8 +259,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, miss: float = MISS)
     labels = written(connected_components(projection_edges(classes, floats, least, miss)), "vector-components")
     members = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
     links = component_links(members, floats, least)
-    known = classes.select("cid", "n", "d1", "d2").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
-    known = known.select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
+    named = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = classes.select("cid", "least", "n", "d1", "d2").join(labels.withColumnRenamed("node", "cid").join(named, "root"), "cid", "left").join(links, "cid", "left")
+    known = known.select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.join(written(known, "vector-links"), ["d1", "d2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
