@@ -6,7 +6,9 @@ bytes, table checksums and counters, reassembles the elementary packets and list
 whether it is a random-access point.
 
 Null texts are empty; the payload is never empty, as padding is to a positive multiple of 64. Repeated rows give equal
-values. A stream that breaks a rule raises ValueError. Columns beside doc_id and text are left alone.
+values. demux raises ValueError on a stream that breaks a rule; read_media keeps its row, with the reason in `error` and
+nulls beside it, also for a null stream. A packet sent twice counts once, and a counter may jump where the stream marks a
+discontinuity. Columns beside doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -98,6 +100,8 @@ def _table(packets: np.ndarray, pid: int, table: int) -> bytes:
         raise ValueError(f"no table with PID {pid}")
     raw = rows[0, 4:].tobytes()
     raw = raw[1 + raw[0] :]
+    if len(raw) < 12:
+        raise ValueError(f"bad table with PID {pid}")
     size = (raw[1] & 15) << 8 | raw[2]
     if raw[0] != table or crc_mpeg(raw[: 3 + size]):
         raise ValueError(f"bad table with PID {pid}")
@@ -112,19 +116,31 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, bool]], int]:
     if (p[:, 0] != SYNC).any() or (p[:, 1] & 0x80).any():
         raise ValueError("lost sync or a transport error")
     pat = _table(p, 0, 0)
+    if len(pat) < 4:
+        raise ValueError("no program")
     pmt = _table(p, (pat[2] & 31) << 8 | pat[3], 2)
-    at = 4 + ((pmt[2] & 15) << 8 | pmt[3])
-    if pmt[at] != PRIVATE_TYPE:
+    at = 4 + ((pmt[2] & 15) << 8 | pmt[3]) if len(pmt) > 3 else 0
+    if not at or at + 2 >= len(pmt) or pmt[at] != PRIVATE_TYPE:
         raise ValueError("no stream of private data")
     pid = (pmt[at + 1] & 31) << 8 | pmt[at + 2]
     own = p[((p[:, 1] & 31).astype(np.int32) << 8 | p[:, 2]) == pid]
     own = own[(own[:, 3] & 0x10) != 0]
+    # a packet may be sent twice: all but its clock reference is the same
+    again = np.zeros(len(own), bool)
+    body = own.copy()
+    body[(own[:, 3] & 0x20 != 0) & (own[:, 4] >= 7) & (own[:, 5] & 0x10 != 0), 6:12] = 0
+    again[1:] = (body[1:] == body[:-1]).all(axis=1)
+    again[1:] &= ~again[:-1]
+    own = own[~again]
     counters = own[:, 3] & 15
-    if len(own) and ((counters[1:] - counters[:-1]) & 15 != 1).any():
-        raise ValueError("a continuity counter jumps")
     adapted = (own[:, 3] & 0x20) != 0
-    begin = np.where(adapted, 5 + own[:, 4].astype(int), 4)
+    marked = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x80 != 0)
+    if len(own) and (((counters[1:] - counters[:-1]) & 15 != 1) & ~marked[1:]).any():
+        raise ValueError("a continuity counter jumps")
+    begin = np.minimum(np.where(adapted, 5 + own[:, 4].astype(int), 4), PACKET)
     starts = np.flatnonzero(own[:, 1] & 0x40)
+    if not len(starts) or starts[0]:
+        raise ValueError("no start of an elementary packet")
     access = adapted & (own[:, 4] > 0) & ((own[:, 5] & 0x40) != 0)
     sizes = PACKET - begin
     raw = own[np.arange(PACKET) >= begin[:, None]]
@@ -134,7 +150,7 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, bool]], int]:
         a, b = ends[s] - sizes[s], ends[starts[i + 1] - 1] if i + 1 < len(starts) else ends[-1]
         pes = raw[a:b]
         h = pes[:14].tobytes()
-        if h[:4] != b"\x00\x00\x01" + bytes([PRIVATE_ID]) or (h[4] << 8 | h[5]) != b - a - 6:
+        if len(h) < 14 or h[:4] != b"\x00\x00\x01" + bytes([PRIVATE_ID]) or (h[4] << 8 | h[5]) != b - a - 6:
             raise ValueError("a broken elementary packet")
         pts = (h[9] >> 1 & 7) << 30 | h[10] << 22 | h[11] >> 1 << 15 | h[12] << 7 | h[13] >> 1
         units.append((pts, offset, bool(access[s])))
@@ -162,15 +178,21 @@ def write_media(docs: DataFrame) -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """What the stored streams hold: digests of the payload and the stream, timestamps, and a feature string."""
+    """What the stored streams hold: digests of the payload and the stream, timestamps, a feature string; or an error."""
     prepare(stored.sparkSession)
 
     def run(batches):
         with tidy():
             for batch in slices(batches, 256, 4 << 20):
                 cols: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "access_offsets")}
+                cols["error"] = []
                 for media in batch.column(2).to_pylist():
-                    payload, units, packets = demux(media)
+                    try:
+                        payload, units, packets = demux(media or b"")
+                    except ValueError as e:
+                        for k in cols:
+                            cols[k].append(str(e) if k == "error" else None)
+                        continue
                     counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                     share = counts[counts > 0] / len(payload)
                     entropy = float(-(share * np.log2(share)).sum())
@@ -184,10 +206,11 @@ def read_media(stored: DataFrame) -> DataFrame:
                         ("feature", f"packets={packets};units={len(units)};access={sum(u[2] for u in units)};last_pts={units[-1][0]};largest_step={max(jumps, default=0)};entropy={entropy + 0.0:.6f}"),
                         ("timestamps", [u[0] for u in units]),
                         ("access_offsets", [u[1] for u in units if u[2]]),
+                        ("error", None),
                     ):
                         cols[k].append(v)
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True))], names=["doc_id", "n_bytes", *cols])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<bigint>, access_offsets array<bigint>")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<bigint>, access_offsets array<bigint>, error string")

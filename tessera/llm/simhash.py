@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare, slices, tidy, written
+from tessera.llm.common import prepare, shared_name, slices, tidy, written
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -62,8 +62,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", F.encode(F.col("text").cast("string"), "UTF-8").alias("raw")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def fingerprinted(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs, all columns, with __fp, the fingerprint as a signed long, and __uid, a number for the row; written, so both stay."""
+def fingerprinted(docs: DataFrame, words: int = 3) -> tuple[DataFrame, str, str]:
+    """docs, all columns, with the fingerprint as a signed long and a number for the row; written, so both stay; and these columns' names."""
+    fp, uid = shared_name(docs, "fp"), shared_name(docs, "uid")
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -71,10 +72,10 @@ def fingerprinted(docs: DataFrame, words: int = 3) -> DataFrame:
         with tidy():
             for batch in slices(batches, 1024, 8 << 20):
                 fps = np.array([fingerprint((x or "").encode(), words) for x in batch.column(at).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, fp])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
-    return written(docs.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()), "fingerprinted")
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    return written(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "fingerprinted"), fp, uid
 
 
 def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -83,13 +84,13 @@ def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
     as the groups, so they are never broadcast.
     """
-    rows = fingerprinted(docs, words)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__uid")).alias("first")
-    classes = rows.groupBy(F.col("__fp").alias("fp")).agg(first)
+    rows, fp, uid = fingerprinted(docs, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col(uid).alias("uid"))).alias("first")
+    classes = rows.groupBy(F.col(fp).alias("fp")).agg(first)
     labels = connected_components(near_edges(classes.select("fp"), radius))
     roots = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    winners = written(roots.select(F.col("first.__uid").alias("__uid")), "winners")
-    return rows.join(winners.hint("shuffle_hash"), "__uid", "left_semi").select(*docs.columns)
+    winners = written(roots.select(F.col("first.uid").alias(uid)), "winners")
+    return rows.join(winners.hint("shuffle_hash"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
