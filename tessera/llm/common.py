@@ -86,10 +86,10 @@ def crc_part(modulus: int, doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, most: int) -> DataFrame:
-    """(text, n_chars, y) of at most `most` labelled rows: the same ones in every run, at random by a hash of the id.
+    """(doc_id, text, n_chars, __y) of at most `most` labelled rows: the same ones in every run, at random by a hash of the id.
 
-    The ids (a bounded set) are broadcast, so the texts don't move. An id labelled twice takes the larger label;
-    null ids and labels are left out. Half of the places go to each class, as far as it has rows.
+    The ids (a bounded set) are broadcast, so the texts don't move. An id labelled twice takes the larger label, an id of
+    several rows one of them; null ids and labels are left out. Half of the places go to each class, as far as it has rows.
     """
     y = F.col(label).cast("int")
     ids = labels.where(F.col("doc_id").isNotNull() & y.isNotNull() & keep).groupBy("doc_id").agg(F.max(y).alias("__y"))
@@ -97,4 +97,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, most:
     halves = [ids.where(F.col("__y") == v).orderBy(order, "doc_id").limit(most // 2) for v in (0, 1)]
     chosen = F.broadcast(halves[0].unionByName(halves[1]))
     n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.char_length("text")
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), n_chars.cast("long").alias("n_chars")).join(chosen, "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), n_chars.cast("long").alias("n_chars")).join(chosen, "doc_id")
+    one = F.min_by(F.struct("text", "n_chars", "__y"), F.xxhash64("text", "n_chars")).alias("one")
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "one.*")

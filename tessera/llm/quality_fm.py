@@ -6,8 +6,8 @@ loop over words. The model is fitted on the driver from at most TRAIN_ROWS label
 is one pass over all texts without a shuffle.
 
 Null and empty texts have only structure features. A null n_chars is the text's own length. Repeated rows score alike.
-If a class has no training rows every score is the smoothed share. Columns beside doc_id, text and n_chars are left
-alone.
+If a class has no training rows every score is the smoothed share. An id that several rows have is trained on once.
+Columns beside doc_id, text and n_chars are left alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import flat, labelled_sample, prepare, slices, tidy
 
+#: Settings, chosen by folds of training rows alone (choose_settings.py).
+PENALTY, ROUNDS = 1e-4, 150
 BITS, RANK, TRAIN_ROWS, SEGMENT = 15, 8, 6000, 1 << 16
 _PRIME = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -33,6 +35,8 @@ _KIND[48:58] = 4
 _KIND[33:48] = _KIND[58:65] = _KIND[91:97] = _KIND[123:127] = 6
 _KIND[[ord(c) for c in ".,;:?"]] = 5
 STATISTICS = 16
+#: Words in fewer training rows tell nothing.
+LEAST_ROWS = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -120,8 +124,9 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 90, penalty: float = 1e-4) -> Machine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int | None = None, penalty: float | None = None) -> Machine:
     """Full-batch steps with momentum per coordinate; classes weigh alike; the initial factors come from a fixed seed."""
+    rounds, penalty = ROUNDS if rounds is None else rounds, PENALTY if penalty is None else penalty
     n = (1 << BITS) + STATISTICS
     share = (y.sum() + 1) / (len(y) + 2)
     prior = Machine(float(np.log(share / (1 - share))), np.zeros(n, np.float32), np.zeros((n, RANK), np.float32))
@@ -130,7 +135,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
     ids, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     of = np.repeat(np.arange(len(y)), [len(r[0]) for r in rows])
     df = np.bincount(ids, minlength=n)
-    use = df[ids] >= 5  # rarer words tell nothing
+    use = df[ids] >= LEAST_ROWS
     ids, x, of = ids[use], x[use], of[use].astype(np.int32)
     own, ids = np.unique(ids, return_inverse=True)
     by = np.argsort(ids, kind="stable").astype(np.int32)

@@ -34,7 +34,8 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(scores: DataFrame, modulus: int, held: int, threshold: float) -> DataFrame:
-    return scores.select("doc_id", (crc_part(modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    # a null id is never held out
+    return scores.select("doc_id", F.coalesce(crc_part(modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios (Wang and Manning, 2012).
 
-Features are the distinct hashed n-grams of the lower-cased bytes of a text, white space as one blank. For each, the
-log-count ratio r of its smoothed shares among toxic and clean training rows scales the feature, and logistic regression
-with an L2 penalty learns weights on the scaled features. The model is fitted on the driver from at most TRAIN_ROWS
-labelled rows (a documented bound); scoring is one pass over all texts without a shuffle.
+Features are the distinct hashed n-grams of a text's characters (code points) in lower case, white space as one blank. For
+each, the log-count ratio r of its smoothed shares among toxic and clean training rows scales the feature, and logistic
+regression with an L2 penalty learns weights on the scaled features. The model is fitted on the driver from at most
+TRAIN_ROWS labelled rows (a documented bound); scoring is one pass over all texts without a shuffle.
 
 Null and empty texts have no features and get the score of the intercept. Repeated rows score alike. If a class has no
-training rows every score is the smoothed share of the other. Columns beside doc_id and text are left alone.
+training rows every score is the smoothed share of the other. An id that several rows have is trained on once. Columns
+beside doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -18,34 +19,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, labelled_sample, prepare, slices, tidy, written
+from tessera.llm.common import labelled_sample, prepare, slices, texts, tidy, written
 
-SIZES = (4, 6, 8)
+#: Settings, chosen by folds of training rows alone (choose_settings.py): n-gram sizes, standard errors that a ratio must
+#: be away from none, penalty, rounds.
+SIZES, SURE, PENALTY, ROUNDS = (4, 6, 8), 3.5, 1e-3, 100
 BITS = 20
 TRAIN_ROWS = 6000
-SURE = 3.5
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+_STEP = np.uint64(0x100000001B3)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[9:14] = 32
-
-
-def ngram_ids(raw: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Distinct hashed n-grams of a text's bytes. seen: scratch of 2^BITS int32 numbers."""
-    b = _LOWER[raw]
-    if len(b) > 1:
-        b = b[~((b == 32) & np.concatenate([[False], b[:-1] == 32]))]
-    b = np.concatenate([[32], b, [32]]).astype(np.uint8)
-    most, found = max(SIZES), []
-    for at in range(0, len(b), SEGMENT):  # so that a very long text takes little memory
-        part = b[at : at + SEGMENT + most - 1].astype(np.uint64)
+#: The code points of white space.
+_BLANKS = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+def ngram_ids(text: str, seen: np.ndarray, sizes: tuple[int, ...] | None = None) -> np.ndarray:
+    """Distinct hashed n-grams of a text. seen: scratch of 2^BITS int32 numbers."""
+    sizes = sizes or SIZES
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = (c <= 32) | (c == 0x85) | (c >= 0xA0) & np.isin(c, _BLANKS)
+    keep = ~(blank & np.concatenate([[False], blank[:-1]]))
+    c = np.concatenate([[32], np.where(blank, 32, c)[keep], [32]]).astype(np.uint32)
+    most, found = max(sizes), []
+    for at in range(0, len(c), SEGMENT):  # so that a very long text takes little memory
+        part = c[at : at + SEGMENT + most - 1].astype(np.uint64)
         ids, code = [np.zeros(0, np.int32)], part
         for n in range(2, most + 1):
             if len(part) < n:
                 break
-            code = code[: len(part) - n + 1] << np.uint64(8) | part[n - 1 :]
-            if n in SIZES:
+            code = code[: len(part) - n + 1] * _STEP + part[n - 1 :]
+            if n in sizes:
                 ids.append(((code + np.uint64(n)) * _MULTIPLIER >> np.uint64(64 - BITS)).astype(np.int32))
         found.append(_distinct(np.concatenate(ids), seen))
     return found[0] if len(found) == 1 else _distinct(np.concatenate(found), seen)
@@ -66,16 +69,17 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(self.weights[ids].sum(dtype=np.float64) + self.intercept, -40, 40))))
 
 
-def log_ratios(hits: np.ndarray, toxic: int, clean: int, smooth: float = 1.0) -> np.ndarray:
+def log_ratios(hits: np.ndarray, toxic: int, clean: int, smooth: float = 1.0, sure: float | None = None) -> np.ndarray:
     """Log-count ratios from each class's rows with a feature; 0 where they are within a few standard errors of none."""
     h = hits + smooth
     ratio = np.log(h[1] / (toxic + 2 * smooth)) - np.log(h[0] / (clean + 2 * smooth))
-    ratio[np.abs(ratio) < SURE * np.sqrt(1 / h[0] + 1 / h[1])] = 0
+    ratio[np.abs(ratio) < (SURE if sure is None else sure) * np.sqrt(1 / h[0] + 1 / h[1])] = 0
     return ratio
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, hits: np.ndarray | None = None, rounds: int = 100, penalty: float = 1e-3) -> Linear:
+def fit(features: list[np.ndarray], y: np.ndarray, hits: np.ndarray | None = None, rounds: int | None = None, penalty: float | None = None, sure: float | None = None) -> Linear:
     """NB-scaled logistic regression by full-batch steps with momentum per coordinate; both classes weigh alike."""
+    rounds, penalty = ROUNDS if rounds is None else rounds, PENALTY if penalty is None else penalty
     n = 1 << BITS
     share = (y.sum() + 1) / (len(y) + 2)
     prior = Linear(np.zeros(n, np.float32), float(np.log(share / (1 - share))))
@@ -85,7 +89,7 @@ def fit(features: list[np.ndarray], y: np.ndarray, hits: np.ndarray | None = Non
     ids = np.concatenate(features)
     if hits is None:
         hits = np.stack([np.bincount(ids[y[rows] == v], minlength=n) for v in (0, 1)])
-    ratio = log_ratios(hits, int(y.sum()), int((1 - y).sum()))
+    ratio = log_ratios(hits, int(y.sum()), int((1 - y).sum()), sure=sure)
     use = ratio[ids] != 0
     rows, ids = rows[use], ids[use]
     if not len(ids):
@@ -123,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_RO
     that tell the classes apart.
     """
     spark = prepare(docs.sparkSession)
-    chosen = labelled_sample(docs, labels, "toxic", keep, most).select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.col("__y").alias("y"))
+    chosen = labelled_sample(docs, labels, "toxic", keep, most).select("doc_id", "text", F.col("__y").alias("y"))
     chosen = written(chosen.repartition(8), "toxicity-sample")
     n = 1 << BITS
 
@@ -131,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_RO
         with tidy():
             seen, hits = np.zeros(n, np.int32), np.zeros((2, n), np.int32)
             for batch in slices(batches):
-                for raw, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    hits[y][ngram_ids(np.frombuffer(raw, np.uint8), seen)] += 1
+                for text, y in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    hits[y][ngram_ids(text, seen)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([hits.tobytes()], pa.binary())], names=["hits"])
 
     hits = np.zeros((2, n))
@@ -144,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_RO
         with tidy():
             seen = np.zeros(n, np.int32)
             for batch in slices(batches):
-                ids = [ngram_ids(np.frombuffer(raw, np.uint8), seen) for raw in batch.column(1).to_pylist()]
+                ids = [ngram_ids(text, seen) for text in texts(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([np.sort(x[told.value[x]]).tobytes() for x in ids], pa.binary())], names=["doc_id", "y", "ids"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -160,8 +164,7 @@ def score_documents(docs: DataFrame, model: Linear) -> DataFrame:
         with tidy():
             seen = np.zeros(1 << BITS, np.int32)
             for batch in slices(batches, 1024, 8 << 20):
-                data, at = flat(batch.column(1))
-                scores = [shared.value.score(ngram_ids(data[s:e], seen)) for s, e in zip(at.tolist(), at[1:].tolist())]  # noqa: B905
+                scores = [shared.value.score(ngram_ids(t, seen)) for t in texts(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -177,8 +180,7 @@ def filter_documents(docs: DataFrame, model: Linear, threshold: float = 0.7) ->
         with tidy():
             seen = np.zeros(1 << BITS, np.int32)
             for batch in slices(batches, 1024, 8 << 20):
-                data, to = flat(batch.column(at))
-                scores = [shared.value.score(ngram_ids(data[s:e], seen)) for s, e in zip(to.tolist(), to[1:].tolist())]  # noqa: B905
+                scores = [shared.value.score(ngram_ids(t, seen)) for t in texts(batch.column(at))]
                 yield batch.filter(pa.array(np.array(scores) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

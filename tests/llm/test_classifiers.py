@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -61,12 +64,97 @@ def test_word_hashes_do_not_depend_on_place():
 
 def test_ngrams_are_distinct():
     seen = np.zeros(1 << toxicity.BITS, np.int32)
-    ids = toxicity.ngram_ids(np.frombuffer(b"abab  abab", np.uint8), seen)
-    assert len(ids) == len(set(ids.tolist())) and len(toxicity.ngram_ids(np.zeros(0, np.uint8), seen)) == 0
+    ids = toxicity.ngram_ids("abab  abab", seen)
+    assert len(ids) == len(set(ids.tolist())) and len(toxicity.ngram_ids("", seen)) == 0
+
+
+def plain_ngrams(text):
+    """n-grams of characters, by slices and sets."""
+    t = " " + re.sub(r"\s+", " ", text.lower()) + " "
+    return {t[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)}
+
+
+def test_ngrams_are_of_characters():
+    seen, texts = np.zeros(1 << toxicity.BITS, np.int32), ["Слово И слово", "ПЛОХОЕ \u2003 слово", "naïve Ünïcode 漢字 😀 text", "a", ""]
+    grams = [plain_ngrams(t) for t in texts]
+    assert toxicity.ngram_ids(texts[1], seen).tolist() == toxicity.ngram_ids("плохое слово", seen).tolist()
+    assert all(len(toxicity.ngram_ids(t, seen)) == len(g - {" " * n for n in range(9)}) or t == "" for t, g in zip(texts, grams, strict=True))
+
+
+TINY = [("you are vile trash", 1), ("vile trash talk", 1), ("such vile people", 1), ("a fine day", 0), ("fine people talk", 0), ("the day was fine", 0), ("", 0)]
+
+
+def test_ratios_and_fit_by_plain_loops():
+    seen, y = np.zeros(1 << toxicity.BITS, np.int32), np.array([v for _, v in TINY])
+    x = [toxicity.ngram_ids(t, seen) for t, _ in TINY]
+    sets = [set(i.tolist()) for i in x]
+    toxic, clean = int(y.sum()), int((1 - y).sum())
+    ratio = {}
+    for f in set().union(*sets):
+        one, none = (1 + sum(f in s for s, v in zip(sets, y, strict=True) if v == c) for c in (1, 0))
+        r = math.log(one / (toxic + 2)) - math.log(none / (clean + 2))
+        if abs(r) >= 1.0 * math.sqrt(1 / one + 1 / none):
+            ratio[f] = r
+    hits = np.stack([np.bincount(np.concatenate([i for i, v in zip(x, y, strict=True) if v == c]), minlength=1 << toxicity.BITS) for c in (0, 1)])
+    assert {int(f): r for f, r in zip(np.flatnonzero(toxicity.log_ratios(hits, toxic, clean, sure=1.0)), toxicity.log_ratios(hits, toxic, clean, sure=1.0)[toxicity.log_ratios(hits, toxic, clean, sure=1.0) != 0], strict=True)} == pytest.approx(ratio)
+    w, b, state = dict.fromkeys(ratio, 0.0), math.log((toxic + 1) / (clean + 1)), {}
+
+    def step(name, value, g, t):
+        m, v = state.get(name, (0.0, 0.0))
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        state[name] = m, v
+        return value - 0.02 * (m / (1 - 0.9**t)) / (math.sqrt(v / (1 - 0.99**t)) + 1e-4)
+
+    for t in range(1, 31):
+        g = [(1 / (1 + math.exp(-(b + sum(w[f] * ratio[f] for f in s if f in ratio)))) - v) * 0.5 / (toxic if v else clean) for s, v in zip(sets, y, strict=True)]
+        new = {f: step(f, w[f], sum(gi for gi, s in zip(g, sets, strict=True) if f in s) * ratio[f] + 0.01 * w[f], t) for f in ratio}
+        b, w = step("b", b, sum(g), t), new
+    model = toxicity.fit(x, y, None, 30, 0.01, 1.0)
+    assert model.intercept == pytest.approx(b, abs=1e-6)
+    assert {f: float(model.weights[f]) for f in ratio} == pytest.approx({f: w[f] * ratio[f] for f in ratio}, abs=1e-5)
+
+
+def test_machine_fit_by_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality_fm, "LEAST_ROWS", 1)
+    monkeypatch.setattr(quality_fm, "RANK", 2)
+    y = np.array([v for _, v in TINY])
+    f = quality_fm.Features()
+    rows = [f.of(np.frombuffer(t.encode(), np.uint8), None) for t, _ in TINY]
+    x = [dict(zip(i.tolist(), v.tolist(), strict=True)) for i, v in rows]
+    own = sorted(set().union(*x))
+    start = np.random.default_rng(5).normal(0, 0.05, (len(own), 2)).astype(np.float32)
+    w, v, b, state = dict.fromkeys(own, 0.0), {i: [float(a) for a in start[k]] for k, i in enumerate(own)}, 0.0, {}
+
+    def step(name, value, g, t):
+        m, q = state.get(name, (0.0, 0.0))
+        m, q = m + 0.1 * (g - m), q + 0.01 * (g * g - q)
+        state[name] = m, q
+        return value - 0.05 * (m / (1 - 0.9**t)) / (math.sqrt(q / (1 - 0.99**t)) + 1e-5)
+
+    for t in range(1, 6):
+        g = []
+        for r, c in zip(x, y, strict=True):
+            z = b + sum(w[i] * a for i, a in r.items()) + sum(v[i][k] * v[j][k] * r[i] * r[j] for i, j in combinations(r, 2) for k in range(2))
+            g.append((1 / (1 + math.exp(-z)) - c) * 0.5 / (y.sum() if c else (1 - y).sum()))
+        dw = {i: sum(e * r[i] for e, r in zip(g, x, strict=True) if i in r) + 1e-3 * w[i] for i in own}
+        dv = {i: [sum(e * r[i] * sum(v[j][k] * r[j] for j in r if j != i) for e, r in zip(g, x, strict=True) if i in r) + 1e-3 * v[i][k] for k in range(2)] for i in own}
+        w, v, b = {i: step(("w", i), w[i], dw[i], t) for i in own}, {i: [step(("v", i, k), v[i][k], dv[i][k], t) for k in range(2)] for i in own}, step("b", b, sum(g), t)
+    model = quality_fm.fit(rows, y, 5, 1e-3)
+    assert model.bias == pytest.approx(b, abs=1e-3)
+    assert np.allclose(model.w[own], [w[i] for i in own], atol=5e-3) and np.allclose(model.v[own], [v[i] for i in own], atol=5e-3)
+
+
+def test_sample_has_a_row_for_each_id(spark):
+    from tessera.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"t{k % 3}", k) for k in range(50)] + [(2, "u", 1), (None, "n", 1)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    seen = {tuple(sorted(map(tuple, labelled_sample(docs.repartition(n), labels, "toxic", crc_part(9) >= 0, 10).collect()))) for n in (1, 5)}
+    assert len(seen) == 1 and [(r[0], r[3]) for r in seen.pop()] == [(1, 1), (2, 0)]
 
 
 def test_ngrams_of_long_texts(monkeypatch):
-    raw = np.random.default_rng(3).integers(97, 101, 500).astype(np.uint8)
+    raw = bytes(np.random.default_rng(3).integers(97, 101, 500).astype(np.uint8)).decode() + "é漢 😀" * 20
     seen = np.zeros(1 << toxicity.BITS, np.int32)
     whole = set(toxicity.ngram_ids(raw, seen).tolist())
     monkeypatch.setattr(toxicity, "SEGMENT", 37)
