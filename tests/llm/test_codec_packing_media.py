@@ -166,6 +166,72 @@ def test_broken_streams():
             media_ts.demux(bytes(bad))
 
 
+def plain_feature(payload):
+    """What the stream of a payload is like, from its length and bytes alone."""
+    size, units = len(payload), -(-len(payload) // media_ts.UNIT)
+    packets = 2
+    for at in range(0, size, media_ts.UNIT):
+        packets += 1 + max(0, -(-(min(media_ts.UNIT, size - at) + 14 - 176) // 184))
+    stamps = [k * media_ts.UNIT * 90_000 // 8_000 for k in range(units)]
+    shares = [n / size for n in Counter(payload).values()]
+    entropy = -sum(p * np.log2(p) for p in shares)
+    steps = [b - a for a, b in zip(stamps, stamps[1:])]
+    return packets, f"packets={packets};units={units};access={-(-units // 4)};last_pts={stamps[-1]};largest_step={max(steps, default=0)};entropy={entropy + 0.0:.6f}"
+
+
+def test_media_by_plain_loops(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(n, "".join(rng.choice("abc é漢") for _ in range(n))) for n in (0, 1, 63, 64, 161, 170, 5000, 20_000, 90_000)], "doc_id long, text string")
+    stored = media_ts.write_media(docs)
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    got = {r.doc_id: r for r in media_ts.read_media(stored).collect()}
+    for r in docs.collect():
+        packets, feature = plain_feature(media_ts.pad(r.text.encode()))
+        own = got[r.doc_id]
+        assert (own.media_bytes, own.media_sha256, own.feature, own.error) == (188 * packets, hashlib.sha256(media[r.doc_id]).hexdigest(), feature, None)
+        assert own.access_offsets == [t for k, t in enumerate(range(0, own.payload_bytes, media_ts.UNIT)) if k % 4 == 0]
+
+
+def test_broken_streams_keep_their_rows(spark):
+    good = media_ts.mux(media_ts.pad(b"x" * 1000))
+    bad = bytearray(good)
+    bad[188 * 4 + 3] = 0x1F
+    rows = [(1, 1000, good), (2, 5, bytes(bad)), (3, 5, None), (4, 5, b"no stream"), (5, 5, b"G" * 188), (6, 5, good[:376])]
+    got = {r.doc_id: r for r in media_ts.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 1024
+    assert all(got[k].error and got[k].payload_sha256 is None and got[k].timestamps is None for k in (2, 3, 4, 5, 6))
+
+
+def test_damage_is_an_error_or_none():
+    """Whatever bytes change, demux returns or raises ValueError."""
+    rng, good = random.Random(4), media_ts.mux(media_ts.pad(b"ab" * 3000))
+    for _ in range(400):
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        try:
+            media_ts.demux(bytes(bad))
+        except ValueError:
+            pass
+
+
+def test_legal_repeats_and_jumps():
+    payload = media_ts.pad(random.Random(7).randbytes(90_000))
+    stream = media_ts.mux(payload)
+    p = [bytearray(stream[i : i + 188]) for i in range(0, len(stream), 188)]
+    twice = b"".join(p[:5] + p[4:5] + p[5:])
+    assert media_ts.demux(twice)[0] == payload
+    with pytest.raises(ValueError):
+        media_ts.demux(b"".join(p[:5] + p[4:5] * 2 + p[5:]))
+    first = [i for i, x in enumerate(p) if x[1] & 0x40 and x[1] & 31 == 1][1]
+    for x in p[first:]:
+        x[3] = x[3] & 0xF0 | (x[3] + 5) & 15
+    with pytest.raises(ValueError):
+        media_ts.demux(b"".join(p))
+    p[first][5] |= 0x80
+    assert media_ts.demux(b"".join(p))[0] == payload
+
+
 def test_media(spark, odd_docs, no_docs):
     rows = media_ts.read_media(media_ts.write_media(odd_docs)).collect()
     want = Counter((r.doc_id, (r.text or "").encode()) for r in odd_docs.collect())

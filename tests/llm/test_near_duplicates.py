@@ -148,6 +148,36 @@ def test_embedding_odd_rows(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_repeated_ids(spark):
+    """One id may stand for two vectors, in one component or in two."""
+    vectors = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (9, [0.0, 1.0, 0.01]), (5, [1.0, 0.0, 0.0]), (4, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert own_links(embed_dedup.near_duplicates(df)) == brute_links(vectors)
+
+
+def test_embedding_planted_pairs(spark):
+    """Lone pairs just above the threshold among random vectors, whatever the number of partitions."""
+    rng = np.random.default_rng(12)
+    n, pairs, dim = 6000, 500, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((pairs, dim))
+    y -= (y * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    cosine = rng.uniform(0.9005, 0.92, pairs)[:, None]
+    x = np.concatenate([x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1)[:, None]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
+            seen.append(sum(got[n + i].component_id == i for i in range(pairs)))
+            assert all(r.n_links == (1 if i < pairs or i >= n else 0) or r.n_links == 0 for i, r in got.items())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] >= 0.99 * pairs
+
+
 def test_embedding_tables_follow_the_size():
     agree = 1 - np.arccos(0.9) / np.pi
     for n in (1, 512, 513, 50_000, 500_000, 5_000_000, 50_000_000, 10**9):

@@ -158,14 +158,38 @@ def test_shards(spark, sf, odd_docs, no_docs):
 
 def test_shard_files(spark, odd_docs, tmp_path):
     path = str(tmp_path / "shards")
-    sharding.write_shards(odd_docs, path, shards=4)
+    name = sharding.write_shards(odd_docs, path, shards=4)
     got = spark.read.parquet(path)
-    assert set(got.columns) == {*odd_docs.columns, "shard"}
+    assert set(got.columns) == {*odd_docs.columns, name}
     assert Counter(map(str, got.select(odd_docs.columns).collect())) == Counter(map(str, odd_docs.collect()))
-    counts = [r["count"] for r in got.groupBy("shard").count().collect()]
+    counts = [r["count"] for r in got.groupBy(name).count().collect()]
     assert max(counts) - min(counts) <= 1
 
 
+def brute_level(values, value, n):
+    """The range of a text: how many of the cut points are smaller; a cut is the first value by which k / n of the rows are passed."""
+    order, cuts = sorted(values, key=lambda v: (v is not None, v)), []
+    for k in range(1, n):
+        at = next(i for i in range(len(order)) if (i + 1) * n >= len(order) * k)
+        cuts.append(order[at])
+    return sum(value is not None and c is not None and value > c for c in cuts)
+
+
+def test_shards_are_in_curve_order(spark):
+    """Places against a plain sort by curve index; long values that share their first characters differ."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), "t" * int(rng.integers(0, 9)), None if i % 17 == 0 else f"common_crawl_{rng.integers(0, 40):02d}", f"https://example.org/{rng.integers(0, 7)}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {r.doc_id: r for r in sharding.shard_rows(df, 8, ("lang", "source"), 3).collect()}
+    langs, sources = [r[2] for r in rows], [r[3] for r in rows]
+    cell = {r[0]: sharding.hilbert_index([brute_level(langs, r[2], 8), brute_level(sources, r[3], 8)], 3) for r in rows}
+    assert {i: r.cell for i, r in got.items()} == cell and len(set(cell.values())) > 20
+    assert sorted(r.place for r in got.values()) == list(range(600))
+    ordered = sorted(got.values(), key=lambda r: r.place)
+    assert [cell[r.doc_id] for r in ordered] == sorted(cell.values())
+    assert all(r.shard == r.place * 8 // 600 for r in ordered)
+
+
 def test_shards_prune(spark):
     """Rows that are alike in a dimension lie in few shards."""
     docs = spark.range(4000).selectExpr("id as doc_id", "'x' as text", "concat('l', id % 4) as lang", "concat('s', id % 16) as source", "id % 1000 as n_chars")
@@ -217,6 +241,27 @@ def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is None and secrets.trigram_query("AKIA[A-Z0-9]+") == frozenset({frozenset({"aki", "kia"})})
 
 
+def test_stored_index(spark, odd_docs, no_docs):
+    """Candidates from stored postings give the spans that the pass gives."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)] * 3 + [(None, None)], "doc_id long, text string").repartition(4)
+    for docs in (df, odd_docs.select("doc_id", "text", "__salt", "row"), no_docs):
+        index = secrets.trigram_postings(docs, secrets.query_terms())
+        one, two = (Counter(map(str, secrets.scan_secrets(docs, index=i).collect())) for i in (None, index))
+        assert one == two
+
+
+def test_clashing_names(spark, odd_docs):
+    out = secrets.scan_secrets(odd_docs)
+    assert sorted(out.columns) == sorted(odd_docs.columns) and out.count() == odd_docs.count()
+    again = secrets.redact(odd_docs)
+    assert again.dtypes == odd_docs.dtypes and Counter(map(str, again.collect())) == Counter(map(str, odd_docs.collect()))
+
+
+def test_texts_are_not_shuffled(spark, sf):
+    plan = secrets.scan_secrets(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, SECRETS[0], 3), (2, None, 4), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
