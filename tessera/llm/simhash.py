@@ -7,12 +7,21 @@ vectors and so keeps none of them: every pair within the radius agrees in at lea
 search that expands each member once and emits a spanning star, never its pairs; a large bucket is first split by
 covering masks over its free bits, which is exact again. Components follow from the edges by distributed steps.
 
+near_duplicates links fingerprints of `words`-word shingles as they are. deduplicate looks for similar texts: candidates
+come from fingerprints of short shingles, which differ in few bits where texts differ in few words, and a wider radius; a
+candidate is a link where the texts' sketches, fingerprints of 256 bits of their distinct `words`-word shingles, differ in
+no more bits than texts of the wanted similarity do on average. At this radius chance alone would bring together unlike
+texts of a large corpus; the sketches tell these apart.
+
 Null and empty texts have fingerprint zero and are linked like any other. Null ids are kept, but never name a component
-unless it has no other. Repeated rows keep a row each. An empty table gives an empty one.
+unless it has no other. Repeated rows keep a row each. An empty table gives an empty one. Columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare, shared_name, slices, tidy, written
+from tessera.llm.common import prepare, shared_name, slices, texts, tidy, written
 from tessera.llm.components import connected_components
 
 SEED = 42
 SMALL, LARGE, SHINGLES = 8, 2048, 1 << 16
+#: Words of the shingles by which deduplicate looks for candidates.
+NEAR = 2
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -48,6 +59,47 @@ def fingerprint(raw: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(begins), bitorder="little").view("<u8")[0])
 
 
+def _majority(h: np.ndarray) -> int:
+    """The bits that more than half of the numbers have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), SHINGLES):
+        v = h[at : at + SHINGLES].view(np.uint8).reshape(-1, 8)
+        ones += np.concatenate([np.bincount(v[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers whose bits all depend on all (splitmix64's last steps)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """A number for each run of `words` words, or for all words where there are fewer; h: the words' numbers."""
+    words = min(words, len(h))
+    n = len(h) - words + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(words):
+        out = out * np.uint64(0x100000001B3) + h[k : k + n]
+    return _mix(out)
+
+
+def sketch(raw: bytes, near: int = NEAR, words: int = 5) -> tuple[int, ...]:
+    """Five numbers of 64 bits: the fingerprint of `near`-word shingles, and the sketch of the distinct `words`-word shingles."""
+    parts = raw.lower().split()
+    if not parts:
+        return (0,) * 5
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in parts), np.uint64, len(parts))
+    own = np.unique(_shingles(h, words))
+    return _majority(_shingles(h, near)), *(_majority(_mix(own + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(4))
+
+
+def sketch_bits(similarity: float) -> int:
+    """How many of a sketch's 256 bits differ on average where two sets of shingles have this Jaccard similarity (and are of one size)."""
+    return math.floor(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     prepare(docs.sparkSession)
@@ -62,59 +114,72 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", F.encode(F.col("text").cast("string"), "UTF-8").alias("raw")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def fingerprinted(docs: DataFrame, words: int = 3) -> tuple[DataFrame, str, str]:
-    """docs, all columns, with the fingerprint as a signed long and a number for the row; written, so both stay; and these columns' names."""
-    fp, uid = shared_name(docs, "fp"), shared_name(docs, "uid")
+def sketched(docs: DataFrame, words: int = 5) -> tuple[DataFrame, str, str]:
+    """docs, all columns, with the sketch as an array of signed longs and a number for the row; written, so both stay; and these columns' names."""
+    name, uid = shared_name(docs, "sketch"), shared_name(docs, "uid")
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
         with tidy():
             for batch in slices(batches, 1024, 8 << 20):
-                fps = np.array([fingerprint((x or "").encode(), words) for x in batch.column(at).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, fp])
+                found = np.array([sketch(x.encode(), NEAR, words) for x in texts(batch.column(at))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*batch.schema.names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    return written(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "fingerprinted"), fp, uid
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+    return written(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "sketched"), name, uid
 
 
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """One row of docs, all columns, from each component: that of the smallest id, null ids last, one of repeated rows.
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """One row of docs, all columns, from each component of similar texts: that of the smallest id, null ids last, one of repeated rows.
 
-    Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
+    Texts of one sketch are one class; links join classes. Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
     as the groups, so they are never broadcast.
     """
-    rows, fp, uid = fingerprinted(docs, words)
+    rows, name, uid = sketched(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col(uid).alias("uid"))).alias("first")
-    classes = rows.groupBy(F.col(fp).alias("fp")).agg(first)
-    labels = connected_components(near_edges(classes.select("fp"), radius))
-    roots = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    classes = rows.groupBy(F.col(name).alias("sketch")).agg(first)
+    classes = written(classes.withColumn("fp", F.col("sketch")[0]).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    labels = connected_components(similar_classes(classes.select("node", "fp", "sketch"), radius, sketch_bits(similarity)))
+    roots = classes.select("node", "first").join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     winners = written(roots.select(F.col("first.uid").alias(uid)), "winners")
     return rows.join(winners.hint("shuffle_hash"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def similar_classes(classes: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b): links between classes (node, fp, sketch) whose fingerprints are within the radius and sketches within `most` bits."""
+    # classes of one fingerprint are linked to one of them, if their sketches allow
+    heads = classes.groupBy("fp").agg(F.min(F.struct("node", "sketch")).alias("head")).select("fp", "head.node", "head.sketch")
+    own = classes.join(heads.select("fp", F.col("node").alias("other"), F.col("sketch").alias("with")), "fp").where("node <> other")
+    ends = heads.select("fp", "node", "sketch")
+    far = near_edges(heads.select("fp"), radius, True)
+    far = far.join(ends.withColumnsRenamed({"fp": "a", "node": "na", "sketch": "sa"}).hint("shuffle_hash"), "a").join(ends.withColumnsRenamed({"fp": "b", "node": "nb", "sketch": "sb"}).hint("shuffle_hash"), "b")
+    both = own.select(F.col("node").alias("na"), F.col("other").alias("nb"), F.col("sketch").alias("sa"), F.col("with").alias("sb")).unionByName(far.select("na", "nb", "sa", "sb"))
+    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(1, 5)), F.lit(0))
+    return both.where(differ <= most).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
 def covering_masks(bits: list[int], radius: int) -> list[int]:
     """Masks over the given bit numbers; any two values that differ in at most `radius` of them agree under some mask."""
     n = (1 << (radius + 1)) - 1
-    vector = {b: i % n + 1 for i, b in enumerate(bits)}
+    # where there are more vectors than bits, an even choice of them: so each mask keeps about half of the bits
+    order = random.Random(radius).sample(range(n), n) if n > len(bits) else range(n)
+    vector = {b: order[i % n] + 1 for i, b in enumerate(bits)}
     return [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def _star(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that span each component of the distinct values within the radius."""
+    """Edges within the radius that span each component of the distinct values: each value with the one that reached it."""
     out, left = [], fps
     while len(left) > 1:
-        seed, front, left = left[0], [left[0]], left[1:]
-        got = []
+        front, left = [left[0]], left[1:]
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= radius
+            at = front.pop()
+            near = np.bitwise_count(left ^ at) <= radius
             if near.any():
                 front += list(left[near])
-                got.append(left[near])
+                out.append((left[near], np.full(int(near.sum()), at)))
                 left = left[~near]
-        if got:
-            members = np.concatenate(got)
-            out.append((members, np.full(len(members), seed)))
     return out
 
 
@@ -157,13 +222,13 @@ def run_edges(key: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
 
 
-def near_edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column fp) that connect all pairs within the radius."""
+def near_edges(distinct: DataFrame, radius: int = 3, once: bool = False) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (column fp) that connect all pairs within the radius; `once`: each edge once."""
     prepare(distinct.sparkSession)
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(list(range(64)), radius)]
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(tables).alias("key"))
-    keyed = keyed.repartition(F.col("key")).sortWithinPartitions("key")
+    keyed = keyed.repartition(F.col("key")).sortWithinPartitions("key", "fp")
 
     def run(batches):
         with tidy():
@@ -186,7 +251,8 @@ def near_edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
             if len(rest_k):
                 yield out(rest_k, rest_v)
 
-    return keyed.select("fp", "key").mapInArrow(run, "a long, b long")
+    found = keyed.select("fp", "key").mapInArrow(run, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if once else found
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:

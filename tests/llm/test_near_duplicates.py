@@ -43,6 +43,91 @@ def brute_components(ids, prints):
     return [least.get(r) for r in roots]
 
 
+def brute_sketch(text, near=2, words=5):
+    """The candidate fingerprint and the sketch with Python's own numbers, bit by bit."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0, 0
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+
+    def shingles(n):
+        n = min(n, len(h))
+        out = []
+        for i in range(len(h) - n + 1):
+            v = 0
+            for x in h[i : i + n]:
+                v = (v * 0x100000001B3 + x) & full
+            out.append(mix(v))
+        return out
+
+    def majority(v):
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in v) > len(v))
+
+    own = set(shingles(words))
+    return majority(shingles(near)), sum(majority([mix((x + k * 0x9E3779B97F4A7C15) & full) for x in own]) << 64 * k for k in range(4))
+
+
+def brute_similar(ids, texts):
+    """The smallest id of each component, by all pairs."""
+    s = [brute_sketch(t) for t in texts]
+    most = simhash.sketch_bits(0.8)
+    near = [(i, j) for i, j in combinations(range(len(s)), 2) if (s[i][0] ^ s[j][0]).bit_count() <= 6 and (s[i][1] ^ s[j][1]).bit_count() <= most]
+    roots, least = classes(len(s), near), {}
+    for i, r in enumerate(roots):
+        least[r] = min((v for v in (least.get(r), ids[i]) if v is not None), default=None)
+    return list(least.values())
+
+
+def test_sketches_and_similarity():
+    rng = random.Random(2)
+    word = [f"w{i}" for i in range(5000)]
+    close = far = 0
+    for _ in range(60):
+        a = [rng.choice(word) for _ in range(300)]
+        b = list(a)
+        for _ in range(4):
+            b[rng.randrange(300)] = rng.choice(word)
+        c = [rng.choice(word) for _ in range(300)]
+        x, y, z = (simhash.sketch(" ".join(t).encode()) for t in (a, b, c))
+        assert (x[0], sum(v << 64 * k for k, v in enumerate(x[1:]))) == brute_sketch(" ".join(a))
+        bits = [sum((p ^ q).bit_count() for p, q in zip(x[1:], o[1:], strict=True)) for o in (y, z)]
+        close, far = close + (bits[0] <= simhash.sketch_bits(0.8)), far + (bits[1] <= simhash.sketch_bits(0.8))
+    assert close >= 57 and far == 0 and simhash.sketch_bits(1.0) == 0
+
+
+def test_wide_masks_lose_no_pair():
+    masks, rng = simhash.covering_masks(list(range(64)), 6), random.Random(1)
+    assert len(masks) == 127 and min(m.bit_count() for m in masks) >= 16
+    for _ in range(3000):
+        d = sum(1 << b for b in rng.sample(range(64), 6))
+        assert any(not d & m for m in masks)
+
+
+def test_near_copies_go(spark, no_docs):
+    """Copies with a few other words go, unlike texts stay; of each group the smallest id."""
+    rng, rows = random.Random(5), []
+    word = [f"w{i}" for i in range(3000)]
+    for g in range(12):
+        text = [rng.choice(word) for _ in range(200)]
+        for k in range(6):
+            own = list(text)
+            for _ in range(k % 3):
+                own[rng.randrange(200)] = rng.choice(word)
+            rows.append((g * 10 + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    assert kept == sorted(brute_similar([r[0] for r in rows], [r[1] for r in rows]))
+    # of the 60 copies, of similarity 0.9 or more, at least 0.85 go
+    assert len(kept) <= 12 + 9 and {g * 10 for g in range(12)} <= set(kept)
+
+
 def test_covering_masks_lose_no_pair():
     masks = simhash.covering_masks(list(range(64)), 3)
     for n in (1, 2, 3):
@@ -90,10 +175,8 @@ def test_simhash_odd_rows(spark, odd_docs, no_docs):
     want = sorted(map(str, zip(ids, (f"{p:016x}" for p in prints), comps, strict=True)))
     assert sorted(map(str, ((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd_docs).collect()))) == want
     kept = simhash.deduplicate(odd_docs)
-    assert kept.columns == odd_docs.columns
-    groups = classes(len(rows), [(i, j) for i, j in combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3])
-    least = {g: c for g, c in zip(groups, comps, strict=True)}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, least.values()))
+    assert kept.dtypes == odd_docs.dtypes
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, brute_similar(ids, [r.text for r in rows])))
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicate(no_docs).count() == 0
 
 
