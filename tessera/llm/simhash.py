@@ -147,16 +147,22 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 
 
 def similar_classes(classes: DataFrame, radius: int, most: int) -> DataFrame:
-    """(a, b): links between classes (node, fp, sketch) whose fingerprints are within the radius and sketches within `most` bits."""
-    # classes of one fingerprint are linked to one of them, if their sketches allow
-    heads = classes.groupBy("fp").agg(F.min(F.struct("node", "sketch")).alias("head")).select("fp", "head.node", "head.sketch")
-    own = classes.join(heads.select("fp", F.col("node").alias("other"), F.col("sketch").alias("with")), "fp").where("node <> other")
-    ends = heads.select("fp", "node", "sketch")
-    far = near_edges(heads.select("fp"), radius, True)
-    far = far.join(ends.withColumnsRenamed({"fp": "a", "node": "na", "sketch": "sa"}).hint("shuffle_hash"), "a").join(ends.withColumnsRenamed({"fp": "b", "node": "nb", "sketch": "sb"}).hint("shuffle_hash"), "b")
-    both = own.select(F.col("node").alias("na"), F.col("other").alias("nb"), F.col("sketch").alias("sa"), F.col("with").alias("sb")).unionByName(far.select("na", "nb", "sa", "sb"))
-    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(1, 5)), F.lit(0))
-    return both.where(differ <= most).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    """(a, b): links that connect all classes (node, fp, sketch) whose fingerprints are within the radius and sketches within `most` bits.
+
+    Both conditions hold for each step of the search in a bucket, so no link hangs on which others were found. Sketches travel
+    only to buckets where fingerprints are near, once where several tables bring the same ones together.
+    """
+    several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("group"), "fp")
+    groups = near_groups(classes.select("fp").distinct(), radius).unionByName(several)
+    rows = groups.join(classes, "fp").select("group", "fp", "node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(1, 5)])
+
+    def run(batches):
+        with tidy():
+            for group, fp, node, *parts in _whole_runs(batches):
+                e = node[run_edges(group, fp.view(np.uint64), radius, np.stack(parts, axis=1).view(np.uint64), most)]
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+    return rows.repartition(F.col("group")).sortWithinPartitions("group", "fp", "node").mapInArrow(run, "a long, b long")
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -168,91 +174,119 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def _star(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges within the radius that span each component of the distinct values: each value with the one that reached it."""
-    out, left = [], fps
+def _star(at: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None, most: int) -> list[np.ndarray]:
+    """Edges, as places, that span each component of the values at some places: each value with the one that reached it."""
+    out, left = [], at
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
-            at = front.pop()
-            near = np.bitwise_count(left ^ at) <= radius
+            i = front.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
+            if sketches is not None:
+                near[near] = np.bitwise_count(sketches[left[near]] ^ sketches[i]).sum(axis=1) <= most
             if near.any():
                 front += list(left[near])
-                out.append((left[near], np.full(int(near.sum()), at)))
+                out.append(np.stack([left[near], np.full(int(near.sum()), i)], axis=1))
                 left = left[~near]
     return out
 
 
-def bucket_edges(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges among the distinct values of one bucket."""
-    if len(fps) <= LARGE:
-        return _star(fps, radius)
-    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
-    free = [b for b in range(64) if differ >> b & 1]
+def bucket_edges(at: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> list[np.ndarray]:
+    """Edges, as places, among the values of one bucket. Where a mask leaves over half of them together, they are dense, and one search is cheaper."""
+    differ = int(np.bitwise_or.reduce(fps[at] ^ fps[at[0]]))
+    if len(at) <= LARGE or not differ:
+        return _star(at, fps, radius, sketches, most)
     out = []
-    for mask in covering_masks(free, radius):
-        key = fps & np.uint64(mask)
+    for mask in covering_masks([b for b in range(64) if differ >> b & 1], radius):
+        key = fps[at] & np.uint64(mask)
         order = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
-        for s, e in zip(at, at[1:]):  # noqa: B905
+        cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        if 2 * int(np.diff(cuts).max()) > len(at):
+            return _star(at, fps, radius, sketches, most)
+        for s, e in zip(cuts, cuts[1:]):  # noqa: B905
             if e - s > 1:
-                part = fps[order[s:e]]
-                out += bucket_edges(part, radius) if e - s < len(fps) else _star(part, radius)
+                out += bucket_edges(at[order[s:e]], fps, radius, sketches, most)
     return out
 
 
-def run_edges(key: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Edges (a, b) within runs of equal keys, each once."""
+def run_edges(key: np.ndarray, fp: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+    """Edges within runs of equal keys, as pairs of places."""
     new = np.concatenate([[True], key[1:] != key[:-1]])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(key)))
     of = np.repeat(size, size)
-    found = []
-    small = (of > 1) & (of <= SMALL)
-    k, v = key[small], fp[small]
+    found = [np.zeros((0, 2), np.int64)]
+    small = np.flatnonzero((of > 1) & (of <= SMALL))
     for d in range(1, SMALL):
-        if len(k) <= d:
-            break
-        hit = (k[d:] == k[:-d]) & (np.bitwise_count(v[d:] ^ v[:-d]) <= radius)
-        found.append((v[d:][hit], v[:-d][hit]))
+        i, j = small[d:], small[:-d]
+        hit = (key[i] == key[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
+        i, j = i[hit], j[hit]
+        if sketches is not None:
+            hit = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1) <= most
+            i, j = i[hit], j[hit]
+        found.append(np.stack([i, j], axis=1))
     for i in np.flatnonzero(size > SMALL):
-        found += bucket_edges(fp[start[i] : start[i] + size[i]], radius)
-    if not found:
-        return np.zeros((0, 2), np.uint64)
-    return np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
-
-
-def near_edges(distinct: DataFrame, radius: int = 3, once: bool = False) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column fp) that connect all pairs within the radius; `once`: each edge once."""
+        found += bucket_edges(np.arange(start[i], start[i] + size[i]), fp, radius, sketches, most)
+    return np.concatenate(found)
+
+
+def _whole_runs(batches):
+    """The columns of sorted batches as arrays, cut only between values of the first column."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if rest:
+            columns = [np.concatenate(both) for both in zip(rest, columns, strict=True)]
+        k = columns[0]
+        # the last run may go on in the next batch
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut:
+            yield [c[:cut] for c in columns]
+        rest = [c[cut:] for c in columns]
+    if rest:
+        yield rest
+
+
+def _tables(distinct: DataFrame, radius: int) -> DataFrame:
+    """(key, fp), sorted by them: each fingerprint under its key in each covering table, whole keys in one partition."""
     prepare(distinct.sparkSession)
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(list(range(64)), radius)]
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])
-    keyed = distinct.select("fp", F.explode(tables).alias("key"))
-    keyed = keyed.repartition(F.col("key")).sortWithinPartitions("key", "fp")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])
+    keyed = distinct.select(F.explode(keys).alias("key"), "fp")
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key", "fp")
+
+
+def near_edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (column fp) that connect all pairs within the radius."""
+
+    def run(batches):
+        with tidy():
+            for key, fp in _whole_runs(batches):
+                e = np.unique(fp[run_edges(key, fp.view(np.uint64), radius)], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+    return _tables(distinct, radius).mapInArrow(run, "a long, b long")
+
+
+def near_groups(distinct: DataFrame, radius: int) -> DataFrame:
+    """(group, fp): every two distinct fingerprints within the radius are in some group together.
+
+    A group is what a bucket has of fingerprints with another near it; its number comes from its members, so that tables which
+    bring the same ones together give one group.
+    """
 
     def run(batches):
         with tidy():
-            rest_k, rest_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-            def out(k, v):
-                e = run_edges(k, v, radius).view(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                k = np.concatenate([rest_k, batch.column(1).to_numpy()])
-                v = np.concatenate([rest_v, batch.column(0).to_numpy().view(np.uint64)])
-                # the last run may go on in the next batch
-                cut = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
-                if cut:
-                    yield out(k[:cut], v[:cut])
-                rest_k, rest_v = k[cut:], v[cut:]
-            if len(rest_k):
-                yield out(rest_k, rest_v)
-
-    found = keyed.select("fp", "key").mapInArrow(run, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if once else found
+            for key, fp in _whole_runs(batches):
+                at = np.unique(run_edges(key, fp.view(np.uint64), radius))
+                _, of = np.unique(key[at], return_inverse=True)
+                total = np.zeros(len(at), np.uint64)
+                np.add.at(total, of, _mix(fp[at].view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(total[of].view(np.int64)), pa.array(fp[at])], names=["group", "fp"])
+
+    return _tables(distinct, radius).mapInArrow(run, "group long, fp long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:

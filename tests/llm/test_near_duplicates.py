@@ -151,14 +151,67 @@ def test_buckets_split_exactly(monkeypatch):
             x ^= 1 << rng.randrange(40)
         pool.append(x)
     fps = np.array(sorted(set(pool)), np.uint64)
-    place = {int(x): i for i, x in enumerate(fps)}
+    at = np.arange(len(fps))
 
     def found(edges):
-        return classes(len(fps), [(place[int(a)], place[int(b)]) for x, y in edges for a, b in zip(x, y, strict=True)])
+        return classes(len(fps), [pair for e in edges for pair in e.tolist()])
 
-    whole = found(simhash._star(fps, 3))
+    whole = found(simhash._star(at, fps, 3, None, 0))
     monkeypatch.setattr(simhash, "LARGE", 64)
-    assert found(simhash.bucket_edges(fps, 3)) == whole
+    assert found(simhash.bucket_edges(at, fps, 3)) == whole
+
+
+def near_classes(n, seed=5):
+    """Fingerprints and sketches that drift from one another; many near in one are far in the other, many fingerprints are equal."""
+    rng = random.Random(seed)
+    made = [(rng.getrandbits(64), [rng.getrandbits(64) for _ in range(4)])]
+    while len(made) < n:
+        fp, sketch = rng.choice(made[-40:])
+        for _ in range(rng.choice((0, 0, 1, 3, 5))):
+            fp ^= 1 << rng.randrange(64)
+        sketch = list(sketch)
+        for _ in range(rng.randint(10, 50)):
+            sketch[rng.randrange(4)] ^= 1 << rng.randrange(64)
+        made.append((fp, sketch))
+    return made
+
+
+def similar_links(made, radius, most):
+    def far(a, b):
+        return (a[0] ^ b[0]).bit_count() > radius or sum((x ^ y).bit_count() for x, y in zip(a[1], b[1], strict=True)) > most
+
+    return [(i, j) for i, j in combinations(range(len(made)), 2) if not far(made[i], made[j])]
+
+
+def test_search_by_two_conditions(monkeypatch):
+    made = near_classes(700)
+    links = similar_links(made, 6, 38)
+    near = similar_links(made, 6, 256)
+    assert len(links) < len(near) / 2 and classes(len(made), links) != classes(len(made), near)
+    fps, sketches, key = np.array([m[0] for m in made], np.uint64), np.array([m[1] for m in made], np.uint64), np.zeros(len(made), np.int64)
+    for large in (2048, 400):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        edges = simhash.run_edges(key, fps, 6, sketches, 38)
+        assert set(map(tuple, np.sort(edges, axis=1).tolist())) <= set(links)
+        assert classes(len(made), edges.tolist()) == classes(len(made), links)
+    few = simhash.run_edges(np.arange(len(made)) // 5, fps, 6, sketches, 38)
+    assert sorted(map(tuple, np.sort(few, axis=1).tolist())) == [(i, j) for i, j in links if i // 5 == j // 5]
+
+
+def test_similar_classes_lose_no_link(spark):
+    made = near_classes(400, 6)
+    whole = classes(len(made), similar_links(made, 6, 38))
+    signed = [(i, *np.array([fp, *sketch], np.uint64).view(np.int64).tolist()) for i, (fp, sketch) in enumerate(made)]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "32"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = spark.createDataFrame([(i, fp, [fp, *s]) for i, fp, *s in signed], "node long, fp long, sketch array<long>")
+            found = simhash.similar_classes(rows, 6, 38).collect()
+            assert classes(len(made), [(r.a, r.b) for r in found]) == whole
+        assert not simhash.similar_classes(rows.limit(0), 6, 38).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
 
 
 def test_simhash_query(spark, sf):
