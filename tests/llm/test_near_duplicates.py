@@ -189,7 +189,7 @@ def test_search_by_two_conditions(monkeypatch):
     near = similar_links(made, 6, 256)
     assert len(links) < len(near) / 2 and classes(len(made), links) != classes(len(made), near)
     fps, sketches, key = np.array([m[0] for m in made], np.uint64), np.array([m[1] for m in made], np.uint64), np.zeros(len(made), np.int64)
-    for large in (2048, 400):
+    for large in (2048, 400, 32):
         monkeypatch.setattr(simhash, "LARGE", large)
         edges = simhash.run_edges(key, fps, 6, sketches, 38)
         assert set(map(tuple, np.sort(edges, axis=1).tolist())) <= set(links)
