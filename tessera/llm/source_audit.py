@@ -1,122 +1,144 @@
 """How the sources of a language differ in their words, by a sort-based stream of term runs.
 
-Tasks count the terms of their documents, combine them by language, term and source as far as a bounded table goes, and
-label each such sum with the first of its documents. These partial rows are dealt by (lang, term) and sorted by lang, term,
+Tasks count the terms of their documents, combine those of about 16 MB of text by language, term and source, and label each
+such sum with the first of its documents. These partial rows are dealt by (lang, term) and sorted by lang, term,
 source and document; a scan over the runs of equal keys adds up document frequency and counts, and a term whose run reaches
 the least frequency is kept, as one row with its counts by source.
 
 Shares need the totals of every group first: they are summed from the kept terms, and come to each bucket of terms as header
 rows in the sort, before its terms. A second scan reads a bucket's header and then its runs, and emits partial sums for pairs
-of sources and the partial highest terms of each source; sums and ranks of these finish the result. Nothing is broadcast, no
-task holds more than a bounded table of terms and the groups of one language, and the pair sums of a language where they fit.
+of sources and the partial highest terms of each source; sums and ranks of these finish the result. The library broadcasts nothing,
+and no task holds more than a run of terms, the groups of one language, and its pair sums where they fit.
 
 All numbers are exact whole numbers. Null text, lang and source count as ''. Repeated rows and ids count as documents each.
-Very long texts are read in parts. Ties in value are ordered by item, as bytes. An empty table gives an empty result; other
+A very long text is counted whole, as arrays of bytes. Ties in value are ordered by item, as bytes. An empty table gives an empty result; other
 columns are ignored, whatever their names. A group without terms still has its pairs; a language without kept terms has
 pairs of value 0 and no terms.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import long_parts, prepare, slices, texts, tidy, written
+from tessera.llm.common import flat, prepare, slices, texts, tidy, written
 
-#: Terms that a task's table may hold before it is emitted; cells of a chunk of terms by sources; cells of pair sums at once.
-TABLE, CHUNK, PAIRS = 1 << 18, 1 << 20, 1 << 22
+#: Bytes of text that are counted together; cells of a chunk of terms by sources; cells of pair sums at once.
+TOGETHER, CHUNK, PAIRS = 16 << 20, 1 << 20, 1 << 22
 SCALE, PRIOR = 1_000_000_000, 5
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-BREAK = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
-
-
-def term_counts(text: str) -> Counter:
-    out: Counter = Counter()
-    for part in long_parts(text, BREAK):
-        out.update(TERM.findall(part.translate(LOWER)))
-    return out
+#: Bytes of terms as they count, and 0 for bytes between terms: letters, with A-Z lower-cased, and all of other scripts.
+LETTER = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
+
+
+def terms_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of all texts of a column, in their order, and the row of each."""
+    raw, offsets = flat(column)
+    data = LETTER[raw]
+    letter = data != 0
+    new = letter.copy()
+    new[1:] &= ~letter[:-1]
+    inner = offsets[:-1][offsets[:-1] < offsets[1:]]
+    new[inner] = letter[inner]  # a term ends with its text
+    starts = np.flatnonzero(new)
+    data = data[letter]
+    sizes = np.bincount(np.cumsum(new)[letter] - 1, minlength=len(starts)) if len(starts) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return found.dictionary_encode(), np.searchsorted(offsets, starts, "right") - 1
+
+
+def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, ascending, and for each the sums of the values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return [key[at], *(np.add.reduceat(v[order], at) if len(key) else v for v in values)]
 
 
 def partial_terms(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, document, df, n): sums over documents of one task; document is a number of the first one. term null: the group occurs."""
+    """(lang, source, term, document, df, n): sums over some documents of one task; document tells which, by the first one's number."""
     prepare(docs.sparkSession)
 
-    def emit(table: dict, first: dict) -> pa.RecordBatch:
-        keys = [(g, t) for g, terms in table.items() for t in terms]
-        cols = [[g[0] for g, _ in keys], [t for _, t in keys], [g[1] for g, _ in keys]]
-        held = [table[g][t] for g, t in keys]
-        arrays = [*(pa.array(c, pa.string()) for c in cols), pa.array([first[g] for g, _ in keys], pa.int64()), *(pa.array([h[k] for h in held], pa.int64()) for k in (0, 1))]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "source", "document", "df", "n"])
+    def count(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        terms, row = terms_of(batch.column(0))
+        names = pa.array([f"{a}\0{b}" for a, b in zip(*(texts(batch.column(i)) for i in (1, 2)), strict=True)], pa.string()).dictionary_encode()
+        wide = len(terms.dictionary) + 1
+        # first within each document, so that a term has one vote there, then over the documents of a group
+        own, n = _sums(row * wide + terms.indices.to_numpy(), np.ones(len(terms), np.int64))
+        group = names.indices.to_numpy()[own // wide].astype(np.int64)
+        key, df, n = _sums(group * wide + own % wide, np.ones(len(own), np.int64), n)
+        first = np.full(len(names.dictionary) + 1, at, np.int64)
+        np.minimum.at(first, names.indices.to_numpy(), at)
+        pairs = [x.rsplit("\0", 1) for x in names.dictionary.to_pylist()]
+        lang, source = (pa.array([p[k] for p in pairs], pa.string()).take(pa.array(key // wide)) for k in (0, 1))
+        term = terms.dictionary.cast(pa.large_string()).cast(pa.string()).take(pa.array(key % wide))
+        return pa.RecordBatch.from_arrays([lang, source, term, pa.array(first[key // wide]), pa.array(df), pa.array(n)], names=["lang", "source", "term", "document", "df", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tidy(False):
-            table: dict[tuple[str, str], dict] = {}
-            first: dict[tuple[str, str], int] = {}
-            size, at = 0, 0
-            for batch in slices(batches, 512):
-                for text, lang, source in zip(*(texts(batch.column(i)) for i in range(3)), strict=True):
-                    own = table.setdefault((lang, source), {None: [0, 0]})
-                    first.setdefault((lang, source), at)
-                    at += 1
-                    size -= len(own)
-                    for term, n in term_counts(text).items():
-                        if held := own.get(term):
-                            held[0] += 1
-                            held[1] += n
-                        else:
-                            own[term] = [1, n]
-                    size += len(own)
-                    if size > TABLE:
-                        yield emit(table, first)
-                        table, first, size = {}, {}, 0
-            if table:
-                yield emit(table, first)
-
-    return docs.select("text", "lang", "source").mapInArrow(run, "lang string, term string, source string, document long, df long, n long")
+        with tidy():
+            at = 0
+            for batch in slices(batches, 1 << 20, TOGETHER):
+                yield count(batch, at)
+                at += batch.num_rows
+
+    return docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(run, "lang string, source string, term string, document long, df long, n long")
 
 
 def kept_terms(partial: DataFrame, least: int) -> DataFrame:
-    """(lang, term, sources, counts) of terms in at least `least` documents of the language, by a scan of sorted runs."""
+    """(lang, term, sources, counts) of terms in at least `least` documents of the language, by a scan of sorted runs.
+
+    Lang and term are one string in the sort, with a zero between, which no term has: so its first bytes tell most rows apart.
+    """
+
+    def changes(column: pa.Array) -> np.ndarray:
+        n = len(column)
+        return np.concatenate([[True], pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)])
+
+    def runs(table: pa.Table) -> list[tuple]:
+        key, source = (table.column(i).combine_chunks() for i in (0, 1))
+        df, n = (table.column(i).to_numpy() for i in (2, 3))
+        new = changes(key)
+        at = np.flatnonzero(new)
+        enough = np.add.reduceat(df, at) >= least
+        ends = np.append(at[1:], len(new))
+        each = np.flatnonzero(new | changes(source))
+        count = np.add.reduceat(n, each)
+        out = []
+        for s, e in zip(at[enough].tolist(), ends[enough].tolist(), strict=True):
+            i, j = np.searchsorted(each, (s, e))
+            out.append((*key[s].as_py().rsplit("\0", 1), source.take(pa.array(each[i:j])).to_pylist(), count[i:j].tolist()))
+        return out
 
     def scan(batches):
-        with tidy(False):
-            out: list[tuple] = []
-            lang_term, df, sources, counts = None, 0, [], []
-
-            def close():
-                if lang_term is not None and df >= least:
-                    out.append((*lang_term, sources, counts))
-
-            for batch in slices(batches, 8192):
-                lang, term, source, dfs, n = (batch.column(i).to_pylist() for i in range(5))
-                for i in range(batch.num_rows):
-                    if (lang[i], term[i]) != lang_term:
-                        close()
-                        lang_term, df, sources, counts = (lang[i], term[i]), 0, [], []
-                    if not sources or sources[-1] != source[i]:
-                        sources.append(source[i])
-                        counts.append(0)
-                    df += dfs[i]
-                    counts[-1] += n[i]
-                if len(out) > 4096:
+        with tidy():
+            rest: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                # the last run may go on in the next batch
+                key = batch.column(0)
+                cut = int(np.flatnonzero(changes(key))[-1])
+                if cut == 0 and rest and rest[-1].column(0)[-1] == key[0]:
+                    rest.append(batch)
+                    continue
+                if out := runs(pa.Table.from_batches([*rest, batch.slice(0, cut)])) if rest or cut else []:
                     yield rows(out)
-                    out = []
-            close()
-            yield rows(out)
+                rest = [batch.slice(cut)]
+            if rest:
+                yield rows(runs(pa.Table.from_batches(rest)))
 
     def rows(out):
         kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["lang", "term", "sources", "counts"])
 
-    dealt = partial.where("term IS NOT NULL").repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
-    return dealt.select("lang", "term", "source", "df", "n").mapInArrow(scan, "lang string, term string, sources array<string>, counts array<long>")
+    keyed = partial.select(F.concat("lang", F.lit("\0"), "term").alias("key"), "source", "document", "df", "n")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "source", "document")
+    return dealt.select("key", "source", "df", "n").mapInArrow(scan, "lang string, term string, sources array<string>, counts array<long>")
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -238,9 +260,8 @@ class Bucket:
 def audit_sources(docs: DataFrame, least: int = 30, ranks: int = 50) -> DataFrame:
     """lang, source, part (pair or term), item, value and rank, for every language and source of docs."""
     spark = docs.sparkSession
-    partial = written(partial_terms(docs), "partial-terms")
-    groups = partial.where("term IS NULL").select("lang", "source").distinct()
-    kept = written(kept_terms(partial, least), "kept-terms")
+    groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    kept = written(kept_terms(partial_terms(docs), least), "kept-terms")
     each = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     header = written(groups.join(each, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept")), "groups")
