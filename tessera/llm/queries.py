@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embed_dedup, filter_audit, html_text, media_ts, packing, quality_fm, secrets, sharding, simhash, source_audit, toxicity
+from tessera.llm import bpe, embed_dedup, filter_audit, html_text, media_ts, packing, phrase_dedup, quality_fm, secrets, sharding, simhash, source_audit, toxicity
 from tessera.llm.common import crc_part, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_fm.score_documents(docs, model), 5, 0, 0.3)
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_passages(table(spark, sf_dir, "documents"), 35)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(table(spark, sf_dir, "documents"), 30, 50)
 
@@ -82,7 +86,7 @@ def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_codec, op3_toxicity, op4_simhash_dedup, op5_embedding_dedup, op6_html_main_text, op7_hilbert_shards, op8_transport_streams, op9_secret_scan, op10_quality, op12_source_divergence, op13_filter_interactions)}
+QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_codec, op3_toxicity, op4_simhash_dedup, op5_embedding_dedup, op6_html_main_text, op7_hilbert_shards, op8_transport_streams, op9_secret_scan, op10_quality, op11_repeated_phrases, op12_source_divergence, op13_filter_interactions)}
 
 
 def _secret_sql() -> str:
