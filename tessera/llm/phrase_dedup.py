@@ -4,11 +4,11 @@ A window is a number of consecutive words. It has an anchor, the phrase of GRAM
 other place with the same words has too. So only windows whose anchor occurs twice can recur; these are hashed, counted, and
 the recurring ones, each in the first text that has it, join to passages: recurring passages, every window of which is in one.
 
-Passages are dealt to shards of a bounded number of words. A shard compiles its passages' probes, phrases of PROBE words at
-every PROBE-th word, so that any window holds a whole one, into an Aho-Corasick automaton over word numbers. The regions of
-all texts around anchors that a shard's passages have are streamed through it; a probe found is extended both ways as far as
-text and passage agree, and what agrees over a window's length or more is an occurrence. The place a passage was taken from
-counts where another occurrence covers it, so a false match of hashes removes nothing.
+Passages are dealt to shards of about a bounded number of words. A shard compiles its passages' probes, phrases of half a
+window that follow one another, so that any window holds a whole one, into an Aho-Corasick automaton over code points that
+stand for words. The regions of all texts around anchors that a shard's passages have are streamed through it; a probe found
+is extended both ways as far as text and passage agree, and what agrees over a window's length or more is an occurrence. The
+place a passage was taken from counts where another occurrence covers it, so a false match of hashes removes nothing.
 
 Texts are told by digest and distinct texts are searched once. A text with copies recurs as a whole, and needs no search for
 itself. Regions of a shard are dealt over as many tasks as their size asks for, each with the shard's passages. Texts are
@@ -38,7 +38,9 @@ from tessera.llm.common import prepare, slices, tidy, written
 #: Words of a window; of an anchor.
 WINDOW, GRAM = 35, 12
 #: Words of a passage's piece, of a shard's passages, and of the regions that a task streams through a shard, about.
-PIECE, SHARD, STREAM = 4096, 200_000, 2_000_000
+PIECE, SHARD, STREAM = 4096, 200_000, 400_000
+#: Words of passages are code points from FIRST on, beyond those of surrogates; a word of no passage is OTHER.
+FIRST, OTHER = 0xE000, "\x01"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -183,15 +185,32 @@ def regions(routed: DataFrame, window: int = WINDOW) -> DataFrame:
     return routed.select("shard", "uid", "packed", "places").mapInArrow(run, "shard int, uid long, start long, words long, text binary")
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> int:
-    """How many numbers a and b begin with alike."""
-    n, at, step = min(len(a), len(b)), 0, 64
-    while at < n:
-        differ = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
-        if len(differ):
-            return at + int(differ[0])
-        at, step = at + step, 4 * step
-    return n
+def _agree(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters a from i and b from j on have alike, of the next `most`; where none is negative, they are there."""
+    if a[i : i + most] == b[j : j + most]:
+        return most
+    low, high = 0, most  # the first `low` agree, the first `high` don't
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[i + low : i + mid] == b[j + low : j + mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def _agree_back(a: str, i: int, b: str, j: int, most: int) -> int:
+    """The same for the characters before i and j."""
+    if a[i - most : i] == b[j - most : j]:
+        return most
+    low, high = 0, most
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[i - mid : i - low] == b[j - mid : j - low]:
+            low = mid
+        else:
+            high = mid
+    return low
 
 
 class Shard:
@@ -205,40 +224,39 @@ class Shard:
         self.automaton = None
 
     def add(self, uid: int, start: int, text: bytes) -> None:
-        # numbers are code points, without those of surrogates; a word of no passage is 1
-        ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 0xE000) for w in text.split(b" ")], np.uint32)
         self.origins.append((uid, start))
-        self.held.append(ids)
+        self.held.append("".join([chr(self.numbers.setdefault(w, len(self.numbers) + FIRST)) for w in text.split(b" ")]))
 
     def compile(self) -> None:
         import ahocorasick
 
         places: dict[str, list[tuple[int, int]]] = {}
-        for k, ids in enumerate(self.held):
-            phrase = ids.tobytes().decode("utf-32-le")
-            for at in range(0, len(ids) - self.probe + 1, self.probe):
+        for k, phrase in enumerate(self.held):
+            for at in range(0, len(phrase) - self.probe + 1, self.probe):
                 places.setdefault(phrase[at : at + self.probe], []).append((k, at))
         self.automaton = ahocorasick.Automaton()
         for phrase, found in places.items():
             self.automaton.add_word(phrase, found)
         self.automaton.make_automaton()
+        self.letters = {w: chr(n) for w, n in self.numbers.items()}
         # differences of the number of occurrences that cover a passage's word
-        self.seen = [np.zeros(len(ids) + 1, np.int64) for ids in self.held]
+        self.seen = [np.zeros(len(phrase) + 1, np.int64) for phrase in self.held]
 
     def occurrences(self, uid: int, start: int, text: bytes) -> list[tuple[int, int]]:
         """Intervals of words of a region that agree with a passage over a window or more, elsewhere than where it was taken."""
-        number = self.numbers.get
-        ids = np.array([number(w, 1) for w in text.split(b" ")], np.uint32)
+        letter, held, probe = self.letters.get, self.held, self.probe
+        ids = "".join([letter(w, OTHER) for w in text.split(b" ")])
+        n = len(ids)
         reached: dict[tuple[int, int], int] = {}
         out = []
-        for last, found in self.automaton.iter(ids.tobytes().decode("utf-32-le")):
-            at = last - self.probe + 1
+        for last, found in self.automaton.iter(ids):
+            at, end = last - probe + 1, last + 1
             for k, off in found:
                 if reached.get((k, at - off), -1) > last:
                     continue
-                ids_k = self.held[k]
-                back = _agree(ids[:at][::-1], ids_k[:off][::-1])
-                on = self.probe + _agree(ids[last + 1 :], ids_k[off + self.probe :])
+                phrase = held[k]
+                back = _agree_back(ids, at, phrase, off, min(at, off))
+                on = probe + _agree(ids, end, phrase, off + probe, min(n - end, len(phrase) - off - probe))
                 reached[k, at - off] = at + on
                 own, begin = self.origins[k]
                 if back + on >= self.window and (uid != own or start + at != begin + off):
@@ -331,14 +349,16 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     # each distinct text once
     anchors = rows.where(F.col("n_words") >= window).select("uid", "anchors", "places").join(classes.select("uid").hint("shuffle_hash"), "uid", "left_semi")
     anchors = written(anchors.select("uid", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("uid", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place")), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that the join with it can split an anchor of very many texts
+    twice = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-twice")
     hits = written(anchors.join(twice, "anchor"), "recurring-anchors")
     packed = rows.select("uid", "packed")
     found = written(packed.join(hits.groupBy("uid").agg(F.collect_list("place").alias("places")), "uid"), "candidates")
     taken = passages(found.select("uid", "packed").join(recurring_windows(found, window), "uid"), window)
     sized = written(taken, "passages")
     shards = max(1, -(-(sized.agg(F.sum("words")).first()[0] or 0) // SHARD))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("uid", "start"), F.lit(shards)).cast("int"))
+    # passages of one text stay together, as near copies of it meet many of them
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("uid", F.expr(f"start div {SHARD // 4}")), F.lit(shards)).cast("int"))
     where = sized.select("shard", F.explode("anchors").alias("anchor")).distinct()
     routes = hits.join(where, "anchor").groupBy("shard", "uid").agg(F.collect_list("place").alias("places"))
     streamed = written(regions(routes.join(found.select("uid", "packed"), "uid"), window), "regions")
