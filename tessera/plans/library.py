@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits, colour, naming
-from tessera.operators import blocks, components, evaluate, generate, glyphs, regions, render, runs, shapes, topology
+from tessera.operators import blocks, components, drawing, evaluate, generate, glyphs, regions, render, runs, shapes, topology, training
 from tessera.plans.catalog import query
+from tessera.session import written
 from tessera.sources.rasters import document_runs, embedding_pixels, event_boxes, read
 from tessera.streaming import slots
 
@@ -408,6 +409,55 @@ def q_glyph_new(spark, sf):
     return glyphs.glyph_store(bitmaps, glyphs.glyph_store(bitmaps.where("frame_id = 0")))
 
 
+# samples drawn from stored glyphs: their character comes from their size
+DRAWN = f"""{INK}, {BITMAP}, gl AS (SELECT DISTINCT CAST(w AS INT) AS w, CAST(h AS INT) AS h, bits, substr('A0.,:', CAST((w + h) % 5 + 1 AS BIGINT), 1) AS ch FROM bt),
+ta AS (SELECT *, CAST('0x' || left(md5(w || '|' || h || '|' || bits || '|' || attempt), 8) AS BIGINT) AS seed FROM (SELECT *, CAST(unnest(range(0, 3)) AS INT) AS attempt FROM gl)),
+tb AS (SELECT *, 300 + {{1}} AS scale, CAST({{2}} - 5 AS INT) AS jx, CAST({{3}} - 5 AS INT) AS jy, CASE WHEN {{4}} < 100 THEN 'val' ELSE 'train' END AS split FROM ta),
+tc AS (SELECT *, greatest(1, w * scale // 1000) AS sw, greatest(1, h * scale // 1000) AS sh FROM tb),
+td AS (SELECT row_number() OVER () AS id, *, CAST(floor((48 - sw) / 2) AS INT) + jx - 8 AS ax, CAST(floor((48 - sh) / 2) AS INT) + jy - 8 AS ay FROM tc WHERE sw <= 32 AND sh <= 32),
+te AS (SELECT * FROM td WHERE ax >= 0 AND ay >= 0 AND ax + sw <= 32 AND ay + sh <= 32),
+tp AS (SELECT *, k % w AS i, k // w AS j FROM (SELECT *, unnest(range(0, CAST(w AS BIGINT) * h)) AS k FROM te) WHERE substr(bits, CAST(k + 1 AS INT), 1) = '1'),
+tx AS (SELECT *, unnest(range(i * sw // w, CAST(ceil((i + 1) * sw / w) AS BIGINT))) AS x FROM tp),
+ty AS (SELECT *, unnest(range(j * sh // h, CAST(ceil((j + 1) * sh / h) AS BIGINT))) AS y FROM tx),
+tz AS (SELECT id, x, y, sum((least((x + 1) * w, (i + 1) * sw) - greatest(x * w, i * sw)) * (least((y + 1) * h, (j + 1) * sh) - greatest(y * h, j * sh))) AS area FROM ty GROUP BY ALL),
+tk AS (SELECT id, ay + y AS y, sum(CAST(1 AS BIGINT) << CAST(31 - ax - x AS INT)) AS line, count(*) AS black FROM tz JOIN te USING (id) WHERE 255 * (w * h - area) <= 128 * w * h GROUP BY ALL),
+tl AS (SELECT te.id, r.r, coalesce(tk.line, 0) AS line, coalesce(tk.black, 0) AS black FROM te CROSS JOIN range(0, 32) r(r) LEFT JOIN tk ON tk.id = te.id AND tk.y = r.r),
+tm AS (SELECT id, CAST(sum(black) AS INT) AS black, string_agg(printf('%08X', CAST(line AS BIGINT)), '' ORDER BY r) AS image FROM tl GROUP BY ALL)"""
+
+
+def _seeded(k: int, n: int) -> str:
+    return f"((seed * {7919 + 104729 * k} + {611953 * k}) % 1000003 % {n})"
+
+
+def _drawn_sql() -> str:
+    out = DRAWN
+    for k, n in ((1, 1601), (2, 11), (3, 11), (4, 1000)):
+        out = out.replace(f"{{{k}}}", _seeded(k, n))
+    return out + " SELECT w, h, bits, ch, attempt, split, black, image FROM te JOIN tm USING (id) WHERE black >= CASE ch WHEN 'A' THEN 10 WHEN '0' THEN 9 WHEN '.' THEN 1 WHEN ',' THEN 2 WHEN ':' THEN 2 ELSE 1 END"
+
+
+def _least_black(spark):
+    return spark.createDataFrame(list(generate.LEAST_BLACK.items()), "ch string, least int")
+
+
+@query("q_gen_images", _drawn_sql())
+def q_gen_images(spark, sf):
+    stored = glyphs.glyph_bits(_ink(spark, sf)).select("w", "h", "bits").distinct()
+    made = stored.withColumn("ch", F.substring(F.lit("A0.,:"), ((C("w") + C("h")) % 5 + 1).cast("int"), F.lit(1)))
+    return drawing.generate_samples(made, _least_black(spark), 3).select("w", "h", "bits", "ch", "attempt", "split", "black", F.hex("image").alias("image"))
+
+
+@query("q_train_glyphs")
+def q_train_glyphs(spark, sf):
+    """Epochs of the network on samples of the ten commonest glyphs of four cells or more: four attempts for each place where one is seen."""
+    found = glyphs.glyph_bits(_ink(spark, sf)).where("w * h >= 4")
+    seen = written(found.groupBy("w", "h", "bits").agg(F.count("*").alias("seen")), "seen-glyphs")
+    classes = seen.orderBy(F.desc("seen"), "w", "h", "bits").limit(10).withColumn("ch", F.lit("."))
+    tries = drawing.attempts(classes, 4 * C("seen"), 0.2, cell=6)
+    made = drawing.draw(tries).select(F.concat_ws("x", "w", "h", "bits").alias("label"), "image", "split", F.concat_ws("|", "w", "h", "bits", "attempt").alias("key"))
+    return training.train(made, epochs=4, steps=6, rate=3e-3)[1]
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
