@@ -555,12 +555,16 @@ def _groups_sql() -> str:
     return f"""WITH g(ch, class) AS (VALUES {values(alike)}), f(ch, class) AS (VALUES {values(fixed)}),
     l AS (SELECT chr(CAST(i AS INT)) AS ch FROM (SELECT unnest(range(65, 91)) AS i UNION ALL SELECT unnest(range(97, 123)) UNION ALL SELECT unnest(range(1040, 1104)))),
     a AS (SELECT * FROM g UNION ALL SELECT * FROM f UNION ALL SELECT ch, ch FROM l WHERE ch NOT IN (SELECT ch FROM g))
-    SELECT class, count(*) AS n, string_agg(ch, '' ORDER BY ch) AS members FROM a GROUP BY ALL"""
+    , d AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ALL)
+    SELECT class, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n, string_agg(a.ch, '' ORDER BY a.ch) AS members FROM a LEFT JOIN d USING (ch) GROUP BY ALL"""
 
 
 @query("q_class_groups", _groups_sql())
 def q_class_groups(spark, sf):
-    return generate.characters(spark).groupBy("class").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("ch")), "").alias("members"))
+    """How often the documents have each class's characters, and which these are."""
+    used = read(spark, sf, "documents").select(F.explode(F.split("text", "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    counted = generate.characters(spark).join(used, "ch", "left")
+    return counted.groupBy("class").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.array_join(F.array_sort(F.collect_list("ch")), "").alias("members"))
 
 
 @query("q_homoglyph", f"SELECT doc_id, md5(translate(text, '{naming.HOMOGLYPHS[0]}', '{naming.HOMOGLYPHS[1]}')) AS digest, CASE WHEN length(text) = 0 THEN 0 ELSE unicode(text) END AS first FROM documents")

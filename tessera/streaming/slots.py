@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from tessera.session import ship, written
 
@@ -78,21 +81,27 @@ def shed(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | None = N
     entries = heads.join(cut.select("__key"), "__key", "left_anti").unionByName(heads.join(cut.select("__key", "__p"), ["__key", "__p"], "left_semi"))
     if not cut.isEmpty():
         entries = entries.unionByName(_entries(at, heads, cut, hops)).groupBy("__key", "__p").agg(F.min("id").alias("id"))
-    placed = _with_slot_id(at.join(entries.withColumnRenamed("id", "entry"), ["__key", "__p"], "left"))
-    schema = placed.select(*keys, "tick", "service_ms").schema.add("kept", "boolean")
+    placed = at.join(entries.withColumnRenamed("id", "entry"), ["__key", "__p"], "left")
+    names = [*keys, "tick", "service_ms"]
+    kinds = T.StructType([*placed.select(*names).schema.fields, T.StructField("kept", T.BooleanType())])
+    ship(at.sparkSession)
 
-    def mark(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        ids, entry = f["id"].to_numpy(), f["entry"].fillna(-1).to_numpy().astype(np.int64)
-        kept = np.zeros(len(f), bool)
-        for s, after in taken_after(f):
-            i = int(np.searchsorted(ids[s : s + len(after)], entry[s])) if entry[s] >= 0 else len(after)
-            while i < len(after):
-                kept[s + i] = True
-                i = after[i]
-        return f.assign(kept=kept)[schema.names]
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come range by range and slot by slot; of a slot only its key and when it is free again are known
+        key, free = None, None
+        for batch in batches:
+            kept = []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            own = list(zip(columns[len(names)], *columns[: len(keys)], strict=True))
+            for k, (row, entry, at_, busy) in zip(own, zip(*columns[len(names) + 1 :], strict=True), strict=True):
+                if k != key:
+                    key, free = k, None
+                kept.append(row == entry or free is not None and at_ is not None and at_ >= free)
+                if kept[-1]:
+                    free = math.inf if busy is None else busy
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.bool_())], names=[*names, "kept"])
 
-    return placed.groupBy("__p").applyInPandas(mark, schema)
+    return placed.repartition("__p").sortWithinPartitions("__p", "id").select(*names, "__p", "id", "entry", "at", "busy").mapInArrow(mark, kinds)
 
 
 def _with_slot_id(at: DataFrame) -> DataFrame:
@@ -153,6 +162,67 @@ def shed_stream(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | N
     return with_slot(ticks, slots).select(*keys, "tick", "service_ms").groupBy(*keys).applyInPandasWithState(update, schema, "busy double", "append", "NoTimeout")
 
 
+class SlotProcessor(StatefulProcessor):
+    """Keeps, of each slot, when it is free again; forgets it where no tick comes for idle_ms, as the slot is free then."""
+
+    def __init__(self, names: list[str], period_ms: int, idle_ms: int | None):
+        self.names, self.period_ms, self.idle_ms = names, period_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.free = handle, handle.getValueState("free", "at double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.free.update((float(initialState["free"].max()),))
+        self._wake(timerValues)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        free = self.free.get()[0] if self.free.exists() else -1.0
+        found = pd.concat(list(rows)).sort_values(["tick", "service_ms"], na_position="first")
+        kept = []
+        for tick, ms in zip(found["tick"], found["service_ms"], strict=True):
+            at = math.nan if pd.isna(tick) else float(tick) * self.period_ms
+            kept.append(at >= free)  # a missing tick is never kept
+            if kept[-1]:
+                free = math.inf if pd.isna(ms) else at + ms
+        self.free.update((free,))
+        self._wake(timerValues)
+        yield found.assign(kept=kept)[self.names]
+
+    def _wake(self, timerValues) -> None:
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.free.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def free_again(kept: DataFrame, period_ms: int = 250, run: str | None = None) -> DataFrame:
+    """(run, slot, free): when each slot of shed ticks is free again; it seeds a stream that goes on where a batch ended."""
+    at = F.col("tick") * period_ms + F.coalesce("service_ms", F.lit(math.inf))
+    return kept.where("kept").groupBy(*([run] if run else []), "slot").agg(F.max(at.cast("double")).alias("free"))
+
+
+def shed_keyed(ticks: DataFrame, slots: int, period_ms: int = 250, run: str | None = None, initial: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """shed on a stream, with keyed state that a batch may seed (free_again) and that goes idle_ms after a slot's last tick.
+
+    Ticks of a batch are taken in their order; a batch's ticks come after those of earlier ones. The session's state store
+    has to be RocksDB (spark.sql.streaming.stateStore.providerClass). With idle_ms, Spark goes on making batches as time
+    passes, so the trigger availableNow doesn't end.
+    """
+    keys = ([run] if run else []) + ["slot"]
+    rows = with_slot(ticks, slots).select(*keys, "tick", "service_ms")
+    schema = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType())])
+    ship(ticks.sparkSession)
+    seed = initial.select(*keys, "free").groupBy(*keys) if initial is not None else None
+    return rows.groupBy(*keys).transformWithStateInPandas(SlotProcessor(schema.names, period_ms, idle_ms), schema, "Append", "None" if idle_ms is None else "ProcessingTime", seed)
+
+
 def latency(frames: DataFrame) -> DataFrame:
     """Nanoseconds from start to end, and by frame rate."""
     return frames.withColumn("elapsed_ns", F.col("end_ns") - F.col("start_ns"))

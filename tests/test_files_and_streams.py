@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ def test_png_round_trip():
 def test_png_filters(kind):
     rng = np.random.default_rng(kind)
     row, above = rng.integers(0, 256, 12, dtype=np.uint8), rng.integers(0, 256, 12, dtype=np.uint8)
-    want = images._unfilter(kind, row, above, 3).astype(int)
+    want = images.unfilter(np.array([0, kind], np.uint8), np.stack([above, row]), 3)[1].astype(int)
     back = []
     for i, v in enumerate(want):
         left, up, corner = (want[i - 3] if i >= 3 else 0), int(above[i]), (int(above[i - 3]) if i >= 3 else 0)
@@ -149,6 +150,37 @@ def test_shed_stream(spark, tmp_path):
     assert {r.tick: r.kept for r in spark.table("shed_out").collect()} == {0: True, 1: True, 2: False, 3: True, 4: True}
 
 
+def test_shed_keyed(spark, tmp_path):
+    """Several micro-batches, the first ticks seeded by a batch's state, against shed over all of them; and state that goes."""
+    rng = np.random.default_rng(2)
+    rows = [("ab"[k % 2], k // 2, float(ms)) for k, ms in enumerate(rng.choice([0.0, 100.0, 900.0, 2600.0], 120))]
+    schema = "run string, tick long, service_ms double"
+    whole = {(r.run, r.tick): r.kept for r in slots.shed(spark.createDataFrame(rows, schema), 3, 250, "run").collect()}
+    before = slots.shed(spark.createDataFrame(rows[:40], schema), 3, 250, "run")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = str(tmp_path / "in")
+        for n, (s, e) in enumerate(((40, 60), (60, 61), (61, 120))):
+            spark.createDataFrame(rows[s:e], schema).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(schema).parquet(src)
+            kept = slots.shed_keyed(stream, 3, 250, "run", slots.free_again(before, 250, "run"), idle_ms=3_600_000)
+            kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start().awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert {(r.run, r.tick): r.kept for r in got.collect()} == {k: v for k, v in whole.items() if k[1] >= 20}
+        # a slot that was seeded as busy for ever is free after a millisecond without ticks
+        src, seed = str(tmp_path / "idle"), spark.createDataFrame([(0, float("inf"))], "slot int, free double")
+        for tick in (0, None, 1):  # a batch without ticks lets the timer expire
+            if tick is not None:
+                spark.createDataFrame([(tick, 1.0)], slots.TICKS).write.mode("append").parquet(src)
+            kept = slots.shed_keyed(spark.readStream.schema(slots.TICKS).parquet(src), 1, initial=seed, idle_ms=1)
+            kept.writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(once=True).start().awaitTermination()
+            time.sleep(0.1)
+        assert {r.tick: r.kept for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == {0: False, 1: True}
+    finally:
+        spark.conf.unset(provider)
+
+
 def test_name_stream(spark, tmp_path):
     folder = str(tmp_path / "names")
     slots.announce(spark.createDataFrame([("a.png",), ("",), (" b.png ",)], "name string"), folder)
