@@ -169,14 +169,15 @@ class SlotProcessor(StatefulProcessor):
         self.names, self.period_ms, self.idle_ms = names, period_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.free = handle, handle.getValueState("free", "at double")
+        self.handle, self.free = handle, handle.getValueState("free", "at double, seen long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.free.update((float(initialState["free"].max()),))
-        self._wake(timerValues)
+        self._keep(float(initialState["free"].max()), timerValues)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        free = self.free.get()[0] if self.free.exists() else -1.0
+        free, seen = self.free.get() if self.free.exists() else (-1.0, -1)
+        if self.idle_ms is not None and timerValues.getCurrentProcessingTimeInMs() - seen > self.idle_ms:
+            free = -1.0  # rows may come in the batch in which the timer expires
         found = pd.concat(list(rows)).sort_values(["tick", "service_ms"], na_position="first")
         kept = []
         for tick, ms in zip(found["tick"], found["service_ms"], strict=True):
@@ -184,11 +185,11 @@ class SlotProcessor(StatefulProcessor):
             kept.append(at >= free)  # a missing tick is never kept
             if kept[-1]:
                 free = math.inf if pd.isna(ms) else at + ms
-        self.free.update((free,))
-        self._wake(timerValues)
+        self._keep(free, timerValues)
         yield found.assign(kept=kept)[self.names]
 
-    def _wake(self, timerValues) -> None:
+    def _keep(self, free: float, timerValues) -> None:
+        self.free.update((free, timerValues.getCurrentProcessingTimeInMs()))
         if self.idle_ms is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
