@@ -455,7 +455,7 @@ def q_train_glyphs(spark, sf):
     classes = seen.orderBy(F.desc("seen"), "w", "h", "bits").limit(10).withColumn("ch", F.lit("."))
     tries = drawing.attempts(classes, 4 * C("seen"), 0.2, cell=6)
     made = drawing.draw(tries).select(F.concat_ws("x", "w", "h", "bits").alias("label"), "image", "split", F.concat_ws("|", "w", "h", "bits", "attempt").alias("key"))
-    return training.train(made, epochs=4, steps=6, rate=3e-3)[1]
+    return training.train(made, epochs=2, steps=3, rate=3e-3)[1]
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
