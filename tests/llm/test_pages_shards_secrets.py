@@ -271,3 +271,21 @@ def test_redaction(spark):
 def test_secret_query(spark, sf, duck):
     got, want = queries.op9_secret_scan(spark, sf).toPandas(), duck.execute(queries.ORACLE["op9_secret_scan"]).df()
     assert rows_of(got) == rows_of(want)
+
+
+def test_many_spans_in_one_text(spark):
+    """100,000 secrets in one text: each is found and blanked, at places that plain counting gives."""
+    text = "é😀 " + " ".join(f"{i:016x}" for i in range(100_000)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.span_report(docs).first()["spans"].split(",")
+    assert spans == [f"hex:{3 + 17 * i}:{19 + 17 * i}" for i in range(100_000)]
+    assert secrets.redact(docs, "*").first()["text"] == "é😀 " + " ".join("*" * 100_000) + " end"
+
+
+def test_redaction_over_borders_of_pieces(spark):
+    """Spans that end at, start at and cover whole pieces, overlapping spans, and texts of whole pieces without a rest."""
+    piece = secrets.PIECE
+    texts = ["z" * (piece - 16) + "0123456789abcdef" + "z" * piece, "z" * piece + "0123456789abcdef", "deadbeef" * piece, 'token="deadbeefdeadbeef00" z', "z" * 2 * piece]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs, "*").collect()}
+    assert got == {0: "z" * (piece - 16) + "*" + "z" * piece, 1: "z" * piece + "*", 2: "*", 3: '*" z', 4: "z" * 2 * piece}
