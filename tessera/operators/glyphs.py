@@ -41,9 +41,12 @@ def glyph_bits(pixels: DataFrame) -> DataFrame:
     """(frame_id, region_id, w, h, bits): each region's bitmap as 0 and 1 in reading order. pixels also has maxx and maxy."""
     w, h = F.col("maxx") - F.col("minx") + 1, F.col("maxy") - F.col("miny") + 1
     place = (F.col("y") - F.col("miny")) * w + F.col("x") - F.col("minx")
-    each = pixels.groupBy("frame_id", "region_id", w.alias("w"), h.alias("h")).agg(F.collect_set(place).alias("on"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda i: F.when(F.array_contains("on", i), "1").otherwise("0"))
-    return each.select("frame_id", "region_id", "w", "h", F.array_join(cells, "").alias("bits"))
+    each = pixels.groupBy("frame_id", "region_id", w.alias("w"), h.alias("h")).agg(F.sort_array(F.collect_set(place)).alias("on"))
+    # between two pixels of ink lie as many blanks as their places differ by, less one
+    before = F.concat(F.array(F.lit(-1)), F.slice("on", 1, F.size("on") - 1))
+    inked = F.zip_with("on", before, lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1")))
+    blank = F.repeat(F.lit("0"), F.col("w") * F.col("h") - 1 - F.element_at("on", -1))
+    return each.select("frame_id", "region_id", "w", "h", F.concat(F.array_join(inked, ""), blank).alias("bits"))
 
 
 def glyph_store(bitmaps: DataFrame, stored: DataFrame | None = None) -> DataFrame:

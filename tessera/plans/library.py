@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits, colour, naming
-from tessera.operators import blocks, components, drawing, evaluate, generate, glyphs, regions, render, runs, shapes, topology, training
+from tessera.operators import blocks, components, drawing, evaluate, generate, glyphs, regions, render, runs, shapes, topology, training, trees
 from tessera.plans.catalog import query
 from tessera.session import written
 from tessera.sources.rasters import document_runs, embedding_pixels, event_boxes, read
@@ -685,6 +685,33 @@ def q_leaf_offsets(spark, sf):
     return topology.payload_offsets(leaves)
 
 
+SPOTS = "CASE WHEN v > 0.3 THEN ((r >> 3) << 10) | (b >> 3) ELSE 4660 END"
+FIVE = "CAST(sum((({0} & 31) << 3) | (({0} & 31) >> 2)) AS BIGINT)"
+TREE_PX = f"""WITH RECURSIVE {PX}, pq AS (SELECT frame_id AS image, x, y, {SPOTS} AS q, max(x) OVER (PARTITION BY frame_id) + 1 AS w, max(y) OVER (PARTITION BY frame_id) + 1 AS h FROM px),
+sz AS (SELECT DISTINCT w, h FROM pq), {TREE[TREE.index("t(w, h"):]},
+lf AS (SELECT pq.image, pq.x, pq.y, pq.q, x0, y0, x1, min(pq.q) OVER k = max(pq.q) OVER k AS one FROM pq JOIN t ON pq.w = t.w AND pq.h = t.h AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 WHERE x1 - x0 <= 16 AND y1 - y0 <= 16 WINDOW k AS (PARTITION BY pq.image, x0, y0)),
+dr AS (SELECT image, one, CASE WHEN one AND x - x0 = x1 - x0 - 1 - (y - y0) THEN 0 WHEN one AND x - x0 = y - y0 THEN 32767 ELSE q END AS q FROM lf)"""
+
+
+def _spots(spark, sf):
+    """Frames of one colour but for strong values, as the pixels of trees."""
+    v, frame = C("v"), Window.partitionBy("frame_id")
+    q = F.when(v > 0.3, F.shiftleft(F.shiftright("r", 3), 10).bitwiseOR(F.shiftright("b", 3))).otherwise(4660)
+    px = _px(spark, sf).select("frame_id", "x", "y", q.cast("int").alias("q"))
+    sizes = px.groupBy("frame_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return px.join(sizes, "frame_id").withColumnRenamed("frame_id", "image")
+
+
+@query("q_tree_pixels", f"{TREE_PX} SELECT image, count(*) AS n, count(*) FILTER (one) AS plain, {FIVE.format('(q >> 10)')} AS r, {FIVE.format('(q >> 5)')} AS g, {FIVE.format('q')} AS b FROM dr GROUP BY ALL")
+def q_tree_pixels(spark, sf):
+    """Packed trees of all frames, written and read again, then decoded by joins."""
+    files = written(trees.pack_trees(_spots(spark, sf)), "trees")
+    leaves = trees.tree_leaves(files).groupBy("image").agg(F.sum(F.when(C("mixed"), 0).otherwise(C("pixels"))).cast("long").alias("plain"))
+    part = {c: F.shiftright("q", k).bitwiseAND(F.lit(31)) for c, k in (("r", 10), ("g", 5), ("b", 0))}
+    sums = [F.sum(F.shiftleft(p, 3).bitwiseOR(F.shiftright(p, 2))).alias(c) for c, p in part.items()]
+    return trees.tree_pixels(files).groupBy("image").agg(F.count("*").alias("n"), *sums).join(leaves, "image")
+
+
 @query("q_reconstruct", f"WITH {PX}, {BL}, t AS (SELECT frame_id, x, y, q FROM bl) SELECT frame_id, CAST(sum(((q >> 5) << 5) | ((q >> 5) << 2) | ((q >> 5) >> 1)) AS BIGINT) AS r, CAST(sum((q & 3) * 85) AS BIGINT) AS b FROM t GROUP BY ALL")
 def q_reconstruct(spark, sf):
     return render.from_rgb332(_q(spark, sf)).groupBy("frame_id").agg(F.sum("r").alias("r"), F.sum("b").alias("b"))
