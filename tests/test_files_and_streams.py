@@ -3,9 +3,10 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.topology import nodes
-from tessera.sources import images
+from tessera.sources import glyph_store, images
 from tessera.streaming import slots
 
 
@@ -101,10 +102,40 @@ def test_class_files(spark, tmp_path):
 
 
 def test_glyph_store(spark, tmp_path):
-    rows = spark.createDataFrame([(3, 2, "g", "101010"), (3, 2, "g", "101010"), (1, 1, "W", "1")], "w int, h int, name string, bits string")
+    rows = spark.createDataFrame([(3, 2, "g", "101010"), (3, 2, "g", "101010"), (1, 1, "W", "1"), (None, 1, None, "0")], "w int, h int, name string, bits string")
+    path = str(tmp_path / "a store")
+    assert glyph_store.read_glyphs(spark, path).count() == 0
+    assert glyph_store.store_glyphs(rows.limit(0), path) == 0
+    assert glyph_store.store_glyphs(rows.withColumn("more", F.lit(1)), path) == 3
+    assert glyph_store.store_glyphs(rows, path) == 0
+    assert glyph_store.store_glyphs(spark.createDataFrame([(1, 1, "W", "1"), (1, 2, "W", "11")], rows.schema), path) == 1
+    assert sorted(map(str, glyph_store.read_glyphs(spark, path).collect())) == sorted(map(str, [*rows.distinct().collect(), type(rows.first())(w=1, h=2, name="W", bits="11")]))
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Six writers with overlapping glyphs at the same time: each glyph once, the counts of all calls add up, no part is left."""
+    from concurrent.futures import ThreadPoolExecutor
+
     path = str(tmp_path / "store")
-    assert images.store_glyphs(rows, path) == 2
-    assert images.store_glyphs(rows, path) == 0
+    own = [spark.range(10 * k, 10 * k + 30).selectExpr("cast(id as int) as w", "1 as h", "cast(id as string) as name", "'1' as bits") for k in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        added = list(pool.map(lambda df: glyph_store.store_glyphs(df, path), own))
+    got = sorted(r.w for r in glyph_store.read_glyphs(spark, path).collect())
+    assert got == list(range(80)) and sum(added) == 80
+    versions = [x for x in os.listdir(tmp_path / "store" / "versions") if x.isdigit()]
+    assert len(os.listdir(tmp_path / "store" / "parts")) == len(versions)
+
+
+def test_a_failed_writer_leaves_nothing(spark, tmp_path):
+    """A part without a version isn't read, and a store with a version missing is an error, not an empty store."""
+    rows = spark.createDataFrame([(1, 1, "a", "1")], "w int, h int, name string, bits string")
+    path = tmp_path / "store"
+    rows.write.parquet(str(path / "parts" / "dead"))
+    assert glyph_store.read_glyphs(spark, str(path)).count() == 0
+    assert glyph_store.store_glyphs(rows, str(path)) == 1
+    (path / "versions" / "0000000000").rename(path / "versions" / "0000000001")
+    with pytest.raises(ValueError):
+        glyph_store.store_glyphs(rows, str(path))
 
 
 TICKS = [(0, 600.0), (1, 100.0), (2, 100.0), (3, 100.0), (4, 100.0)]
