@@ -1,10 +1,10 @@
 """Embedding near-duplicates by sorted projection passes, as many as one bound on misses asks for.
 
-A pass has random hyperplanes of its own; a vector's hashes are the signs of its products with them, and vectors are in
-the lexicographic order of these signs, concatenated. A vector's window in this order is the run of neighbours that share
-its first `bits` signs, so windows never end at a partition's border. `bits` follows the count of distinct vectors, which
-bounds the window: a run of spread vectors holds about BUCKET. A longer run, at a dense place, isn't cut off but compared
-in blocks that meet in separate tasks. Pairs verified with the cosine in double precision are united across passes.
+A pass has random hyperplanes of its own; a vector's hashes are the signs of its products with them. Of the order by these
+signs, concatenated, only the first `bits` are made: a vector's window is the run that shares them, and no order is kept
+within a run, so windows never end at a partition's border. `bits` follows the count of distinct vectors, which bounds the
+window where vectors are spread: a run holds about BUCKET. A longer run, at a dense place, isn't cut off but compared in
+blocks that meet in separate tasks, with the square of its size; a window of fixed length there would lose links.
 
 The number of passes follows `bits`: a pair exactly at the threshold agrees in a sign with probability 1 - angle / pi,
 whatever lies around it, so that no pass brings it together with probability MISS at most, at every size and density.

@@ -72,7 +72,7 @@ def window_anchors(grams: np.ndarray, window: int = WINDOW, gram: int = GRAM) ->
     """For each window, the place of its anchor: of the lowest hash among its grams, the first of equal ones."""
     span = window - gram + 1
     n = len(grams) - span + 1
-    value, at = grams, np.arange(len(grams))
+    value, at = grams, np.arange(len(grams), dtype=np.int32)
     width = 1
     while width < span:
         step = min(width, span - width)
@@ -111,13 +111,21 @@ def text_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return written(made.withColumn("uid", F.monotonically_increasing_id()), "texts")
 
 
+#: One for each worker process: making one costs more than a short text's unpacking.
+_UNPRESS = zstandard.ZstdDecompressor()
+
+
+def unpack_text(packed: bytes) -> bytes:
+    return _UNPRESS.decompress(packed)
+
+
 def unpack(packed: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(packed).split(b" ")
+    return unpack_text(packed).split(b" ")
 
 
 @F.pandas_udf(T.StringType())
 def unpacked(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda x: zstandard.ZstdDecompressor().decompress(x).decode())
+    return packed.map(lambda x: unpack_text(x).decode())
 
 
 def recurring_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,7 +137,9 @@ def recurring_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols = [[np.zeros(0, np.int64)] for _ in range(3)]
                 for uid, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     h = word_hashes(unpack(packed))
-                    at = np.flatnonzero(np.isin(window_anchors(phrase_hashes(h, GRAM), window), places))
+                    recurs = np.zeros(len(h), bool)
+                    recurs[places] = True
+                    at = np.flatnonzero(recurs[window_anchors(phrase_hashes(h, GRAM), window)])
                     for col, x in zip(cols, (phrase_hashes(h, window)[at].view(np.int64), np.full(len(at), uid, np.int64), at), strict=True):
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["w", "uid", "start"])
@@ -148,14 +158,16 @@ def passages(first: DataFrame, window: int = WINDOW) -> DataFrame:
                 out: list[list] = [[] for _ in range(5)]
                 for uid, packed, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     words = unpack(packed)
-                    grams = phrase_hashes(word_hashes(words), GRAM)
-                    at = window_anchors(grams, window)
                     own = np.sort(np.array(starts, np.int64))
                     cuts = np.flatnonzero(np.diff(own) > 1) + 1
                     for run_ in np.split(own, cuts):
-                        for s in range(int(run_[0]), int(run_[-1]) + 1, PIECE - window + 1):
+                        # only the run's words are hashed: a window's anchor hangs on the window alone
+                        first_ = int(run_[0])
+                        grams = phrase_hashes(word_hashes(words[first_ : int(run_[-1]) + window]), GRAM)
+                        at = window_anchors(grams, window)
+                        for s in range(first_, int(run_[-1]) + 1, PIECE - window + 1):
                             e = min(s + PIECE - window, int(run_[-1]))
-                            row = (uid, s, e - s + window, b" ".join(words[s : e + window]), np.unique(grams[at[s : e + 1]]).view(np.int64))
+                            row = (uid, s, e - s + window, b" ".join(words[s : e + window]), np.unique(grams[at[s - first_ : e + 1 - first_]]).view(np.int64))
                             for col, x in zip(out, row, strict=True):
                                 col.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))

@@ -341,3 +341,11 @@ def test_embedding_dense_below_threshold(spark):
     got = np.array([r.n_links for r in embed_dedup.near_duplicates(df).orderBy("vec_id").collect()])
     print(want.sum(), got.sum())
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 0
+
+
+def test_embedding_passes_on_a_small_table(spark, sf, monkeypatch):
+    """With runs of 16 vectors wanted, a small table takes several passes too, and loses no link of the given vectors."""
+    monkeypatch.setattr(embed_dedup, "BUCKET", 16)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert embed_dedup.tables_for(len(rows))[1] > 5
+    assert own_links(queries.op5_embedding_dedup(spark, sf)) == brute_links(rows)
