@@ -8,10 +8,10 @@ search that expands each member once and emits a spanning star, never its pairs;
 covering masks over its free bits, which is exact again. Components follow from the edges by distributed steps.
 
 near_duplicates links fingerprints of `words`-word shingles as they are. deduplicate looks for similar texts: candidates
-come from fingerprints of short shingles, which differ in few bits where texts differ in few words, and a wider radius; a
-candidate is a link where the texts' sketches, fingerprints of 256 bits of their distinct `words`-word shingles, differ in
-no more bits than texts of the wanted similarity do on average. At this radius chance alone would bring together unlike
-texts of a large corpus; the sketches tell these apart.
+come from four fingerprints of the distinct words, which differ in few bits where texts differ in few words, each within its
+radius. Sketches, fingerprints of 256 bits of the distinct `words`-word shingles, tell apart what chance alone brings
+together at this radius; they only rule out, with a margin of five standard deviations. What is left is compared by the
+shingles themselves: two texts are linked where the Jaccard similarity of these sets is no less than the wanted one.
 
 Null and empty texts have fingerprint zero and are linked like any other. Null ids are kept, but never name a component
 unless it has no other. Repeated rows keep a row each. An empty table gives an empty one. Columns may have any name.
@@ -34,8 +34,10 @@ from tessera.llm.components import connected_components
 
 SEED = 42
 SMALL, LARGE, SHINGLES = 8, 2048, 1 << 16
-#: Words of the shingles by which deduplicate looks for candidates.
-NEAR = 2
+#: Fingerprints of distinct words by which deduplicate looks for candidates.
+TRIES = 4
+#: Shingles of a component that one search may hold; what has more is searched by the buckets that brought it together.
+MOST_SHINGLES = 4 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -85,14 +87,29 @@ def _shingles(h: np.ndarray, words: int) -> np.ndarray:
     return _mix(out)
 
 
-def sketch(raw: bytes, near: int = NEAR, words: int = 5) -> tuple[int, ...]:
-    """Five numbers of 64 bits: the fingerprint of `near`-word shingles, and the sketch of the distinct `words`-word shingles."""
+def _prints(numbers: np.ndarray, count: int) -> list[int]:
+    """Fingerprints of a set of numbers, each under another permutation of them."""
+    return [_majority(_mix(numbers + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(count)]
+
+
+def _words(raw: bytes) -> np.ndarray:
+    """A number for each word."""
     parts = raw.lower().split()
-    if not parts:
-        return (0,) * 5
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in parts), np.uint64, len(parts))
-    own = np.unique(_shingles(h, words))
-    return _majority(_shingles(h, near)), *(_majority(_mix(own + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(4))
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in parts), np.uint64, len(parts))
+
+
+def shingle_set(raw: bytes, words: int = 5) -> np.ndarray:
+    """The distinct `words`-word shingles as sorted signed numbers; none for a text without words."""
+    h = _words(raw)
+    return np.unique(_shingles(h, words).view(np.int64)) if len(h) else h.view(np.int64)
+
+
+def sketch(raw: bytes, words: int = 5) -> tuple[int, ...]:
+    """Numbers of 64 bits: TRIES fingerprints of the distinct words, and four of the distinct `words`-word shingles."""
+    h = _words(raw)
+    if not len(h):
+        return (0,) * (TRIES + 4)
+    return *_prints(np.unique(h), TRIES), *_prints(np.unique(_shingles(h, words)), 4)
 
 
 def sketch_bits(similarity: float) -> int:
@@ -100,6 +117,12 @@ def sketch_bits(similarity: float) -> int:
     return math.floor(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def loose_bits(similarity: float) -> int:
+    """A bound on differing bits that sets of this similarity pass by chance once in millions: the mean and five standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(256 * share + 5 * math.sqrt(256 * share * (1 - share)))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     prepare(docs.sparkSession)
@@ -123,38 +146,129 @@ def sketched(docs: DataFrame, words: int = 5) -> tuple[DataFrame, str, str]:
     def run(batches):
         with tidy():
             for batch in slices(batches, 1024, 8 << 20):
-                found = np.array([sketch(x.encode(), NEAR, words) for x in texts(batch.column(at))], np.uint64).view(np.int64)
+                found = np.array([sketch(x.encode(), words) for x in texts(batch.column(at))], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*batch.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
     return written(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "sketched"), name, uid
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One row of docs, all columns, from each component of similar texts: that of the smallest id, null ids last, one of repeated rows.
 
-    Texts of one sketch are one class; links join classes. Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
+    Texts of one sketch, all 512 bits, are one class, whose first text stands for it; links join classes. Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
     as the groups, so they are never broadcast.
     """
     rows, name, uid = sketched(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col(uid).alias("uid"))).alias("first")
     classes = rows.groupBy(F.col(name).alias("sketch")).agg(first)
-    classes = written(classes.withColumn("fp", F.col("sketch")[0]).withColumn("node", F.monotonically_increasing_id()), "sketches")
-    labels = connected_components(similar_classes(classes.select("node", "fp", "sketch"), radius, sketch_bits(similarity)))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    one_each = rows.select(F.col(uid).alias("uid"), "text")
+    labels = connected_components(similar_links(classes, one_each, words, similarity, radius))
     roots = classes.select("node", "first").join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     winners = written(roots.select(F.col("first.uid").alias(uid)), "winners")
     return rows.join(winners.hint("shuffle_hash"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _candidates(classes: DataFrame, radius: int, find) -> DataFrame:
+    """What `find` makes of each of the fingerprints of words of classes (node, sketch), as one table."""
+    out = None
+    for k in range(TRIES):
+        fp = F.col("sketch")[k]
+        one = find(classes.select("node", fp.alias("fp"), F.array(fp, *[F.col("sketch")[TRIES + i] for i in range(4)]).alias("sketch")), radius)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def similar_links(classes: DataFrame, one_each: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b): links that connect all candidate classes whose texts have the similarity. classes: (node, sketch, first.uid); one_each: (uid, text).
+
+    Candidates are first united by their sketches alone, at the loose bound, so that a text's shingles travel once, to the
+    component that it is in; every link lies within one. Components of more than MOST_SHINGLES are not searched whole but by
+    the buckets of the covering tables, to each of which the shingles travel.
+    """
+    most = loose_bits(similarity)
+    prepare(classes.sparkSession)
+    loose = connected_components(_candidates(classes, radius, lambda c, r: similar_classes(c, r, most)))
+    members = loose.join(classes, "node").select(F.col("first.uid").alias("uid"), F.col("root").alias("group"), "node", *[F.col("sketch")[TRIES + i].alias(f"s{i}") for i in range(4)])
+    texts_of = one_each.join(members.hint("shuffle_hash"), "uid").select("group", "node", "s0", "s1", "s2", "s3", F.encode("text", "UTF-8").alias("raw"))
+
+    def shingled(batches):
+        with tidy():
+            for batch in slices(batches, 1024, 8 << 20):
+                sets = [shingle_set(x or b"", words) for x in batch.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sets, pa.list_(pa.int64()))], names=[*batch.schema.names[:6], "own"])
+
+    fields = "`group` long, node long, s0 long, s1 long, s2 long, s3 long, own array<long>"
+    sets = written(texts_of.mapInArrow(shingled, fields), "shingles")
+    large = sets.groupBy("group").agg(F.sum(F.size("own")).alias("n")).where(F.col("n") > MOST_SHINGLES).select("group")
+    large = written(large, "large")
+    if large.isEmpty():
+        return _verified(sets, most, similarity)
+    wide = sets.join(large, "group", "left_semi")
+    near = _candidates(classes.join(wide.select("node"), "node", "left_semi"), radius, near_classes).select("group", "node").distinct()
+    wide = near.join(wide.drop("group"), "node").select(*sets.columns)
+    return _verified(sets.join(large, "group", "left_anti"), most, similarity).unionByName(_verified(wide, most, similarity))
+
+
+def _verified(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect all rows (group, node, s0 to s3, own) of a group whose sketches and shingles are near enough."""
+
+    def run(batches):
+        with tidy():
+            for group, node, *parts, own in _whole_runs(batches):
+                sketches = np.stack(parts, axis=1).view(np.uint64)
+                cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+                found = [np.zeros((0, 2), np.int64)]
+                for s, e in zip(cuts, cuts[1:]):  # noqa: B905
+                    found += _spanning(np.arange(s, e), own, sketches, most, similarity)
+                e = node[np.concatenate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+    return rows.repartition(F.col("group")).sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the Jaccard similarity, in millionths; sets without members are alike."""
+    if len(a) > len(b):
+        a, b = b, a
+    least = round(similarity * 1_000_000)
+    if 1_000_000 * len(a) < least * len(b):
+        return False
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+    return 1_000_000 * shared >= least * (len(a) + len(b) - shared)
+
+
+def _spanning(at: np.ndarray, own: np.ndarray, sketches: np.ndarray, most: int, similarity: float) -> list[np.ndarray]:
+    """Edges, as places, that span each component of similar sets at some places."""
+    out, left = [], at
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            i = front.pop()
+            near = np.bitwise_count(sketches[left] ^ sketches[i]).sum(axis=1) <= most
+            near[near] = [similar_sets(own[j], own[i], similarity) for j in left[near]]
+            if near.any():
+                front += list(left[near])
+                out.append(np.stack([left[near], np.full(int(near.sum()), i)], axis=1))
+                left = left[~near]
+    return out
+
+
+def near_classes(classes: DataFrame, radius: int) -> DataFrame:
+    """(group, fp, node, s1 to s4): every two classes (node, fp, sketch) whose fingerprints are within the radius are in some group together."""
+    several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("group"), "fp")
+    groups = near_groups(classes.select("fp").distinct(), radius).unionByName(several)
+    return groups.join(classes, "fp").select("group", "fp", "node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(1, 5)])
+
+
 def similar_classes(classes: DataFrame, radius: int, most: int) -> DataFrame:
     """(a, b): links that connect all classes (node, fp, sketch) whose fingerprints are within the radius and sketches within `most` bits.
 
     Both conditions hold for each step of the search in a bucket, so no link hangs on which others were found. Sketches travel
     only to buckets where fingerprints are near, once where several tables bring the same ones together.
     """
-    several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("group"), "fp")
-    groups = near_groups(classes.select("fp").distinct(), radius).unionByName(several)
-    rows = groups.join(classes, "fp").select("group", "fp", "node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(1, 5)])
+    rows = near_classes(classes, radius)
 
     def run(batches):
         with tidy():
@@ -236,7 +350,7 @@ def _whole_runs(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if rest:
             columns = [np.concatenate(both) for both in zip(rest, columns, strict=True)]
         k = columns[0]

@@ -43,8 +43,8 @@ def brute_components(ids, prints):
     return [least.get(r) for r in roots]
 
 
-def brute_sketch(text, near=2, words=5):
-    """The candidate fingerprint and the sketch with Python's own numbers, bit by bit."""
+def brute_sketch(text, words=5):
+    """The candidate fingerprints and the sketch with Python's own numbers, bit by bit."""
     full = (1 << 64) - 1
 
     def mix(x):
@@ -54,7 +54,7 @@ def brute_sketch(text, near=2, words=5):
 
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
-        return 0, 0
+        return [0] * 4, 0
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
 
     def shingles(n):
@@ -70,15 +70,21 @@ def brute_sketch(text, near=2, words=5):
     def majority(v):
         return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in v) > len(v))
 
-    own = set(shingles(words))
-    return majority(shingles(near)), sum(majority([mix((x + k * 0x9E3779B97F4A7C15) & full) for x in own]) << 64 * k for k in range(4))
+    def prints(numbers):
+        return [majority([mix((x + k * 0x9E3779B97F4A7C15) & full) for x in numbers]) for k in range(4)]
+
+    return prints(set(h)), sum(v << 64 * k for k, v in enumerate(prints(set(shingles(words)))))
+
+
+def exact_shingles(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
 
 
 def brute_similar(ids, texts):
-    """The smallest id of each component, by all pairs."""
-    s = [brute_sketch(t) for t in texts]
-    most = simhash.sketch_bits(0.8)
-    near = [(i, j) for i, j in combinations(range(len(s)), 2) if (s[i][0] ^ s[j][0]).bit_count() <= 6 and (s[i][1] ^ s[j][1]).bit_count() <= most]
+    """The smallest id of each component, by the shingles of all pairs as words."""
+    s = [exact_shingles(t) for t in texts]
+    near = [(i, j) for i, j in combinations(range(len(s)), 2) if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
     roots, least = classes(len(s), near), {}
     for i, r in enumerate(roots):
         least[r] = min((v for v in (least.get(r), ids[i]) if v is not None), default=None)
@@ -96,8 +102,8 @@ def test_sketches_and_similarity():
             b[rng.randrange(300)] = rng.choice(word)
         c = [rng.choice(word) for _ in range(300)]
         x, y, z = (simhash.sketch(" ".join(t).encode()) for t in (a, b, c))
-        assert (x[0], sum(v << 64 * k for k, v in enumerate(x[1:]))) == brute_sketch(" ".join(a))
-        bits = [sum((p ^ q).bit_count() for p, q in zip(x[1:], o[1:], strict=True)) for o in (y, z)]
+        assert (list(x[:4]), sum(v << 64 * k for k, v in enumerate(x[4:]))) == brute_sketch(" ".join(a))
+        bits = [sum((p ^ q).bit_count() for p, q in zip(x[4:], o[4:], strict=True)) for o in (y, z)]
         close, far = close + (bits[0] <= simhash.sketch_bits(0.8)), far + (bits[1] <= simhash.sketch_bits(0.8))
     assert close >= 57 and far == 0 and simhash.sketch_bits(1.0) == 0
 
@@ -128,6 +134,38 @@ def test_near_copies_go(spark, no_docs):
     assert len(kept) <= 12 + 9 and {g * 10 for g in range(12)} <= set(kept)
 
 
+def test_similar_texts_by_all_pairs(spark, monkeypatch):
+    """Texts around the similarity of 0.8: only exact links, nearly all of them, and the same by buckets as by whole components."""
+    rng, rows = random.Random(9), []
+    word = [f"w{i}" for i in range(4000)]
+    for g in range(40):
+        text = [rng.choice(word) for _ in range(rng.choice((60, 150, 400)))]
+        for k in range(5):
+            own = list(text)
+            for _ in range(rng.randrange(1 + len(text) // 35)):
+                own[rng.randrange(len(own))] = rng.choice(word)
+            rows.append((g * 10 + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, of = [exact_shingles(t) for _, t in rows], {i: n for n, (i, _) in enumerate(rows)}
+    pairs = [(i, j) for i, j in combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    with_partner = len(rows) - len(set(classes(len(rows), pairs)))
+    seen = []
+    for most in (simhash.MOST_SHINGLES, 100):
+        monkeypatch.setattr(simhash, "MOST_SHINGLES", most)
+        seen.append({r.doc_id for r in simhash.deduplicate(docs).collect()})
+    assert seen[0] == seen[1]
+    gone = [of[i] for i, _ in rows if i not in seen[0]]
+    assert all(any(n in p for p in pairs) for n in gone)
+    assert 40 < with_partner and 0.95 * with_partner <= len(gone) <= with_partner
+
+
+def test_similar_sets_are_exact():
+    a = np.arange(10)
+    assert simhash.similar_sets(a[:8], a, 0.8) and not simhash.similar_sets(a[:7], a, 0.8)
+    assert simhash.similar_sets(a[:9], a[1:], 0.8) and not simhash.similar_sets(a[:9], a[2:], 0.8)
+    assert simhash.similar_sets(a[:0], a[:0], 0.8) and not simhash.similar_sets(a[:0], a, 0.8)
+
+
 def test_covering_masks_lose_no_pair():
     masks = simhash.covering_masks(list(range(64)), 3)
     for n in (1, 2, 3):
