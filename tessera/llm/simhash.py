@@ -156,8 +156,9 @@ def sketched(docs: DataFrame, words: int = 5) -> tuple[DataFrame, str, str]:
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One row of docs, all columns, from each component of similar texts: that of the smallest id, null ids last, one of repeated rows.
 
-    Texts of one sketch, all 512 bits, are one class, whose first text stands for it; links join classes. Winners are joined by row number, a unique key, so large groups of copies don't gather in one task; they are as many
-    as the groups, so they are never broadcast.
+    Texts of one sketch, all 512 bits, are one class, whose first text stands for it; links join classes. Winners are joined by
+    row number, a unique key, so large groups of copies don't gather in one task; they are as many as the groups, so they are
+    never broadcast.
     """
     rows, name, uid = sketched(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col(uid).alias("uid"))).alias("first")
