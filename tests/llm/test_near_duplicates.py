@@ -159,6 +159,18 @@ def test_similar_texts_by_all_pairs(spark, monkeypatch):
     assert 40 < with_partner and 0.95 * with_partner <= len(gone) <= with_partner
 
 
+def test_a_link_hangs_on_its_two_texts_alone(spark, monkeypatch):
+    """Alike texts whose fingerprints are far apart aren't linked by a third text that is near both, in components of any size."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(0, text, 0), (1, text + " end", 0xFF), (2, "other words", 0x0F), (3, text, 0x1FF << 40), (4, text + " end", 0x1FE << 40)]
+    one_each = spark.createDataFrame([r[:2] for r in rows], "uid long, text string")
+    classes_of = spark.createDataFrame([(n, [fp] * 4 + [0] * 4, (n,)) for n, _, fp in rows], "node long, sketch array<long>, first struct<uid: long>")
+    for most in (simhash.MOST_SHINGLES, 10, 0):
+        monkeypatch.setattr(simhash, "MOST_SHINGLES", most)
+        links = simhash.similar_links(classes_of, one_each, 5, 0.8, 4).collect()
+        assert {tuple(sorted(e)) for e in links} == {(3, 4)}
+
+
 def test_similar_sets_are_exact():
     a = np.arange(10)
     assert simhash.similar_sets(a[:8], a, 0.8) and not simhash.similar_sets(a[:7], a, 0.8)
