@@ -264,6 +264,17 @@ def test_similar_classes_lose_no_link(spark):
         spark.conf.set("spark.sql.shuffle.partitions", held)
 
 
+def test_all_tries_in_one_plan(spark):
+    """The fingerprints of a text go through one set of tables: the plan doesn't grow with their number."""
+    classes_of = spark.createDataFrame([(n, [n, 1 << 20, 7 * n, 1 << 40 + n] + [0] * 4) for n in range(9)], "node long, sketch array<long>")
+    found = simhash.similar_classes(simhash._tried(classes_of), 4, 38)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    # the second fingerprint is one for all, and only fingerprints of one try are compared
+    assert classes(9, [(r.a, r.b) for r in found.collect()]) == [0] * 9
+    apart = classes_of.where("node in (3, 5)").select("node", F.expr("transform(sketch, (x, i) -> if(i < 4, shiftleft(1023L, cast(10 * ((node + i) % 4) as int)), 0L))").alias("sketch"))
+    assert not simhash.similar_classes(simhash._tried(apart), 4, 38).collect()
+
+
 def test_simhash_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     ids, prints = [d.doc_id for d in docs], [brute_print(d.text) for d in docs]
