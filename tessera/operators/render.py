@@ -11,24 +11,59 @@ from tessera.functions.colour import expand_rgb332, invert
 from tessera.operators.blocks import KEYS, with_blocks
 
 
-def border(boxes: DataFrame, w: Column, h: Column, inset: int = 0, once: bool = True) -> DataFrame:
-    """(frame_id, x, y): border pixels of boxes grown outwards by -inset, clipped to the picture; `once`: each pixel once."""
+def _bits(first: Column, last: Column) -> Column:
+    """Bits first to last of eight."""
+    return F.call_function("shiftleft", F.lit(255).cast("long"), first).bitwiseAND(F.call_function("shiftright", F.lit(255).cast("long"), 7 - last))
+
+
+def _border_tiles(boxes: DataFrame, w: Column, h: Column, inset: int = 0) -> DataFrame:
+    """(frame_id, tx, ty, bits): the border pixels of boxes grown outwards by -inset, clipped to the picture, in tiles of 8 x 8; bit 8 * y + x."""
     grown = boxes.select("frame_id", (F.col("minx") + inset).alias("a"), (F.col("miny") + inset).alias("b"), (F.col("maxx") - inset).alias("c"), (F.col("maxy") - inset).alias("d")).where("a <= c and b <= d")
-    top = grown.select("frame_id", "b", "d", F.explode(F.sequence("a", "c")).alias("x")).select("frame_id", "x", F.explode(F.array("b", "d")).alias("y"))
-    side = grown.select("frame_id", "a", "c", F.explode(F.sequence("b", "d")).alias("y")).select("frame_id", F.explode(F.array("a", "c")).alias("x"), "y")
-    drawn = top.unionByName(side).where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < w) & (F.col("y") < h))
-    return drawn.distinct() if once else drawn
+
+    def sides(low: str, high: str, at: tuple[str, str], along: Column, across: Column, flat: bool) -> DataFrame:
+        """Both sides from low to high, at the two places across."""
+        cut = grown.select("frame_id", *at, F.greatest(low, F.lit(0)).alias("p"), F.least(F.col(high), along - 1).alias("q")).where("p <= q")
+        cut = cut.withColumn("t", F.explode(F.sequence(F.floor(F.col("p") / 8), F.floor(F.col("q") / 8))))
+        line = _bits(F.greatest(F.col("p") - F.col("t") * 8, F.lit(0)).cast("int"), F.least(F.col("q") - F.col("t") * 8, F.lit(7)).cast("int"))
+        # down a tile, a bit stands for one of each row
+        line = line if flat else reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.call_function("shiftright", line, F.lit(k)).bitwiseAND(F.lit(1)), F.lit(8 * k)) for k in range(8)])
+        cut = cut.select("frame_id", "t", line.alias("line"), F.explode(F.array(*at)).alias("o")).where((F.col("o") >= 0) & (F.col("o") < across))
+        place = (F.col("o") % 8 * (8 if flat else 1)).cast("int")
+        other = F.floor(F.col("o") / 8)
+        tx, ty = (F.col("t"), other) if flat else (other, F.col("t"))
+        return cut.select("frame_id", tx.cast("int").alias("tx"), ty.cast("int").alias("ty"), F.call_function("shiftleft", F.col("line"), place).alias("bits"))
+
+    return sides("a", "c", ("b", "d"), w, h, True).unionByName(sides("b", "d", ("a", "c"), h, w, False))
+
+
+def _pixels(tiles: DataFrame, bits: str = "bits") -> DataFrame:
+    """tiles with x and y: a row for each bit."""
+    each = tiles.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(64)]))).where(F.call_function("shiftright", F.col(bits), F.col("k")).bitwiseAND(F.lit(1)) == 1)
+    return each.withColumns({"x": F.col("tx") * 8 + F.col("k") % 8, "y": F.col("ty") * 8 + F.expr("cast(k div 8 as int)")})
+
+
+def border(boxes: DataFrame, w: Column, h: Column, inset: int = 0) -> DataFrame:
+    """(frame_id, x, y): border pixels of boxes grown outwards by -inset, clipped to the picture, each once.
+
+    Tiles are combined, map-side too, and turned to pixels behind that, so no hash table and no shuffle has a row for each pixel.
+    """
+    tiles = _border_tiles(boxes, w, h, inset).groupBy("frame_id", "tx", "ty").agg(F.bit_or("bits").alias("bits"))
+    return _pixels(tiles).select("frame_id", "x", "y")
 
 
 def _layers(*layers: DataFrame) -> DataFrame:
-    """Pixels with the number of the last layer that has them: one shuffle, combined map-side."""
-    numbered = [x.select("frame_id", "x", "y", F.lit(i).alias("layer")) for i, x in enumerate(layers)]
-    return reduce(DataFrame.unionByName, numbered).groupBy("frame_id", "x", "y").agg(F.max("layer").alias("layer"))
+    """Pixels of layers of tiles, with the number of the last layer that has them: one shuffle, of tiles combined map-side."""
+    masks = [f"m{i}" for i in range(len(layers))]
+    rows = [t.select("frame_id", "tx", "ty", *[(F.col("bits") if k == i else F.lit(0).cast("long")).alias(m) for k, m in enumerate(masks)]) for i, t in enumerate(layers)]
+    tiles = reduce(DataFrame.unionByName, rows).groupBy("frame_id", "tx", "ty").agg(*[F.bit_or(m).alias(m) for m in masks])
+    pixels = _pixels(tiles.withColumn("bits", reduce(Column.bitwiseOR, [F.col(m) for m in masks])))
+    has = [F.when(F.call_function("shiftright", F.col(m), F.col("k")).bitwiseAND(F.lit(1)) == 1, i) for i, m in reversed(list(enumerate(masks)))]
+    return pixels.select("frame_id", "x", "y", F.coalesce(*has).alias("layer"))
 
 
 def double_border(boxes: DataFrame, w: Column, h: Column) -> DataFrame:
     """Red border pixels and, one further out, yellow ones; the inner frame is drawn last."""
-    top = _layers(border(boxes, w, h, -1, False), border(boxes, w, h, 0, False))
+    top = _layers(_border_tiles(boxes, w, h, -1), _border_tiles(boxes, w, h, 0))
     return top.select("frame_id", "x", "y", F.lit(255).alias("r"), F.when(F.col("layer") == 0, 255).otherwise(0).alias("g"), F.lit(0).alias("b"))
 
 
@@ -52,7 +87,7 @@ def _sides(boxes: DataFrame) -> list[DataFrame]:
 def chain_picture(regions: DataFrame, chains: DataFrame, w: Column, h: Column, most: int = 32) -> DataFrame:
     """(frame_id, x, y, r, g, b): black boxes of regions under `most` on both sides, and over them red ones of chains."""
     small = regions.where((F.col("maxx") - F.col("minx") + 1 < most) & (F.col("maxy") - F.col("miny") + 1 < most))
-    top = _layers(border(small, w, h, 0, False), border(chains, w, h, 0, False))
+    top = _layers(_border_tiles(small, w, h), _border_tiles(chains, w, h))
     return top.select("frame_id", "x", "y", F.when(F.col("layer") == 1, 255).otherwise(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
 
 
