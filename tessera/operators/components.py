@@ -7,10 +7,13 @@ over the runs of the border rows alone. relational_components does all of it by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import ship, written
 
@@ -56,7 +59,7 @@ def least_reachable(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def frame_pairs(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, value: np.ndarray, eight: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the runs of one frame that touch, as overlaps() has them, by binary search in the next row."""
+    """Places of the runs that touch, as overlaps() has them, by binary search in the next row; value: of one frame and colour."""
     d = 1 if eight else 0
     wide, high = int(x2.max()) + 4, int(y.max()) + 2
     row = (np.unique(value, return_inverse=True)[1] * high + y) * wide
@@ -69,6 +72,35 @@ def frame_pairs(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, value: np.ndarray
     return np.repeat(np.arange(len(y)), n), order[np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _new_parts(frame: np.ndarray, y: np.ndarray, strip: int | None) -> np.ndarray:
+    """For each row but the first, of rows sorted by frame and y: whether it begins another frame or strip."""
+    new = frame[1:] != frame[:-1]
+    return new | (y[1:] // strip != y[:-1] // strip) if strip else new
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch], frame: int, y: int, strip: int | None) -> Iterator[pa.Table]:
+    """Tables of sorted batches, of whole frames or strips: many small ones are labelled at once, a large one alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            ends = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for b in (last, batch)]) for k in (frame, y)]
+        else:
+            ends = [np.concatenate([c[:1], c]) for c in (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (frame, y))]
+        cuts = np.flatnonzero(_new_parts(*ends, strip))
+        if len(cuts):
+            # the last part may go on in the next batch
+            cut = int(cuts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(runs: DataFrame, eight: bool = False, strip: int | None = None) -> DataFrame:
     """runs with component, the smallest run_id of each component.
 
@@ -76,16 +108,25 @@ def components(runs: DataFrame, eight: bool = False, strip: int | None = None) -
     """
 
     ship(runs.sparkSession)
-
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("run_id")
-        i, j = frame_pairs(*(part[c].to_numpy().astype(np.int64) for c in ("y", "x1", "x2", "value")), eight)
-        return part.assign(component=part["run_id"].to_numpy()[least_reachable(i, j, len(part))])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema) + ", component long"
+    names = runs.columns
+    at = {c: names.index(c) for c in ("frame_id", "y", "x1", "x2", "value", "run_id")}
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_parts(batches, at["frame_id"], at["y"], strip):
+            frame, y, x1, x2, value, run_id = (table.column(at[c]).to_numpy().astype(np.int64) for c in at)
+            part = np.cumsum(np.concatenate([[0], _new_parts(frame, y, strip)]))
+            # rows are counted from each part's first one, so that numbers stay small
+            low = y[np.searchsorted(part, np.arange(part[-1] + 1))]
+            of = part * (int(value.max()) - int(value.min()) + 1) + value - value.min()
+            i, j = frame_pairs(y - low[part], x1, x2, of, eight)
+            yield from table.append_column("component", pa.array(run_id[least_reachable(i, j, len(y))])).combine_chunks().to_batches()
+
+    keys = ["frame_id", *([F.expr(f"y div {strip}")] if strip else [])]
+    schema = T.StructType([*runs.schema.fields, T.StructField("component", T.LongType())])
+    found = runs.repartition(*keys).sortWithinPartitions("frame_id", "run_id").mapInArrow(label, schema)
     if strip is None:
-        return runs.groupBy("frame_id").applyInPandas(label, schema)
-    labelled = written(runs.groupBy("frame_id", F.expr(f"y div {strip}")).applyInPandas(label, schema), "strips")
+        return found
+    labelled = written(found, "strips")
     edge = labelled.where(f"y % {strip} = 0 or y % {strip} = {strip - 1}")
     names = edge.select("frame_id", "run_id", "component")
     met = overlaps(edge.where(f"y % {strip} = {strip - 1}").unionByName(edge.where(f"y % {strip} = 0")), eight)

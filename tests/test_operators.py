@@ -270,3 +270,18 @@ def test_invert_twice(spark):
     assert sorted(map(tuple, render.inverted(render.inverted(px)).collect())) == sorted(map(tuple, px.collect()))
     rects = spark.createDataFrame([(0, 0, 0, 1, 1), (0, 0, 0, 1, 1)], "frame_id long, x int, y int, w int, h int")
     assert {r.x: r.r for r in render.inverted_under(px, rects).collect()} == {0: 254, 1: 250}
+
+
+def test_many_frames_are_labelled_at_once():
+    """Runs of several frames and strips in batches of any size give whole parts, each in one table."""
+    import pyarrow as pa
+
+    rows = sorted((f, y) for f in range(40) for y in range(0, 9, 1 + f % 3))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in (0, 1)], names=["frame_id", "y"])
+    for strip in (None, 4):
+        key = [(f, y // strip if strip else 0) for f, y in rows]
+        for size in (1, 3, 50, 1000):
+            got = list(components._whole_parts((whole.slice(k, size) for k in range(0, len(rows), size)), 0, 1, strip))
+            assert [tuple(r.values()) for t in got for r in t.to_pylist()] == rows
+            parts = [set((f, y // strip if strip else 0) for f, y in zip(t["frame_id"].to_pylist(), t["y"].to_pylist())) for t in got]  # noqa: B905
+            assert sum(map(len, parts)) == len(set(key)) and (size < 1000 or len(got) <= 2)
