@@ -36,3 +36,10 @@ def test_borders_in_tiles(spark, w, h):
     assert drawn == {p: 255 if p in red else 0 for p in small | red}
     # no hash table has a row for each pixel
     assert all("bit_or" in str(d._jdf.queryExecution().optimizedPlan().toString()) for d in (one, two))
+
+
+def test_chain_borders_shuffle_tiles(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, 9, 9)], "frame_id long, minx int, miny int, maxx int, maxy int")
+    drawn = render.chain_picture(boxes, boxes, F.lit(400), F.lit(300))
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [frame_id") == 1
+    assert "bit_or" in drawn._jdf.queryExecution().optimizedPlan().toString()
