@@ -250,6 +250,21 @@ def test_stored_index(spark, odd_docs, no_docs):
         assert one == two
 
 
+def test_report_and_redaction_scan_by_the_index(spark, monkeypatch):
+    """Rules with trigrams are verified where stored postings meet, and nowhere else."""
+    docs = spark.createDataFrame([(0, SECRETS[0]), (1, "token=abcdefghijkl deadbeefdeadbeef")], "doc_id long, text string")
+    real, seen = secrets.candidates, []
+
+    def none(postings, rules=secrets.RULES):
+        seen.append(sorted({r.term for r in postings.collect()}))
+        return real(postings, rules).limit(0)
+
+    monkeypatch.setattr(secrets, "candidates", none)
+    assert {r.doc_id: r.spans for r in secrets.span_report(docs).collect()} == {0: "", 1: "hex:19:35"}
+    assert {r.doc_id: r.text for r in secrets.redact(docs, "*").collect()} == {0: SECRETS[0], 1: "token=abcdefghijkl *"}
+    assert len(seen) == 2 and all({"tok", "ken", "aki"} <= set(terms) for terms in seen)
+
+
 def test_clashing_names(spark, odd_docs):
     out = secrets.scan_secrets(odd_docs)
     assert sorted(out.columns) == sorted(odd_docs.columns) and out.count() == odd_docs.count()
