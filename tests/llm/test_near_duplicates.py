@@ -264,6 +264,20 @@ def test_similar_classes_lose_no_link(spark):
         spark.conf.set("spark.sql.shuffle.partitions", held)
 
 
+def test_a_class_travels_to_one_group(spark, monkeypatch):
+    """A large group of near classes doesn't send each of them to every table; where it is too large for a task, no link is lost."""
+    made = near_classes(300, 8)
+    whole = classes(len(made), similar_links(made, 6, 38))
+    signed = [np.array([fp, *sketch], np.uint64).view(np.int64).tolist() for fp, sketch in made]
+    rows = spark.createDataFrame([(i, 0, s[0], s) for i, s in enumerate(signed)], "node long, k int, fp long, sketch array<long>")
+    placed = simhash.whole_classes(rows, 6).select("node").collect()
+    assert len(placed) == len({r.node for r in placed}) > 200
+    for most in (1 << 16, 50, 1):
+        monkeypatch.setattr(simhash, "MOST_MEMBERS", most)
+        found = simhash.similar_classes(rows, 6, 38).collect()
+        assert classes(len(made), [(r.a, r.b) for r in found]) == whole
+
+
 def test_all_tries_in_one_plan(spark):
     """The fingerprints of a text go through one set of tables: the plan doesn't grow with their number."""
     classes_of = spark.createDataFrame([(n, [n, 1 << 20, 7 * n, 1 << 40 + n] + [0] * 4) for n in range(9)], "node long, sketch array<long>")
