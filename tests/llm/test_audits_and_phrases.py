@@ -206,3 +206,29 @@ def test_query(spark, sf, duck, name):
 def test_native_plan(spark, sf):
     plan = queries.op13_filter_interactions(spark, sf)._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan and "Cartesian" not in plan
+
+
+def test_occurrences_within_others_are_not_extended(monkeypatch):
+    """Short passages within a long one, once seen whole, cost nothing where the long one is; what is covered stays the same."""
+    words = [f"w{i}".encode() for i in range(200)]
+    shard = phrase_dedup.Shard()
+    shard.add(1, 0, b" ".join(words))
+    for k in range(40):
+        shard.add(2 + k, 0, b" ".join(words[k : k + 60]))
+    shard.compile()
+    calls, real = [0], phrase_dedup._agree
+
+    def counted(*args):
+        calls[0] += 1
+        return real(*args)
+
+    monkeypatch.setattr(phrase_dedup, "_agree", counted)
+    for uid in range(100, 104):
+        assert phrase_dedup.merged(shard.occurrences(uid, 0, b" ".join([b"x", *words, b"y"]))) == [(1, 201)]
+    assert calls[0] < 2 * 41
+    assert sorted(shard.origin_covers()) == [(1, 0, 200)] + [(2 + k, 0, 60) for k in range(40)]
+    # a passage's own place doesn't cover itself
+    alone = phrase_dedup.Shard()
+    alone.add(1, 0, b" ".join(words))
+    alone.compile()
+    assert not alone.occurrences(1, 0, b" ".join(words)) and not list(alone.origin_covers())
