@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import embed_dedup, queries, simhash
+from tessera.llm import components, embed_dedup, queries, simhash
+from tessera.llm.common import written
 from tessera.llm.components import connected_components
 
 
@@ -308,6 +309,23 @@ def test_simhash_odd_rows(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicate(no_docs).count() == 0
 
 
+def test_components_take_few_tables(spark, monkeypatch):
+    """Contracted edges give the same components, whatever a task holds; where a task holds all, two tables are enough."""
+    rng, tables = random.Random(4), []
+    pairs = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2200)] + [(i, i + 1) for i in range(4000, 4900)] + [(7, 7), (None, 3), (8, None)]
+    real = [p for p in pairs if None not in p]
+    nodes = {n for a, b in real if a != b for n in (a, b)}
+    want = {n: r for n, r in enumerate(classes(5000, real)) if n in nodes}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(name) or written(df, name))
+    for most, least, bound in ((1 << 18, 1, 2), (100, 3, 60)):
+        monkeypatch.setattr(components, "EDGES", most)
+        tables.clear()
+        got = connected_components(edges).collect()
+        assert len(got) == len(want) and {r.node: r.root for r in got} == want
+        assert least <= len(tables) <= bound
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.range(n - 1).select(((F.col("id") * 37) % n).alias("a"), (((F.col("id") + 1) * 37) % n).alias("b"))
