@@ -20,6 +20,8 @@ from tessera.session import ship
 
 #: Fixed value: a grey level above this is white.
 WHITE = 128
+#: Different pictures that a task keeps for attempts which are drawn the same.
+DRAWN = 1 << 16
 
 
 @lru_cache(4096)
@@ -63,15 +65,24 @@ def draw(tries: DataFrame) -> DataFrame:
     names = ["w", "h", "bits", "sw", "sh", "minx", "miny"]
     at = [tries.columns.index(n) for n in names]
 
+    def one(w: int, h: int, bits: str, sw: int, sh: int, x: int, y: int) -> tuple[int, bytes]:
+        ink = np.frombuffer(bits.encode(), np.uint8).reshape(h, w) == 49
+        middle = np.zeros((CROP, CROP), bool)
+        middle[y - low : y - low + sh, x - low : x - low + sw] = resample(ink, sw, sh)
+        return int(middle.sum()), np.packbits(middle).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[tuple, tuple[int, bytes]] = {}  # attempts at one place and size are one picture
         for batch in batches:
             black, images = [], []
-            for w, h, bits, sw, sh, x, y in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
-                ink = np.frombuffer(bits.encode(), np.uint8).reshape(h, w) == 49
-                middle = np.zeros((CROP, CROP), bool)
-                middle[y - low : y - low + sh, x - low : x - low + sw] = resample(ink, sw, sh)
-                black.append(int(middle.sum()))
-                images.append(np.packbits(middle).tobytes())
+            for key in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                found = drawn.get(key)
+                if found is None:
+                    if len(drawn) >= DRAWN:
+                        drawn.clear()
+                    found = drawn[key] = one(*key)
+                black.append(found[0])
+                images.append(found[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(black, pa.int32()), pa.array(images, pa.binary())], names=[*batch.schema.names, "black", "image"])
 
     return tries.mapInArrow(run, T.StructType([*tries.schema.fields, T.StructField("black", T.IntegerType()), T.StructField("image", T.BinaryType())]))

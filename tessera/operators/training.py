@@ -3,7 +3,8 @@
 A step is a Spark job over its part of the samples: tasks run the network forwards and backwards over Arrow batches and give
 one sum of gradients each, sums are added up in a tree, and the driver, which only ever sees one sum, makes Adam's step and
 sends the new weights. So what travels is bounded by the network, never by the samples; a lost executor costs its tasks, and
-a stopped run goes on after its last saved epoch.
+a stopped run goes on after its last saved epoch. Equal pictures of a label in a step are counted once and go through the
+network once, with their count as weight: the sums are the same, and the work is that of the different pictures.
 """
 
 from __future__ import annotations
@@ -103,13 +104,15 @@ def losses(scores: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return -log[np.arange(len(targets)), targets], np.exp(log)
 
 
-def gradients(weights: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray) -> tuple[float, int, dict[str, np.ndarray]]:
-    """(sum of losses, right ones, sums of gradients by layer) of some images."""
+def gradients(weights: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray, times: np.ndarray | None = None) -> tuple[float, int, dict[str, np.ndarray]]:
+    """(sum of losses, right ones, sums of gradients by layer) of some images, each as many `times` as it says (once)."""
+    times = np.ones(len(targets), np.int64) if times is None else times
     scores, kept = forward(weights, x)
     loss, share = losses(scores, targets)
     flat, inner = kept[-2:]
     d = share
     d[np.arange(len(targets)), targets] -= 1
+    d *= times.astype(d.dtype)[:, None]
     out = {"out": d.T @ inner}
     d = d @ weights["out"] * (inner > 0)
     out["hidden"] = d.T @ flat
@@ -128,7 +131,7 @@ def gradients(weights: dict[str, np.ndarray], x: np.ndarray, targets: np.ndarray
             # back through the kernel: its places, turned over, on the gradient of its output
             back = kernel[:, :, ::-1, ::-1].transpose(1, 0, 2, 3).reshape(kernel.shape[1], -1)
             d = (_columns(d.reshape(n, 2 * h, 2 * w, c).transpose(0, 3, 1, 2), kernel.shape[2]) @ back.T).transpose(0, 3, 1, 2)
-    return float(loss.sum()), int((scores.argmax(1) == targets).sum()), out
+    return float((loss * times).sum()), int(((scores.argmax(1) == targets) * times).sum()), out
 
 
 def pictures(images: list[bytes], kind: type = np.float32) -> np.ndarray:
@@ -146,7 +149,7 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = 64) -> Iterator[pa.R
 def gradient_sum(samples: DataFrame, network: Network) -> tuple[float, int, int, dict[str, np.ndarray]]:
     """(losses, right ones, images, gradients) summed over samples (label, image), in a tree of tasks.
 
-    Samples of unknown classes, or without an image of the right size, don't count.
+    samples may have n, the number of equal ones that a row stands for. Samples of unknown classes, or without an image of the right size, don't count.
     """
     spark = ship(samples.sparkSession)
     sent = spark.sparkContext.broadcast((network.weights, {c: k for k, c in enumerate(network.classes)}))
@@ -160,11 +163,12 @@ def gradient_sum(samples: DataFrame, network: Network) -> tuple[float, int, int,
         loss, right, n = 0.0, 0, 0
         total = {k: np.zeros(w.shape) for k, w in weights.items()}
         for batch in _batches(batches):
-            rows = [(place[a], b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if a in place and b is not None and len(b) == SIDE * SIDE // 8]
+            rows = [(place[a], b, m) for a, b, m in zip(*(c.to_pylist() for c in batch.columns), strict=True) if a in place and b is not None and len(b) == SIDE * SIDE // 8]
             if not rows:
                 continue
-            one, hits, grads = gradients(weights, pictures([b for _, b in rows], weights["out"].dtype.type), np.array([a for a, _ in rows]))
-            loss, right, n = loss + one, right + hits, n + len(rows)
+            times = np.array([m for _, _, m in rows], np.int64)
+            one, hits, grads = gradients(weights, pictures([b for _, b, _ in rows], weights["out"].dtype.type), np.array([a for a, _, _ in rows]), times)
+            loss, right, n = loss + one, right + hits, n + int(times.sum())
             for k in names:
                 total[k] += grads[k]
         if n:
@@ -181,13 +185,14 @@ def gradient_sum(samples: DataFrame, network: Network) -> tuple[float, int, int,
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([right], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["loss", "hits", "n", "total"])
 
     schema = "loss double, hits long, n long, total binary"
-    rows = samples.select("label", "image")
+    rows = samples.select("label", "image", (F.col("n") if "n" in samples.columns else F.lit(1)).cast("long").alias("n"))
     parts = rows.rdd.getNumPartitions()
     sums = rows.mapInArrow(run, schema)
     while parts > FAN:
         parts = -(-parts // FAN)
         sums = sums.repartition(parts).mapInArrow(add, schema)
-    found = sums.coalesce(1).mapInArrow(add, schema).first()
+    # by a shuffle: without one the gradients too would be worked out in this one task
+    found = sums.repartition(1).mapInArrow(add, schema).first()
     sent.destroy()
     if found is None:
         return 0.0, 0, 0, {k: np.zeros(w.shape) for k, w in network.weights.items()}
@@ -257,14 +262,16 @@ def train(samples: DataFrame, epochs: int = 20, steps: int = 8, rate: float = RA
     """
     spark = samples.sparkSession
     dealt = samples.where("label IS NOT NULL AND image IS NOT NULL").select(F.col("label").cast("string").alias("label"), "image", "split", "key", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(steps)).cast("int").alias("step"))
-    dealt = written(dealt.where("split IN ('train', 'val')"), "samples")
+    dealt = written(dealt.where("split IN ('train', 'val')").groupBy("label", "image", "split", "step").agg(F.count("*").alias("n")), "samples")
     network = load_network(spark, path) if path else None
     if network is None:
         classes = [r.label for r in dealt.where("split = 'train'").select("label").distinct().orderBy("label").limit(evaluate.MOST_CLASSES + 1).collect()]
         if not classes:
             raise ValueError("no samples to train on")
         network = new_network(classes, seed)
-    taught = [written(dealt.where((F.col("split") == "train") & (F.col("step") == s)).repartition(max(1, spark.sparkContext.defaultParallelism), F.xxhash64("key")), "step") for s in range(steps)]
+    taught = [written(dealt.where((F.col("split") == "train") & (F.col("step") == s)).repartition(max(1, spark.sparkContext.defaultParallelism), F.xxhash64("label", "image")), "step") for s in range(steps)]
+    # a step's number tells nothing here
+    valued = written(dealt.where("split = 'val'").groupBy("label", "image").agg(F.sum("n").alias("n")).repartition(max(1, spark.sparkContext.defaultParallelism), F.xxhash64("label", "image")), "val")
     told = []
     while network.epoch < epochs:
         loss = right = count = 0
@@ -273,7 +280,9 @@ def train(samples: DataFrame, epochs: int = 20, steps: int = 8, rate: float = RA
             if n:
                 adam_step(network, total, n, rate)
                 loss, right, count = loss + one, right + hits, count + n
-        val = predictions(dealt.where("split = 'val'"), network).agg(F.avg("loss").alias("loss"), F.avg((F.col("label") == F.col("pred_label")).cast("double")).alias("acc")).first()
+        right_one = (F.col("label") == F.col("pred_label")).cast("double")
+        mean = lambda c: F.sum(c * F.col("n")) / F.sum(F.when(c.isNotNull(), F.col("n")))
+        val = predictions(valued, network).agg(mean(F.col("loss")).alias("loss"), mean(right_one).alias("acc")).first()
         network.epoch += 1
         told.append((network.epoch, loss / count if count else None, 100.0 * right / count if count else None, val["loss"], 100.0 * val["acc"] if val["acc"] is not None else None))
         if path:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import drawing, evaluate, training
+from tessera.session import written
 
 GLYPHS = [("ring", 4, 4, "1111100110011111"), ("cross", 3, 3, "010111010"), ("bar", 1, 4, "1111")]
 
@@ -67,6 +68,45 @@ def test_sums_of_tasks_are_the_whole_sum(spark, samples):
     assert training.gradient_sum(rows.where("label = 'none'"), net)[2] == 0
 
 
+def test_equal_pictures_go_through_the_network_once(spark, samples, monkeypatch):
+    """A row of n equal samples counts as n rows; training writes and computes each different picture of a step once."""
+    net = training.new_network(["bar", "cross", "ring"])
+    rows = samples.select("label", "image")
+    each = training.gradient_sum(rows.unionByName(rows).unionByName(rows), net)
+    some = training.gradient_sum(rows.groupBy("label", "image").agg((3 * F.count("*")).alias("n")), net)
+    assert each[1:3] == some[1:3] and each[2] == 3 * samples.count() and abs(each[0] - some[0]) < 1e-3 * each[0]
+    assert all(np.allclose(each[3][k], some[3][k], atol=5e-3) for k in net.weights)
+    tables = {}
+    monkeypatch.setattr(training, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    many = samples.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("key", F.concat_ws("/", "key", "copy"))
+    _, told = training.train(many, epochs=1, steps=1)
+    assert tables["samples"].count() == samples.select("label", "image", "split").distinct().count()
+    scored = training.predictions(samples.where("split = 'val'"), training.train(many, epochs=1, steps=1)[0])
+    assert told.first().val_loss == pytest.approx(scored.agg(F.avg("loss")).first()[0], rel=1e-3)
+
+
+def test_gradients_of_few_partitions_are_spread(spark, samples):
+    """However few partitions there are, each has a task for its gradients, beside the one that adds them up."""
+    net = training.new_network(["bar", "cross", "ring"])
+    rows, tracker = written(samples.select("label", "image").repartition(4), "few"), spark.sparkContext.statusTracker()
+    parts = rows.rdd.getNumPartitions()
+    assert 1 < parts <= training.FAN
+    spark.sparkContext.setJobGroup("gradients", "one sum")
+    try:
+        training.gradient_sum(rows, net)
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("gradients") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) >= parts
+
+
+def test_attempts_of_one_place_are_drawn_once(spark, samples, monkeypatch):
+    first = drawing.draw(drawing.attempts(spark.createDataFrame(GLYPHS, "label string, w int, h int, bits string"), 120, 0.25, cell=5))
+    monkeypatch.setattr(drawing, "DRAWN", 3)
+    again = drawing.draw(drawing.attempts(spark.createDataFrame(GLYPHS, "label string, w int, h int, bits string"), 120, 0.25, cell=5))
+    assert sorted(map(tuple, first.select("label", "attempt", "image").collect())) == sorted(map(tuple, again.select("label", "attempt", "image").collect()))
+
+
 def test_training_learns_and_goes_on(spark, samples, tmp_path):
     path = str(tmp_path / "run")
     net, told = training.train(samples, epochs=3, steps=4, rate=3e-3, path=path)
