@@ -232,3 +232,47 @@ def test_occurrences_within_others_are_not_extended(monkeypatch):
     alone.add(1, 0, b" ".join(words))
     alone.compile()
     assert not alone.occurrences(1, 0, b" ".join(words)) and not list(alone.origin_covers())
+
+
+def test_near_copies_without_the_word_of_a_passage_do_not_meet_it(monkeypatch):
+    """The passages of near copies, all but one word of a window on either side alike, cost nothing in texts that lack that word."""
+    words = [f"w{i}".encode() for i in range(300)]
+    shard = phrase_dedup.Shard()
+    shard.add(0, 0, b" ".join(words))
+    for k in range(40):
+        at = 100 + k
+        shard.add(1 + k, at - 34, b" ".join([*words[at - 34 : at], b"new%d" % k, *words[at + 1 : at + 35]]))
+    shard.compile()
+    calls, real = [0], phrase_dedup._agree
+
+    def counted(*args):
+        calls[0] += 1
+        return real(*args)
+
+    monkeypatch.setattr(phrase_dedup, "_agree", counted)
+    assert phrase_dedup.merged(shard.occurrences(100, 0, b" ".join(words))) == [(0, 300)]
+    assert calls[0] == 1
+    changed = [*words[:120], b"new20", *words[121:]]
+    assert phrase_dedup.merged(shard.occurrences(101, 0, b" ".join(changed))) == [(0, 300)]
+    assert sorted(shard.origin_covers()) == [(0, 0, 300), (21, 86, 155)]
+
+
+@pytest.mark.parametrize("window", [24, 35, 36])
+def test_any_window_holds_a_probe(window):
+    for words in range(window, 6 * window):
+        probes = list(phrase_dedup.probes(words, window))
+        assert all(end - at >= (window + 1) // 2 and 0 <= at and end <= words for at, end in probes)
+        assert all(any(s <= at and end <= s + window for at, end in probes) for s in range(words - window + 1))
+
+
+def test_kin_passages_have_one_shard(spark):
+    """Unless they are more than half a shard: then they are dealt over some, and a text's tract stays together."""
+    rows = [(100 * kin + uid, kin, start, 50) for kin in range(40) for uid in range(5) for start in (0, 60)]
+    rows += [(10_000 + uid, 99, 0, phrase_dedup.SHARD // 20) for uid in range(100) for _ in range(2)]
+    got = phrase_dedup.sharded(spark.createDataFrame(rows, "uid long, kin long, start long, words long"), 16).collect()
+    assert Counter((r.uid, r.kin, r.start, r.words) for r in got) == Counter(rows)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.kin, {}).setdefault(r.uid, set()).add(r.shard)
+    assert all(len(set.union(*shards[kin].values())) == 1 for kin in range(40))
+    assert len(set.union(*shards[99].values())) > 4 and all(len(s) == 1 for s in shards[99].values())
