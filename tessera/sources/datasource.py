@@ -145,13 +145,16 @@ class StreamReader(DataSourceStreamReader):
 
 
 class Staging:
-    """Pictures written under names of their own in a folder of the job's own, until they are all there."""
+    """Pictures written under names of their own in a folder of the job's own, until they are all there.
 
-    def __init__(self, root: str):
-        self.root, self.folder = root, os.path.join(root, "_staging", uuid.uuid4().hex)
+    The driver makes the folder, tasks don't: one that still runs when the job has ended finds none, and leaves nothing.
+    """
 
-    def write(self, rows):
+    def __init__(self, root: str, job: str | None = None):
+        self.root, self.folder = root, os.path.join(root, "_staging", job or uuid.uuid4().hex)
         os.makedirs(self.folder, exist_ok=True)
+
+    def write(self, rows):
         names: list[tuple[str, str]] = []
         try:
             for r in rows:
@@ -180,7 +183,11 @@ class Staging:
 
     def end(self) -> None:
         """Nothing more is written: what tasks that failed, or are still ending, have left goes with the folder."""
-        shutil.rmtree(self.folder, ignore_errors=True)
+        # by another name no task adds to it while it is emptied
+        gone = f"{self.folder}-ended"
+        with contextlib.suppress(FileNotFoundError):
+            os.rename(self.folder, gone)
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class Writer(DataSourceWriter):
@@ -201,8 +208,8 @@ class Writer(DataSourceWriter):
 class StreamWriter(DataSourceStreamWriter):
     """A batch's pictures appear when it is committed; the log then has their names, and a batch that it has is not done again."""
 
-    def __init__(self, root: str):
-        self.root, self.staging = root, Staging(root)
+    def __init__(self, root: str, job: str | None = None):
+        self.root, self.staging = root, Staging(root, job)
 
     def write(self, rows):
         return self.staging.write(rows)
@@ -245,7 +252,9 @@ class Raster(DataSource):
         return Writer(self.options["path"])
 
     def streamWriter(self, schema, overwrite):
-        return StreamWriter(self.options["path"])
+        # Spark makes this object and the writer anew for tasks, commit and abort: by the query's checkpoint they have one folder
+        place = self.options.get("checkpointLocation")
+        return StreamWriter(self.options["path"], place and uuid.uuid5(uuid.NAMESPACE_URL, place).hex)
 
 
 def register(spark: SparkSession) -> None:

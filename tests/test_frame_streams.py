@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.operators.topology import nodes
@@ -206,3 +207,21 @@ def test_a_failed_batch_leaves_no_picture(spark, tmp_path):
     writer.commit([message], 0)
     assert "new.png" not in seen() and staged() == []
     assert spark.read.format("raster").load(str(out)).count() == 6
+
+
+def test_a_task_later_than_its_job_leaves_no_picture(tmp_path):
+    row = Row(path="late.png", w=1, h=1, raw=bytearray(3))
+    staging = datasource.Staging(str(tmp_path))
+    staging.end()
+    with pytest.raises(FileNotFoundError):
+        staging.write(iter([row]))
+    staging = datasource.Staging(str(tmp_path))
+
+    def ends_meanwhile():
+        yield row
+        staging.end()
+        yield row
+
+    with pytest.raises(FileNotFoundError):
+        staging.write(ends_meanwhile())
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names]
